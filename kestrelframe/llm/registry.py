@@ -1,8 +1,10 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import host_reputation, quality_rules, secret_scan
+from . import host_reputation, packing, quality_rules, secret_scan, token_ledger
 
 QUERIES = {
+    "op3_best_fit_packing": packing.query,
+    "op5_token_counts": token_ledger.query,
     "op6_quality_rules": quality_rules.query,
     "op9_url_filters": host_reputation.query,
     "op10_secret_scans": secret_scan.query,
