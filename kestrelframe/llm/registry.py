@@ -1,9 +1,11 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import host_reputation, packing, quality_rules, secret_scan, token_ledger
+from . import host_reputation, packing, quality_classifier, quality_rules, secret_scan, token_ledger, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.query,
     "op3_best_fit_packing": packing.query,
+    "op4_toxicity": toxicity.query,
     "op5_token_counts": token_ledger.query,
     "op6_quality_rules": quality_rules.query,
     "op9_url_filters": host_reputation.query,
