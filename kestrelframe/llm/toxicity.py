@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text becomes the set of its lower-cased terms (runs of letters and digits),
-hashed into ``2**BITS`` buckets. The machine scores
+A text becomes the set of its lower-cased terms (runs of letters and digits) and
+their stems (prefixes of ``STEMS`` bytes), hashed into ``2**BITS`` buckets. The machine scores
 ``w0 + sum w_i + 1/2 (|sum v_i|^2 - sum |v_i|^2)`` over the buckets present: linear
 weights, plus an inner product for every pair of terms, so that an insult and a
 group mention together weigh more than apart. It learns from a bounded sample of
@@ -26,14 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import table
-from .textkernel import LOWER, Texts, slices
+from .textkernel import LOWER, Texts, mix64, slices
 
-BITS = 18
+BITS = 20
+STEMS = (5, 6, 7, 8)
 RANK = 6
 FEATURES = 1024
 MIN_DF = 5
 TRAIN_DOCS = 16000
-TRAIN_TERMS = 4096
+TRAIN_TERMS = 8192
 THRESHOLD = 0.7
 
 TERM = np.zeros(256, bool)
@@ -61,11 +62,17 @@ class Machine:
 
 
 def buckets(t: Texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Text and bucket of every term of the texts."""
+    """Text and bucket of every term and stem of the texts."""
     starts, ends = t.spans(TERM[t.buf])
     lower = LOWER[t.buf]
-    key = t.span_hash(t.prefix_hash(lower), starts, ends)
-    return t.doc_of(starts), (key >> np.uint64(64 - bits)).astype(np.int64)
+    prefix = t.prefix_hash(lower)
+    doc = t.doc_of(starts)
+    docs, keys = [doc], [t.span_hash(prefix, starts, ends)]
+    for n in STEMS:
+        long = ends - starts > n
+        docs.append(doc[long])
+        keys.append(mix64(t.span_hash(prefix, starts[long], starts[long] + n) + np.uint64(n)))
+    return np.concatenate(docs), (np.concatenate(keys) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _distinct(doc: np.ndarray, item: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
