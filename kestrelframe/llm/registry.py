@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import host_reputation, packing, quality_classifier, quality_rules, secret_scan, simhash, token_ledger, toxicity
+from . import decontamination, host_reputation, packing, quality_classifier, quality_rules, secret_scan, simhash, token_ledger, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_token_counts": token_ledger.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_benchmark_decontamination": decontamination.query,
     "op8_simhash_near_dedup": simhash.query,
     "op9_url_filters": host_reputation.query,
     "op10_secret_scans": secret_scan.query,
