@@ -1,8 +1,60 @@
-"""The corpus pipeline: quality, near-duplicates, decontamination, secrets, packing."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, secrets, packing.
 
-STAGES = []
+Every stage takes what its predecessor kept, written as Parquet and read again, and
+all but the last return the columns of ``documents``. Nulls, empty tables and extra
+columns are handled by the operators as their modules state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kestrelframe.llm import decontamination, packing, quality_classifier, secret_scan, simhash
+from kestrelframe.llm.storage import materialise, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_classifier.accepted(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays, the one with the smallest doc_id."""
+    return simhash.first_of_groups(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every reported secret is masked in its text."""
+    return secret_scan.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in sequences of 1024 tokens."""
+    return packing.pack(docs, packing.default_tokenizer())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secrets),
+    ("best-fit packing", pack),
+]
+
+#: Trained models, Hamming search, edit distances and byte-level BPE are beyond SQL: tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage{k}")
+    return docs
