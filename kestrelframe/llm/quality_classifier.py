@@ -146,21 +146,29 @@ def sample(documents: DataFrame, labels: DataFrame, keep: Column, docs: int = TR
     return x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), got["y"].to_numpy().astype(np.float64)
 
 
-def score(documents: DataFrame, model: Model, held_out: Column, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """Score every whole text; one pass, no shuffle. ``keep_columns``: append to the documents' own columns instead."""
-    own = documents.columns if keep_columns else ["doc_id"]
-    source = documents if keep_columns else documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source = source.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    schema = source.select(*own, "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+def score(documents: DataFrame, model: Model, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """Score every whole text; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, t in slices(batch.column("text")):
-                bag, x = passages(t)
-                y = model.score(x, bag, t.n).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in [*own, "held_out"]] + [pa.array(y), pa.array((y >= threshold).astype(np.int32))], [*own, "held_out", "score", "predicted"])
+                y = model.score(*passages(t)[::-1], t.n).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")] + [pa.array(y), pa.array((y >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
-    return source.mapInArrow(run, schema)
+
+def accepted(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with their own columns, that score ``threshold`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, t in slices(batch.column("text")):
+                y = model.score(*passages(t)[::-1], t.n)
+                yield batch.slice(a, b - a).filter(pa.array(y >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
@@ -173,7 +181,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return score(documents, train(documents, table(spark, sf_dir, "labels")), fold(5) == 0)
 
-
-def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are scored good, with their own columns."""
-    return score(documents, train(documents, labels), F.lit(False), keep_columns=True).where("predicted = 1").select(*documents.columns)

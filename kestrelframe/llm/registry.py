@@ -1,9 +1,10 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import decontamination, host_reputation, packing, quality_classifier, quality_rules, secret_scan, simhash, token_ledger, toxicity
+from . import decontamination, host_reputation, packing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, token_ledger, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_best_fit_packing": packing.query,
     "op4_toxicity": toxicity.query,
     "op5_token_counts": token_ledger.query,

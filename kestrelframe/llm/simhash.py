@@ -290,5 +290,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_of_groups(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id; rows without an id stay."""
-    keep = groups(documents, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return documents.join(keep, F.col("doc_id") == F.col("kept_id")).drop("kept_id").unionByName(documents.where("doc_id IS NULL"))
+    keep = groups(documents, shingle, radius).where("doc_id = component_id").select("doc_id")
+    stay = documents.join(keep, documents["doc_id"] == keep["doc_id"], "left_semi")
+    return stay.unionByName(documents.where(documents["doc_id"].isNull()))
