@@ -1,4 +1,6 @@
 """Operators bound to the driver's tables: one named query each, with DuckDB SQL where SQL can express it."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import telemetry
+from .binding import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "telemetry"]
