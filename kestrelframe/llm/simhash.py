@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from .storage import materialise, table
 from .textkernel import LOWER, mix64
 

@@ -1,43 +1,5 @@
-"""Places that the driver and every executor share."""
+"""The library's shared-folder helpers, under one name for this subpackage."""
 
-from __future__ import annotations
+from ..storage import exists, materialise, remove, scratch, shared_dir, table
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, else a folder below the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/kestrelframe/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system API (any store)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["exists", "materialise", "remove", "scratch", "shared_dir", "table"]
