@@ -118,7 +118,7 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int, side: float, max_r
         near = F.array(*(F.lit(d) for d in (-1, 0, 1)))
         q = rest.select("*", *(c.alias(f"c{n}") for c, n in zip(cells, "xyz", strict=True)))
         for n in "xyz":
-            q = q.withColumn(f"v{n}", F.explode(F.transform(near, lambda d, n=n: F.col(f"c{n}") + d)))
+            q = q.withColumn("_d", F.explode(near)).withColumn(f"v{n}", F.col(f"c{n}") + F.col("_d"))
         d = F.sqrt(sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "yz"), (F.col("x") - F.col("px")) * (F.col("x") - F.col("px"))))
         found = q.join(p, ["vx", "vy", "vz"]).select("id", "x", "y", "z", "point_id", d.alias("distance"), *keep)
         ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "point_id"))).where(F.col("rank") <= k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,21 +17,21 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, with the SQL that gives the same rows."""
+    """Register a query, with the SQL that gives the same rows: its CTEs are put before it, and it may go on with ``, more AS (...)``."""
 
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = "WITH " + ",\n".join(v for k, v in CTES.items() if k + " " in sql or k + ")" in sql or k + "\n" in sql or k + "," in sql) + sql if _uses(sql) else sql.lstrip(", ")
+            used = [cte for word, cte in CTES.items() if re.search(rf"\b{word}(?!\w)", sql)]
+            if used:
+                ORACLE_SQL[name] = "WITH " + ",\n".join(used) + sql
+            else:
+                ORACLE_SQL[name] = re.sub(r"^\s*,", "WITH ", sql)
         return f
 
     return add
 
 
-def _uses(sql: str) -> bool:
-    return any(k + " " in sql or k + ")" in sql or k + "\n" in sql or k + "," in sql for k in CTES)
-
-
 def epoch(ts: Column) -> Column:
     """Seconds since 1970 of a zone-less timestamp, whatever the session's zone."""
     return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")) * 86400.0 + F.hour(ts) * 3600.0 + F.minute(ts) * 60.0 + F.extract(F.lit("SECOND"), ts).cast("double")
