@@ -111,7 +111,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, bits: int = BITS, features: int =
     pos = np.bincount(item, weights=y[doc], minlength=1 << bits)
     gap = pos - df * share
     chi = gap**2 / np.maximum(df * share * (1 - share) * (1 - df / n), 1e-9)
-    chi[(df < min_df) | (df > 0.5 * n)] = 0
+    chi[(df < min_df) | (df > 0.95 * n)] = 0
     best = np.argsort(-chi, kind="stable")[:features]
     best = best[chi[best] > 4.0]
     if not len(best):
