@@ -44,10 +44,10 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 SAMPLE = 8192
-LEAF_TARGET = 4096
+LEAF_TARGET = 16384
 DEPTH = 12
-HOMES = 8192
-GUESTS = 1 << 17
+HOMES = 32768
+GUESTS = 1 << 18
 _LOWER = LOWER.tobytes()
 _BLOCK = 1 << 18
 
@@ -245,29 +245,33 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             home = homes_of(tree, fp)
             part = _deal(fp, home_parts[home])
 
-            def rows(unit: np.ndarray, at: np.ndarray, resident: bool) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(unit), pa.array(fp[at].view(np.int64)), pa.array(np.full(len(at), resident))], ["unit", "fp", "resident"])
-
+            sent: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
             for g in range(int(guest_parts.max(initial=1))):  # residents go to every share of the guests
                 at = np.flatnonzero(g < guest_parts[home])
-                if len(at):
-                    yield rows(base[home[at]] + part[at] * guest_parts[home[at]] + g, at, True)
+                sent[True].append((base[home[at]] + part[at] * guest_parts[home[at]] + g, fp[at]))
             for p in range(1, int(home_parts.max(initial=1))):  # and visit the later parts of their own leaf
                 at = np.flatnonzero((p < home_parts[home]) & (part < p))
-                if len(at):
-                    yield rows(base[home[at]] + p * guest_parts[home[at]] + _deal(fp[at] + np.uint64(1), guest_parts[home[at]]), at, False)
+                sent[False].append((base[home[at]] + p * guest_parts[home[at]] + _deal(fp[at] + np.uint64(1), guest_parts[home[at]]), fp[at]))
             for leaf, at in guests_of(fp, home):
-                if len(at):
-                    g = _deal(fp[at] + np.uint64(1), guest_parts[np.full(len(at), leaf)])
-                    for p in range(int(home_parts[leaf])):
-                        yield rows(base[leaf] + p * guest_parts[leaf] + g, at, False)
+                g = _deal(fp[at] + np.uint64(1), guest_parts[np.full(len(at), leaf)])
+                sent[False] += [(base[leaf] + p * guest_parts[leaf] + g, fp[at]) for p in range(int(home_parts[leaf]))]
+            for resident, parts in sent.items():
+                unit, item = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), fp[:0])
+                order = np.argsort(unit, kind="stable")
+                units, first = np.unique(unit[order], return_index=True)
+                packs = [x.tobytes() for x in np.split(item[order], first[1:])] if len(units) else []
+                yield pa.RecordBatch.from_arrays([pa.array(units.astype(np.int64)), pa.array(packs, pa.binary()), pa.array([resident] * len(units), pa.bool_())], ["unit", "pack", "resident"])
 
     def search(units: pa.Table) -> pa.Table:
-        fp, resident = units.column("fp").to_numpy().view(np.uint64), units.column("resident").to_numpy()
-        a, b = local_stars(fp[resident], fp[~resident], radius) if resident.any() else (np.zeros(0, np.int64),) * 2
+        side = {True: [np.zeros(0, np.uint64)], False: [np.zeros(0, np.uint64)]}
+        for pack, resident in zip(units.column("pack"), units.column("resident").to_pylist(), strict=True):
+            side[resident].append(np.frombuffer(pack.as_buffer(), np.uint64))
+        homes, guests = np.concatenate(side[True]), np.concatenate(side[False])
+        a, b = local_stars(homes, guests, radius) if len(homes) else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": a, "b": b})
 
-    dealt = nodes.select("fp").mapInArrow(deal, "unit long, fp long, resident boolean")
+    # fingerprints travel packed: a row for each unit and batch, eight bytes a fingerprint
+    dealt = nodes.select("fp").mapInArrow(deal, "unit long, pack binary, resident boolean")
     return dealt.groupBy("unit").applyInArrow(search, "a long, b long")
 
 
