@@ -284,6 +284,7 @@ def groups(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = rooted.join(named, "root").select("fp", "component_id")
     ids = nodes.join(linked, "fp", "left").select(F.col("fp").alias("k"), F.coalesce("component_id", "first_id").alias("component_id"))
+    ids = materialise(ids, "ids")  # a plain scan on either side lets a hot fingerprint's partition be split
     return prints.join(ids, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
 
 
