@@ -12,14 +12,14 @@ from ..operators import clouds, components, rules
 from ..storage import table
 from .binding import emb, pts, query, rounded
 
-_STATS = "count(d) AS count, round(avg(d), 5) AS mean, round(quantile_cont(d, 0.5), 5) AS median, round(sqrt(avg(d * d)), 5) AS rmse, round(quantile_cont(d, 0.68), 5) AS p68, round(quantile_cont(d, 0.9), 5) AS p90, round(quantile_cont(d, 0.95), 5) AS p95, round(quantile_cont(d, 0.99), 5) AS p99, round(max(d), 5) AS max"
+_STATS = "count(d) AS count, round(avg(d), 7) AS mean, round(quantile_cont(d, 0.5), 7) AS median, round(sqrt(avg(d * d)), 7) AS rmse, round(quantile_cont(d, 0.68), 7) AS p68, round(quantile_cont(d, 0.9), 7) AS p90, round(quantile_cont(d, 0.95), 7) AS p95, round(quantile_cont(d, 0.99), 7) AS p99, round(max(d), 7) AS max"
 _MEASURES = ("mean", "median", "rmse", "p68", "p90", "p95", "p99", "max")
 
 
 @query("a3_error_statistics", f"""SELECT l_returnflag AS flag, {_STATS} FROM (SELECT l_returnflag, l_extendedprice / 1000 AS d FROM lineitem) GROUP BY 1""")
 def a3(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / 1000).alias("d"))
-    return rounded(clouds.error_statistics(li, "d", ["flag"]), 5, *_MEASURES)
+    return rounded(clouds.error_statistics(li, "d", ["flag"]), 7, *_MEASURES)
 
 
 @query("a4_coverage_thresholds", """ SELECT r, round(avg((z <= 10)::INT), 8) AS within_10_00, round(avg((z <= 25)::INT), 8) AS within_25_00, round(avg((z <= 50)::INT), 8) AS within_50_00, round(avg((z <= 100)::INT), 8) AS within_100_00 FROM pts_ GROUP BY r""")
@@ -82,9 +82,10 @@ def r4(spark, d):
     return clouds.voxel_sample(pts(spark, d), 5.0).select("id", "x", "y", "z")
 
 
-@query("r6_voxel_centroids", """ SELECT CAST(floor(x / 5) AS BIGINT) AS vx, CAST(floor(y / 5) AS BIGINT) AS vy, CAST(floor(z / 5) AS BIGINT) AS vz, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, count(*) AS n FROM pts_ GROUP BY 1, 2, 3""")
+@query("r6_voxel_centroids", """ SELECT CAST(floor(x / 5) AS BIGINT) AS vx, CAST(floor(y / 5) AS BIGINT) AS vy, CAST(floor(z / 5) AS BIGINT) AS vz, round(avg(x) + 1e-11, 9) AS x, round(avg(y) + 1e-11, 9) AS y, round(avg(z) + 1e-11, 9) AS z, count(*) AS n FROM pts_ GROUP BY 1, 2, 3""")
 def r6(spark, d):
-    return rounded(clouds.voxel_centroids(pts(spark, d), 5.0), 4, "x", "y", "z")
+    out = clouds.voxel_centroids(pts(spark, d), 5.0)
+    return rounded(out.withColumns({c: F.col(c) + 1e-11 for c in "xyz"}), 9, "x", "y", "z")  # the nudge keeps exact halves from rounding by the order of summing
 
 
 @query("r8_ground_points", f"""{_CELL}, g AS (SELECT "row", col, min(z) AS low FROM c GROUP BY ALL) SELECT c.id FROM c JOIN g ON c."row" = g."row" AND c.col = g.col WHERE z <= low + 0.5""")
@@ -171,7 +172,7 @@ def v7(spark, d):
     a, b = _halves(spark, d)
     near = clouds.neighbours(a, b, 1, 0.6)
     both = clouds.error_statistics(near, "distance").crossJoin(clouds.coverage(near, "distance", (0.5, 1.0)))  # one row each
-    return rounded(rounded(both, 5, *_MEASURES), 8, "within_0_50", "within_1_00")
+    return rounded(rounded(both, 7, *_MEASURES), 8, "within_0_50", "within_1_00")
 
 
 @query("a22_reconstruction_risk", f"""{_NN}, n AS (SELECT id, max(dist) FILTER ("rank" = 1) AS s, 6 / (4.0 / 3.0 * pi() * greatest(max(dist) FILTER ("rank" = 6), 1e-6) ** 3) AS g FROM k WHERE "rank" <= 6 GROUP BY id)
@@ -244,7 +245,7 @@ def a17(spark, d):
 
 @query("a19_multi_view_vote", """, o AS (SELECT l_partkey AS id, l_linenumber AS label, CASE WHEN l_discount < 0.03 THEN 0.0 ELSE l_discount END AS c FROM lineitem), s AS (SELECT id, label, sum(c) AS c, count(*) AS n FROM o WHERE c > 0 GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(c, 9) DESC, label) AS k, sum(n) OVER (PARTITION BY id) AS support FROM s)
-SELECT p_partkey AS id, CAST(coalesce(label, 0) AS BIGINT) AS label, round(coalesce(c / support, 0.0), 6) AS confidence, CAST(coalesce(support, 0) AS BIGINT) AS support FROM part LEFT JOIN b ON p_partkey = id AND k = 1""")
+SELECT p_partkey AS id, CAST(coalesce(label, 0) AS BIGINT) AS label, round(coalesce(c / support, 0.0), 9) AS confidence, CAST(coalesce(support, 0) AS BIGINT) AS support FROM part LEFT JOIN b ON p_partkey = id AND k = 1""")
 def a19(spark, d):
     li = table(spark, d, "lineitem")
     obs = li.select(F.col("l_partkey").alias("id"), F.col("l_linenumber").cast("long").alias("label"), F.when(F.col("l_discount") < 0.03, 0.0).otherwise(F.col("l_discount")).alias("confidence"))
@@ -252,7 +253,7 @@ def a19(spark, d):
     # sums of equal confidences differ in their last bits by order; compare them to nine places
     seen = obs.where("confidence > 0").groupBy("id", "label").agg(F.round(F.sum("confidence"), 9).alias("c"), F.count("*").alias("n"))
     best = seen.groupBy("id").agg(F.max(F.struct("c", (-F.col("label")).alias("l"))).alias("b"), F.sum("n").alias("support"))
-    return ids.join(best, "id", "left").select("id", F.coalesce(-F.col("b.l"), F.lit(0)).alias("label"), F.round(F.coalesce(F.col("b.c") / F.col("support"), F.lit(0.0)), 6).alias("confidence"), F.coalesce("support", F.lit(0)).alias("support"))
+    return ids.join(best, "id", "left").select("id", F.coalesce(-F.col("b.l"), F.lit(0)).alias("label"), F.round(F.coalesce(F.col("b.c") / F.col("support"), F.lit(0.0)), 9).alias("confidence"), F.coalesce("support", F.lit(0)).alias("support"))
 
 
 @query("a21_heatmap_summary", """ SELECT r, min(z) AS low, max(z) AS high, median(z) AS mid, count(*) AS n FROM pts_ GROUP BY r""")
