@@ -85,3 +85,23 @@ def best_view(weights: DataFrame) -> DataFrame:
     """From ``(fid, view, weight)``: the heaviest view of each face, the first on ties, none without weight."""
     best = F.max(F.struct("weight", (-F.col("view")).alias("v")))
     return weights.groupBy("fid").agg(best.alias("b")).select("fid", F.when(F.col("b.weight") > 0, -F.col("b.v")).alias("view"))
+
+
+def surface_matches(points: DataFrame, faces: DataFrame, vertices: DataFrame, radius: float, side: float | None = None) -> DataFrame:
+    """Closest surface point of each of ``points(id, x, y, z)`` on faces that have a corner within ``radius``: ``(id, fid, distance)``; points without one drop.
+
+    Corners are dealt into cubes of the radius and met by equality in a cube and its neighbours, never all by all.
+    """
+    h = side or radius
+    cells = [F.floor(F.col(c) / h) for c in "xyz"]
+    v = vertices.select("vid", F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz"), *(c.alias(f"k{n}") for c, n in zip(cells, "xyz", strict=True)))
+    q = points.select("id", "x", "y", "z", *(c.alias(f"c{n}") for c, n in zip(cells, "xyz", strict=True)))
+    reach = int(-(-radius // h))
+    for n in "xyz":
+        q = q.withColumn(f"k{n}", F.explode(F.sequence(F.col(f"c{n}") - reach, F.col(f"c{n}") + reach)))
+    p, w = (F.col("x"), F.col("y"), F.col("z")), (F.col("vx"), F.col("vy"), F.col("vz"))
+    near = q.join(v, ["kx", "ky", "kz"]).where(G.distance(p, w) <= radius).select("id", "x", "y", "z", "vid")
+    corner = faces.select("fid", "v0", "v1", "v2", F.explode(F.array_distinct(F.array("v0", "v1", "v2"))).alias("vid"))
+    some = near.join(corner, "vid").select("id", "x", "y", "z", "fid", "v0", "v1", "v2").distinct()
+    _, d = G.closest_on_triangle(p, *points_of())
+    return corners(some, vertices).groupBy("id").agg(F.min(F.struct(d.alias("distance"), "fid")).alias("m")).select("id", "m.fid", "m.distance")

@@ -72,8 +72,12 @@ FLIGHT_REQUIRED = ("mission_name", "drone_model", "camera_sensor", "video_file",
 
 
 def flight(spark: SparkSession, path: str) -> DataFrame:
-    """Flight metadata with ``errors``: missing keys, rates and durations that are not positive, homes off the globe, times out of order."""
-    df = spark.read.schema(FLIGHT).option("multiLine", True).json(path)
+    """Flight metadata documents with ``errors``."""
+    return flight_errors(spark.read.schema(FLIGHT).option("multiLine", True).json(path))
+
+
+def flight_errors(df: DataFrame) -> DataFrame:
+    """Adds ``errors``: missing keys, rates and durations that are not positive, homes off the globe, times out of order."""
     start, end, home = epoch_of(F.col("start_time_utc")), epoch_of(F.col("end_time_utc")), F.col("home_point")
     bad = [(F.col(c).isNull(), F.lit(f"missing {c}")) for c in FLIGHT_REQUIRED]
     bad += [(~(F.col(c) > 0) | (F.abs(F.col(c)) == float("inf")), F.lit(f"{c} not positive")) for c in ("video_fps", "video_duration_sec")]
@@ -248,6 +252,34 @@ def ply_faces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, fid long, v0 long, v1 long, v2 long")
 
 
+SENSOR_LOGS = ("gps", "accel", "gyro", "baro")
+
+
+def sensor_zip(spark: SparkSession, path: str) -> DataFrame:
+    """Sensor logs inside zip files: ``(stream, seq, t, v)`` from members named after their stream.
+
+    The first column of a log is a time in microseconds (0 where it cannot be read), the others are numbers.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+
+        for batch in batches:
+            for data in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for member in z.namelist():
+                        stream = next((s for s in SENSOR_LOGS if s in member.rsplit("/", 1)[-1].lower()), None)
+                        if stream is None or not member.endswith(".csv"):
+                            continue
+                        log = pd.read_csv(z.open(member), dtype=str, skipinitialspace=True)
+                        t = pd.to_numeric(log.iloc[:, 0], errors="coerce").fillna(0.0) / 1e6
+                        v = log.iloc[:, 1:].apply(pd.to_numeric, errors="coerce").to_numpy(float)
+                        yield pd.DataFrame({"stream": stream, "seq": np.arange(len(log)), "t": t, "v": list(v)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "stream string, seq long, t double, v array<double>")
+
+
 EVENT = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("stage", T.StringType()), T.StructField("progress", T.DoubleType()), T.StructField("message", T.StringType()), T.StructField("elapsed_sec", T.DoubleType())])
 
 

@@ -266,3 +266,47 @@ def test_terrain_coverage_states():
     got = raster.terrain(p, 0.0, 11.0, 1.0, 3.0, (3.0,))
     assert set(got["coverage"]) == {raster.OBSERVED, raster.INTERPOLATED} and len(got) < 121
     assert raster.terrain(p.iloc[:0], 0.0, 1.0, 1.0, 1.0).empty
+
+
+def test_surface_matches_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    v, q = rng.random((30, 3)) * 4, rng.random((12, 3)) * 4
+    f = rng.integers(0, 30, (40, 3))
+    frame = lambda a, names: spark.createDataFrame(pd.DataFrame({"k": np.arange(len(a))} | dict(zip(names, a.T, strict=True))))
+    faces, vertices = frame(f, ("v0", "v1", "v2")).withColumnRenamed("k", "fid"), frame(v, "xyz").withColumnRenamed("k", "vid")
+    points = frame(q, "xyz").withColumnRenamed("k", "id")
+
+    def gap(p, a, b, c):  # by dense sampling of the triangle
+        s = np.linspace(0, 1, 60)
+        u, w = np.meshgrid(s, s)
+        u, w = u[u + w <= 1], w[u + w <= 1]
+        return np.linalg.norm(a + u[:, None] * (b - a) + w[:, None] * (c - a) - p, axis=1).min()
+
+    got = {r.id: r.distance for r in mesh.surface_matches(points, faces, vertices, 1.5).collect()}
+    want = {}
+    for k, p in enumerate(q):
+        near = [t for t in f if (np.linalg.norm(v[t] - p, axis=1) <= 1.5).any()]
+        if near:
+            want[k] = min(gap(p, *v[t]) for t in near)
+    assert got.keys() == want.keys() and all(-1e-9 <= want[k] - got[k] < 0.06 for k in want)
+
+
+def test_camera_parameters(spark):
+    n = lambda x: F.lit(float(x))
+    text = lambda model: values(spark, geometry.camera_parameters(F.lit(model), n(1), n(2), n(3), n(4), [n(0.1), n(0.2)]))["c0"]
+    assert text("SIMPLE_PINHOLE") == "1.0,3.0,4.0" and text("PINHOLE") == "1.0,2.0,3.0,4.0" and text("RADIAL") == "1.0,3.0,4.0,0.1,0.2"
+    assert text("OPENCV") == "1.0,2.0,3.0,4.0,0.1,0.2,0.0,0.0"
+
+
+def test_region_heights(spark):
+    v = spark.createDataFrame([(k, 0.0, 0.0, float(z)) for k, z in enumerate((0, 0, 5, 1, 9, 9, 9))], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 2, 3), (2, 4, 5, 6)], "fid long, v0 long, v1 long, v2 long")
+    assert [(r.cluster, r.height, r.faces) for r in mesh.heights(f, v, F.lit(True)).collect()] == [(0, 5.0, 2)]
+
+
+def test_readiness_texts(spark):
+    r = spark.createDataFrame([(0.6, 0.9, 0.4, 0.3, 0.0, 0.0, 0, 99.0), (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0, 99.0)], "blur double, dark double, largest double, isolated double, near_zero double, pure_rotation double, jumps int, inliers double")
+    full = rules.readiness(r).collect()
+    assert full[0].status == "NOT_READY" and full[0].blocking[0] == "Excessive blur: 60.0%" and full[0].score <= 40 and full[1].status == "READY" and full[1].score == 100
+    said = rules.readiness(r, "extracted").select(rules.recommendations(F.col("blocking"), F.col("warnings")).alias("r"), "blocking").first()
+    assert len(said.r) == 2 and len(said.blocking) == 3

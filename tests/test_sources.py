@@ -132,3 +132,14 @@ def test_stateful_streams(spark, tmp_path):
 @pytest.mark.parametrize("text,want", [("2024-01-01T00:00:00Z", 1704067200.0), ("2024-01-01T02:00:00+02:00", 1704067200.0), ("5.5", 5.5), ("2024-01-01T00:00:00", None), ("2026", 2026.0), ("", None)])
 def test_times(spark, text, want):
     assert spark.createDataFrame([(text,)], "s string").select(files.epoch_of(F.col("s"))).first()[0] == want
+
+
+def test_sensor_zip(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "log.zip", "w") as z:
+        z.writestr("log/OnboardGPS.csv", "time, lat, lon\n1000000, 1, 2\nbad, 3, x\n")
+        z.writestr("log/RawAccel.csv", "time, x\n2500000, 9\n")
+        z.writestr("readme.txt", "no")
+    got = sorted((r.stream, r.seq, r.t, r.v[0]) for r in files.sensor_zip(spark, str(tmp_path / "log.zip")).collect())
+    assert got == [("accel", 0, 2.5, 9.0), ("gps", 0, 1.0, 1.0), ("gps", 1, 0.0, 3.0)]
