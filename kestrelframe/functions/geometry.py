@@ -62,8 +62,10 @@ def closest_on_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> tuple[Vec, Column]:
     va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
     # barycentric weights (of b, of c) by region; the first that fits holds
     in_a, in_b, in_c = (d1 <= 0) & (d2 <= 0), (d3 >= 0) & (d4 <= d3), (d6 >= 0) & (d5 <= d6)
-    on_ab, on_ac = (vc <= 0) & (d1 >= 0) & (d3 <= 0), (vb <= 0) & (d2 >= 0) & (d6 <= 0)
-    on_bc = (va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0)
+    # an edge without length is no edge: a flat triangle is met by its other edges
+    bc = sub(c, b)
+    on_ab, on_ac = (dot(ab, ab) > 0) & (vc <= 0) & (d1 >= 0) & (d3 <= 0), (dot(ac, ac) > 0) & (vb <= 0) & (d2 >= 0) & (d6 <= 0)
+    on_bc = (dot(bc, bc) > 0) & (va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0)
     k_ab, k_ac, k_bc = F.try_divide(d1, d1 - d3), F.try_divide(d2, d2 - d6), F.try_divide(d4 - d3, (d4 - d3) + (d5 - d6))
     total = va + vb + vc
 

@@ -272,7 +272,7 @@ def test_surface_matches_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     v, q = rng.random((30, 3)) * 4, rng.random((12, 3)) * 4
     f = rng.integers(0, 30, (40, 3))
-    frame = lambda a, names: spark.createDataFrame(pd.DataFrame({"k": np.arange(len(a))} | dict(zip(names, a.T, strict=True))))
+    frame = lambda a, names: spark.createDataFrame(pd.DataFrame({"k": np.arange(len(a))} | {n: a[:, i] for i, n in enumerate(names)}))
     faces, vertices = frame(f, ("v0", "v1", "v2")).withColumnRenamed("k", "fid"), frame(v, "xyz").withColumnRenamed("k", "vid")
     points = frame(q, "xyz").withColumnRenamed("k", "id")
 
@@ -285,7 +285,7 @@ def test_surface_matches_equal_brute_force(spark):
     got = {r.id: r.distance for r in mesh.surface_matches(points, faces, vertices, 1.5).collect()}
     want = {}
     for k, p in enumerate(q):
-        near = [t for t in f if (np.linalg.norm(v[t] - p, axis=1) <= 1.5).any()]
+        near = [t for t in f.tolist() if (np.linalg.norm(v[t] - p, axis=1) <= 1.5).any()]
         if near:
             want[k] = min(gap(p, *v[t]) for t in near)
     assert got.keys() == want.keys() and all(-1e-9 <= want[k] - got[k] < 0.06 for k in want)
