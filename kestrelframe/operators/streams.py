@@ -1,4 +1,9 @@
-"""Ordered-neighbour operators on sensor streams: statistics, gaps, duplicates, sampling."""
+"""Ordered-neighbour operators on sensor streams: statistics, gaps, duplicates, sampling.
+
+Where one stream may hold much of the data, ``width`` (in units of the first order
+column) cuts it into buckets that are windowed apart; a bucket's first row takes its
+neighbour from the last row of the bucket before, carried over the few bucket rows.
+"""
 
 from __future__ import annotations
 
@@ -18,12 +23,26 @@ def deduplicate(samples: DataFrame, by: Sequence[str], time: str, seq: str, keep
     return samples.groupBy(*by, time).agg(pick(row, F.col(seq)).alias("_r")).select(*by, time, "_r.*").select(*samples.columns)
 
 
-def statistics(samples: DataFrame, by: Sequence[str], time: str, seq: str) -> DataFrame:
+def previous(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str = "prev", width: float | None = None) -> DataFrame:
+    """Adds ``name``, a struct of the previous row's ``columns`` in ``order`` (null on the first row)."""
+    row = F.struct(*columns)
+    if width is None:
+        return rows.withColumn(name, F.lag(row).over(Window.partitionBy(*by).orderBy(*order)))
+    keys = [*by, "_bucket"]
+    cut = rows.withColumn("_bucket", F.floor(F.col(order[0]) / width))
+    local = cut.withColumn("_local", F.lag(row).over(Window.partitionBy(*keys).orderBy(*order)))
+    ends = cut.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_last"))
+    ends = ends.select(*keys, F.lag("_last").over(Window.partitionBy(*by).orderBy("_bucket")).alias("_carry"))
+    joined = local.join(ends, keys)
+    return joined.withColumn(name, F.coalesce("_local", "_carry")).select(*rows.columns, name)
+
+
+def statistics(samples: DataFrame, by: Sequence[str], time: str, seq: str, time_width: float | None = None, seq_width: float | None = None) -> DataFrame:
     """Per stream: kept samples, ends, duration, duplicates, backward steps in source order, largest gap, order flags."""
-    source = Window.partitionBy(*by).orderBy(seq)
-    line = Window.partitionBy(*by).orderBy(time, seq)
-    before, earlier = F.lag(time).over(source), F.lag(time).over(line)
-    flagged = samples.withColumns({"_back": (F.col(time) < before).cast("long"), "_same": (F.col(time) == earlier).cast("long"), "_gap": F.col(time) - earlier})
+    near = previous(samples, by, [seq], [time], "_source", seq_width)
+    near = previous(near, by, [time, seq], [time], "_line", time_width)
+    before, earlier = F.col("_source")[time], F.col("_line")[time]
+    flagged = near.withColumns({"_back": (F.col(time) < before).cast("long"), "_same": (F.col(time) == earlier).cast("long"), "_gap": F.col(time) - earlier})
     return flagged.groupBy(*by).agg(
         (F.count("*") - F.coalesce(F.sum("_same"), F.lit(0))).alias("sample_count"),
         F.min(time).alias("start_time"),
@@ -45,17 +64,18 @@ def coverage(stats: DataFrame, mission_start: Column, mission_end: Column) -> Da
     return stats.withColumns({"overlap_start": lo, "overlap_end": hi, "overlap_duration": hi - lo, "coverage_fraction": F.greatest(F.lit(0.0), F.coalesce(F.try_divide(hi - lo, mission_end - mission_start), F.lit(0.0)))})
 
 
-def steps(track: DataFrame, by: Sequence[str], time: str, lat: str, lon: str) -> DataFrame:
+def steps(track: DataFrame, by: Sequence[str], time: str, lat: str, lon: str, width: float | None = None) -> DataFrame:
     """Adds ``dt``, ``step_m`` and ``speed`` from the previous fix; null on the first."""
-    w = Window.partitionBy(*by).orderBy(time)
-    out = track.withColumns({"dt": F.col(time) - F.lag(time).over(w), "step_m": planar_step(F.lag(lat).over(w), F.lag(lon).over(w), F.col(lat), F.col(lon))})
+    p = F.col("_prev")
+    out = previous(track, by, [time], [time, lat, lon], "_prev", width)
+    out = out.withColumns({"dt": F.col(time) - p[time], "step_m": planar_step(p[lat], p[lon], F.col(lat), F.col(lon))}).drop("_prev")
     return out.withColumn("speed", F.when(F.col("dt") > 0, F.try_divide("step_m", "dt")).when(F.col("dt").isNotNull(), 0.0))
 
 
-def audit(track: DataFrame, by: Sequence[str], time: str, lat: str, lon: str, max_gap: float = 3.0, max_speed: float = 35.0) -> DataFrame:
+def audit(track: DataFrame, by: Sequence[str], time: str, lat: str, lon: str, max_gap: float = 3.0, max_speed: float = 35.0, width: float | None = None) -> DataFrame:
     """Gaps, outliers, stationary steps, and whether gaps block the mission."""
     s = F.col("speed")
-    return steps(track, by, time, lat, lon).groupBy(*by).agg(
+    return steps(track, by, time, lat, lon, width).groupBy(*by).agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("dt") > max_gap).alias("gaps"),
         F.count_if(s > max_speed).alias("outliers"),
@@ -63,10 +83,11 @@ def audit(track: DataFrame, by: Sequence[str], time: str, lat: str, lon: str, ma
     ).withColumn("blocked", (F.col("gaps") > 5) | (F.col("gaps") / F.col("rows") > 0.1))
 
 
-def order_faults(rows: DataFrame, by: Sequence[str], seq: str, time: str) -> DataFrame:
+def order_faults(rows: DataFrame, by: Sequence[str], seq: str, time: str, width: float | None = None) -> DataFrame:
     """Steps back and repeats in source order, and the largest step back."""
-    d = F.col(time) - F.lag(time).over(Window.partitionBy(*by).orderBy(seq))
-    return rows.withColumn("_d", d).groupBy(*by).agg(F.count_if(F.col("_d") < 0).alias("backward"), F.count_if(F.col("_d") == 0).alias("duplicates"), F.coalesce(F.min(F.when(F.col("_d") < 0, F.col("_d"))), F.lit(0.0)).alias("largest_jump_back"))
+    d = F.col(time) - F.col("_prev")[time]
+    near = previous(rows, by, [seq], [time], "_prev", width).withColumn("_d", d)
+    return near.groupBy(*by).agg(F.count_if(F.col("_d") < 0).alias("backward"), F.count_if(F.col("_d") == 0).alias("duplicates"), F.coalesce(F.min(F.when(F.col("_d") < 0, F.col("_d"))), F.lit(0.0)).alias("largest_jump_back"))
 
 
 def stratified(frames: int, fps: Column | float, window_s: float = 5.0, per_window: int = 3):

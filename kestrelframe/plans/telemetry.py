@@ -83,7 +83,7 @@ w AS (SELECT *, t - lag(t) OVER (PARTITION BY stream ORDER BY seq) AS raw, t - l
 SELECT stream, count(*) - count(*) FILTER (gap = 0) AS sample_count, min(t) AS start_time, max(t) AS end_time, max(t) - min(t) AS duration, count(*) FILTER (gap = 0) AS duplicate_count, count(*) FILTER (raw < 0) AS backward_count,
   coalesce(max(gap), 0.0) AS largest_gap_s, count(*) FILTER (raw < 0) = 0 AS source_was_monotonic, count(*) FILTER (raw < 0) > 0 AS rows_reordered FROM w GROUP BY stream""")
 def a1(spark, d):
-    return streams.statistics(_coarse(spark, d), ["stream"], "t", "seq")
+    return streams.statistics(_coarse(spark, d), ["stream"], "t", "seq", time_width=604800.0, seq_width=2e6)
 
 
 @query("a2_stream_coverage", """,
@@ -105,14 +105,14 @@ for _keep, _order in (("first", "ASC"), ("last", "DESC")):
 
 @query("w4_largest_gap", """ SELECT stream, round(max(g), 3) AS largest_gap FROM (SELECT stream, t - lag(t) OVER (PARTITION BY stream ORDER BY t) AS g FROM ev_ ) GROUP BY stream""")
 def w4(spark, d):
-    g = F.col("t") - F.lag("t").over(Window.partitionBy("stream").orderBy("t"))
-    return ev(spark, d).withColumn("g", g).groupBy("stream").agg(F.round(F.max("g"), 3).alias("largest_gap"))
+    near = streams.previous(ev(spark, d), ["stream"], ["t"], ["t"], "p", 604800.0)
+    return near.withColumn("g", F.col("t") - F.col("p.t")).groupBy("stream").agg(F.round(F.max("g"), 3).alias("largest_gap"))
 
 
 @query("w7_order_faults", f"""{_COARSE}, w AS (SELECT *, t - lag(t) OVER (PARTITION BY stream ORDER BY seq) AS dt FROM c)
 SELECT stream, count(*) FILTER (dt < 0) AS backward, count(*) FILTER (dt = 0) AS duplicates, coalesce(min(dt) FILTER (dt < 0), 0.0) AS largest_jump_back FROM w GROUP BY stream""")
 def w7(spark, d):
-    return streams.order_faults(_coarse(spark, d), ["stream"], "seq", "t")
+    return streams.order_faults(_coarse(spark, d), ["stream"], "seq", "t", width=2e6)
 
 
 @query("w6_non_decreasing_rows", f"""{_COARSE}, w AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY seq) + 1 AS line, t < lag(t) OVER (PARTITION BY stream ORDER BY seq) AS bad FROM c) SELECT stream, line FROM w WHERE bad""")
@@ -133,25 +133,25 @@ _STEPS = """, st AS (SELECT *, t - lag(t) OVER w AS dt, sqrt(((lat - lag(lat) OV
 
 @query("w1_step_speeds", f"""{_TRACK}{_STEPS} SELECT stream, seq, round(dt, 3) AS dt, round(step_m, 4) AS step_m, round(CASE WHEN dt > 0 THEN step_m / dt WHEN dt IS NOT NULL THEN 0.0 END, 4) AS speed FROM st""")
 def w1(spark, d):
-    return rounded(streams.steps(_track(spark, d), ["stream"], "t", "lat", "lon"), 4, "step_m", "speed").select("stream", "seq", F.round("dt", 3).alias("dt"), "step_m", "speed")
+    return rounded(streams.steps(_track(spark, d), ["stream"], "t", "lat", "lon", 604800.0), 4, "step_m", "speed").select("stream", "seq", F.round("dt", 3).alias("dt"), "step_m", "speed")
 
 
 @query("a7_track_audit", f"""{_TRACK}{_STEPS}, sp AS (SELECT *, CASE WHEN dt > 0 THEN step_m / dt WHEN dt IS NOT NULL THEN 0.0 END AS speed FROM st)
 SELECT stream, count(*) AS "rows", count(*) FILTER (dt > 3000.0) AS gaps, count(*) FILTER (speed > 35.0) AS outliers, count(*) FILTER (speed < 0.2) AS stationary, count(*) FILTER (dt > 3000.0) > 5 OR count(*) FILTER (dt > 3000.0) / count(*) > 0.1 AS blocked FROM sp GROUP BY stream""")
 def a7(spark, d):
-    return streams.audit(_track(spark, d), ["stream"], "t", "lat", "lon", max_gap=3000.0)
+    return streams.audit(_track(spark, d), ["stream"], "t", "lat", "lon", max_gap=3000.0, width=604800.0)
 
 
 @query("a34_baseline_statistics", f"""{_TRACK}{_STEPS} SELECT stream, round(min(step_m), 4) AS low, round(avg(step_m), 4) AS mean, round(max(step_m), 4) AS high, count(*) FILTER (step_m > 5) AS over_5, count(*) FILTER (step_m > 20) AS over_20 FROM st GROUP BY stream""")
 def a34(spark, d):
     s = F.col("step_m")
-    return streams.steps(_track(spark, d), ["stream"], "t", "lat", "lon").groupBy("stream").agg(F.round(F.min(s), 4).alias("low"), F.round(F.avg(s), 4).alias("mean"), F.round(F.max(s), 4).alias("high"), F.count_if(s > 5).alias("over_5"), F.count_if(s > 20).alias("over_20"))
+    return streams.steps(_track(spark, d), ["stream"], "t", "lat", "lon", 604800.0).groupBy("stream").agg(F.round(F.min(s), 4).alias("low"), F.round(F.avg(s), 4).alias("mean"), F.round(F.max(s), 4).alias("high"), F.count_if(s > 5).alias("over_5"), F.count_if(s > 20).alias("over_20"))
 
 
 @query("a33_trajectory_consistency", f"""{_TRACK}{_STEPS}, r AS (SELECT stream, abs(step_m - 0.9 * step_m - 0.01 * dt) AS e, t, lat, lon FROM st)
 SELECT stream, round(max(e), 4) AS max_diff, round(avg(e), 4) AS mean_diff, round(sqrt((arg_max(lat, t) - arg_min(lat, t)) ** 2 + (arg_max(lon, t) - arg_min(lon, t)) ** 2), 8) AS endpoint FROM r GROUP BY stream""")
 def a33(spark, d):
-    s = streams.steps(_track(spark, d), ["stream"], "t", "lat", "lon").withColumn("e", F.abs(F.col("step_m") - 0.9 * F.col("step_m") - 0.01 * F.col("dt")))
+    s = streams.steps(_track(spark, d), ["stream"], "t", "lat", "lon", 604800.0).withColumn("e", F.abs(F.col("step_m") - 0.9 * F.col("step_m") - 0.01 * F.col("dt")))
     span = lambda c: (F.max_by(c, "t") - F.min_by(c, "t")) ** 2
     return s.groupBy("stream").agg(F.round(F.max("e"), 4).alias("max_diff"), F.round(F.avg("e"), 4).alias("mean_diff"), F.round(F.sqrt(span("lat") + span("lon")), 8).alias("endpoint"))
 

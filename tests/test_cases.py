@@ -310,3 +310,13 @@ def test_readiness_texts(spark):
     assert full[0].status == "NOT_READY" and full[0].blocking[0] == "Excessive blur: 60.0%" and full[0].score <= 40 and full[1].status == "READY" and full[1].score == 100
     said = rules.readiness(r, "extracted").select(rules.recommendations(F.col("blocking"), F.col("warnings")).alias("r"), "blocking").first()
     assert len(said.r) == 2 and len(said.blocking) == 3
+
+
+def test_buckets_do_not_change_neighbours(spark):
+    rng = np.random.default_rng(9)
+    n = 400
+    df = spark.createDataFrame(pd.DataFrame({"k": rng.integers(0, 3, n), "q": np.arange(n), "t": rng.integers(0, 90, n) * 10.0, "la": rng.normal(size=n), "lo": rng.normal(size=n)}))
+    plain, cut = (sorted(map(str, streams.previous(df, ["k"], ["t", "q"], ["q", "t"], "p", w).collect())) for w in (None, 37.0))
+    assert plain == cut
+    assert sorted(map(str, streams.statistics(df, ["k"], "t", "q").collect())) == sorted(map(str, streams.statistics(df, ["k"], "t", "q", 50.0, 29.0).collect()))
+    assert streams.previous(df.limit(0), ["k"], ["t"], ["q"], "p", 5.0).count() == 0
