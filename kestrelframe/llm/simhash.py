@@ -272,7 +272,9 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     # fingerprints travel packed: a row for each unit and batch, eight bytes a fingerprint
     dealt = nodes.select("fp").mapInArrow(deal, "unit long, pack binary, resident boolean")
-    return dealt.groupBy("unit").applyInArrow(search, "a long, b long")
+    # units are light in bytes and heavy in work: a stated number keeps them from being put together by size
+    parts = max(1, min(4 * int(base[-1]), 1 << 14))
+    return dealt.repartition(parts, "unit").groupBy("unit").applyInArrow(search, "a long, b long")
 
 
 def groups(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
