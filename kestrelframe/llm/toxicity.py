@@ -105,10 +105,13 @@ def fit(sets: list[np.ndarray], y: np.ndarray, bits: int = BITS, features: int =
     flat = Machine(bits, slot, float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(0), np.zeros((0, rank)))
     if not n or share in (0.0, 1.0):
         return flat
-    item = np.concatenate(sets) if sets else np.zeros(0, np.int32)
-    doc = np.repeat(np.arange(n), [len(s) for s in sets])
-    df = np.bincount(item, minlength=1 << bits).astype(float)
-    pos = np.bincount(item, weights=y[doc], minlength=1 << bits)
+    df, pos = np.zeros(1 << bits), np.zeros(1 << bits)
+    chunks = range(0, n, 512)  # a few documents at a time keep the driver small
+    for a in chunks:
+        item = np.concatenate(sets[a : a + 512])
+        weight = np.repeat(y[a : a + 512], [len(s) for s in sets[a : a + 512]])
+        df += np.bincount(item, minlength=1 << bits)
+        pos += np.bincount(item, weights=weight, minlength=1 << bits)
     gap = pos - df * share
     chi = gap**2 / np.maximum(df * share * (1 - share) * (1 - df / n), 1e-9)
     chi[(df < min_df) | (df > 0.95 * n)] = 0
@@ -117,9 +120,10 @@ def fit(sets: list[np.ndarray], y: np.ndarray, bits: int = BITS, features: int =
     if not len(best):
         return flat
     slot[best] = np.arange(len(best))
-    f = slot[item]
     x = np.zeros((n, len(best)), np.float32)
-    x[doc[f >= 0], f[f >= 0]] = 1
+    for k, items in enumerate(sets):
+        f = slot[items]
+        x[k, f[f >= 0]] = 1
     rng = np.random.default_rng(7)
     w0 = np.array([np.log(share / (1 - share))])
     w, v = np.zeros(len(best)), rng.normal(0, 0.05, (len(best), rank))
