@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelframe.llm import decontamination, packing, quality_classifier, secret_scan, simhash
+from kestrelframe.llm import decontamination, near_copies, packing, quality_classifier, secret_scan
 from kestrelframe.llm.storage import materialise, table
 
 
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest doc_id."""
-    return simhash.first_of_groups(docs)
+    """One document of each group of near copies (five-word Jaccard similarity 0.8 or more) stays, the one with the smallest doc_id."""
+    return near_copies.first_of_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
