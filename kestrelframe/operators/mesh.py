@@ -101,6 +101,7 @@ def surface_matches(points: DataFrame, faces: DataFrame, vertices: DataFrame, ra
         q = q.withColumn(f"k{n}", F.explode(F.sequence(F.col(f"c{n}") - reach, F.col(f"c{n}") + reach)))
     p, w = (F.col("x"), F.col("y"), F.col("z")), (F.col("vx"), F.col("vy"), F.col("vz"))
     near = q.join(v, ["kx", "ky", "kz"]).where(G.distance(p, w) <= radius).select("id", "x", "y", "z", "vid")
+    faces = faces.groupBy("v0", "v1", "v2").agg(F.min("fid").alias("fid"))  # of faces with equal corners the least is the closest
     corner = faces.select("fid", "v0", "v1", "v2", F.explode(F.array_distinct(F.array("v0", "v1", "v2"))).alias("vid"))
     some = near.join(corner, "vid").select("id", "x", "y", "z", "fid", "v0", "v1", "v2").distinct()
     _, d = G.closest_on_triangle(p, *points_of())

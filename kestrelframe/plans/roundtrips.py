@@ -174,10 +174,10 @@ def j15(spark, d):
 
 @query("j20_surface_matches", None)
 def j20(spark, d):
-    from .surfaces import _mesh
+    from .surfaces import _whole_mesh
 
-    f, v = _mesh(spark, d)
-    q = emb(spark, d).where("id % 25 = 0").select("id", (F.col("x") + 0.1).alias("x"), "y", (F.col("z") - 0.1).alias("z"))
+    f, v = _whole_mesh(spark, d)
+    q = emb(spark, d).select("id", (F.col("x") + 0.1).alias("x"), "y", (F.col("z") - 0.1).alias("z"))
     return mesh.surface_matches(q, f, v, 0.8).select("id", "fid", F.round("distance", 6).alias("distance"))
 
 
