@@ -38,9 +38,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_IDENT = re.compile(r"""\b(?:user(?:name)?|login|account|client_id|access_key_id|access_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,64})""", re.IGNORECASE | re.ASCII)
+_IDENT = re.compile(r"""\b(?:user(?:name)?|login|account|client_id|access_key_id|access_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""", re.IGNORECASE | re.ASCII)
 _IDENT_NAMES = ("user", "login", "account", "client_id", "access_key_id", "access_id")
-_WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_-])", re.ASCII)
+_WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])", re.ASCII)
 _LONG_WORD = re.compile(r"[A-Za-z0-9+/_-]{16}", re.ASCII)
 _ENDPOINT = re.compile(r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s\"'<>]{4,}", re.ASCII)
 
