@@ -148,7 +148,7 @@ def a28(spark, d):
 
 @query("v8_control_geometry", None)
 def v8(spark, d):
-    controls = table(spark, d, "supplier").limit(50).select(F.col("s_suppkey").alias("id"), (22.9 + F.col("s_nationkey") / 1000).alias("latitude"), (72.3 + F.col("s_suppkey") / 1000).alias("longitude"), (F.col("s_acctbal") / 1000).alias("elevation"))
+    controls = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (22.9 + F.col("s_nationkey") / 1000).alias("latitude"), (72.3 + F.col("s_suppkey") / 1000).alias("longitude"), (F.col("s_acctbal") / 1000).alias("elevation"))
     quality, reasons = transform.control_geometry(controls)
     return spark.range(1).select(F.lit(quality).alias("quality"), F.lit(len(reasons)).alias("reasons"))
 

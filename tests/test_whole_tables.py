@@ -38,3 +38,27 @@ def test_mesh_queries_read_every_face(spark, tmp_path):
     used = {v for f in faces.values() for v in f}
     # every corner's own query lies 0.14 from it and so has a face
     assert used <= {r.id for r in run("j20_surface_matches")}
+
+
+def test_every_control_is_judged(spark, tmp_path):
+    def judged(rows, name):
+        spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/{name}/supplier.parquet")
+        return tuple(entry.queries()["v8_control_geometry"](spark, f"{tmp_path}/{name}").first())
+
+    rows = [(k, k * 7 % 25, k * 37 % 900 * 1e3) for k in range(80)]
+    assert judged(rows, "apart") == ("GOOD", 0)
+    flat = [(k, k * 7 % 25, 0.1 if k < 70 else k * 1e5) for k in range(80)]  # the first fifty alone lie on a plane
+    assert judged(flat, "late")[0] == "GOOD"
+
+
+def test_any_within_equals_brute_force(spark):
+    from itertools import combinations
+    from math import dist
+
+    from kestrelframe.operators import transform
+
+    for seed in range(6):
+        rng = random.Random(seed)
+        rows = [(k, *(rng.uniform(0, 1.6) for _ in range(3))) for k in range(60)]
+        want = any(dist(a[1:], b[1:]) < 0.1 for a, b in combinations(rows, 2))
+        assert transform.any_within(spark.createDataFrame(rows, "id int, x double, y double, z double"), 0.1) == want
