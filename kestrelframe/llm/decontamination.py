@@ -1,8 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Items and texts are compared with ASCII letters in lower case and runs of ASCII
-white space as single spaces. An item may occur with up to ``budget`` edits, one for every
-``CHARS_PER_EDIT`` characters (3 to 8 edits are typical). Cut into budget + 1
+white space as single spaces. An item may occur, anywhere in a text, with up to ``budget``
+edits, one for every ``CHARS_PER_EDIT`` of its characters, whatever its length. Cut into budget + 1
 pieces, some piece must then occur unchanged: an Aho-Corasick automaton finds
 every exact piece hit in one pass over the whole text, each hit names a window in
 which the item can lie, and Myers' bit-parallel algorithm computes the best
@@ -14,9 +14,8 @@ The benchmark is the stated query set. It is taken in blocks of at most
 sent to every task; documents are read once per block and never shuffled. Pieces
 that several items share are listed once in the automaton.
 
-Edge cases: null and empty texts match nothing; null or blank items are left out;
-items shorter than ``MIN_PIECE`` characters match only exactly, as whole words;
-equal items each report; repeated documents report alike; ties in distance go to
+Edge cases: null and empty texts match nothing; items with a null or blank text are
+left out, items with a null id match under it; equal items each report; repeated documents report alike; ties in distance go to
 the leftmost end; an empty benchmark or table gives no rows; extra columns are
 ignored.
 """
@@ -34,7 +33,6 @@ from .storage import table
 from .textkernel import LOWER
 
 CHARS_PER_EDIT = 13
-MIN_PIECE = 12
 BLOCK_PIECES = 20_000
 
 _LOWER = LOWER.tobytes()
@@ -46,7 +44,7 @@ def normalise(text: str) -> str:
 
 def budget_of(item: str) -> int:
     """Edits that still count as the item."""
-    return max(0, min(len(item) // CHARS_PER_EDIT, len(item) // MIN_PIECE - 1))
+    return len(item) // CHARS_PER_EDIT
 
 
 def pieces_of(item: str) -> list[tuple[int, str]]:
@@ -116,8 +114,6 @@ class Matcher:
             item_id, item = self.items[k]
             budget = budget_of(item)
             at = text.find(item)
-            while at >= 0 and len(item) < MIN_PIECE and not self._whole(text, at, at + len(item)):
-                at = text.find(item, at + 1)
             if at >= 0:
                 out.append((item_id, 0, len(starts), at + len(item)))
                 continue
@@ -144,17 +140,13 @@ class Matcher:
             self.myers[k] = Myers(self.items[k][1])
         return self.myers[k]
 
-    @staticmethod
-    def _whole(text: str, a: int, b: int) -> bool:
-        return (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
-
 
 def blocks(benchmark: DataFrame, size: int = BLOCK_PIECES) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in bounded blocks, read one partition at a time."""
     block, n = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         item = normalise(row["text"] or "")
-        if not item or row["item_id"] is None:
+        if not item:
             continue
         cost = budget_of(item) + 1
         if block and n + cost > size:

@@ -198,7 +198,7 @@ def edited(text, n, rng):
 
 def test_matches_equal_brute_force(spark, text_of):
     rng = random.Random(8)
-    items = [(k, text_of(1000 + k, rng.randint(2, 25))) for k in range(12)] + [(90, None), (91, " "), (92, "tiny one"), (0, text_of(1000, 9))]
+    items = [(k, text_of(1000 + k, rng.randint(2, 25))) for k in range(12)] + [(90, None), (91, " "), (92, "tiny one"), (93, "elevenchars"), (94, "twelve chars"), (95, "thirteen char"), (None, "an item without id"), (0, text_of(1000, 9))]
     docs = []
     for k in range(60):
         own = text_of(k, 60)
@@ -206,17 +206,14 @@ def test_matches_equal_brute_force(spark, text_of):
             item = items[rng.randrange(12)][1]
             own = own[:150] + " " + edited(item, rng.randint(0, decontamination.budget_of(item) + 6), rng) + " " + own[150:]
         docs.append((k, own if k % 7 else own.upper().replace(" ", "\n ")))
-    docs += [(100, None), (101, ""), (102, "a tiny one here"), (103, "a tiny oneself")]
+    docs += [(100, None), (101, ""), (102, "a tiny one here"), (103, "a tiny oneself"), (104, "xelevenchars, twelve chaos, tirteen char, an itme without id")]
     got = {(r.doc_id, r.item_id, r.distance) for r in decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = set()
     for k, t in docs:
         text = decontamination.normalise(t or "")
         for i, item in items:
             n = decontamination.normalise(item or "")
-            if n and len(n) < decontamination.MIN_PIECE:
-                if f" {n} " in f" {text} ":
-                    want.add((k, i, 0))
-            elif n and (d := edit_search(n, text)[0]) <= decontamination.budget_of(n):
+            if n and (d := edit_search(n, text)[0]) <= len(n) // decontamination.CHARS_PER_EDIT:
                 want.add((k, i, d))
     assert got == want and len(want) > 15 and any(d for *_, d in want)
 
