@@ -5,9 +5,9 @@ byte histogram and a few repetition rates by a learned layer; gated attention
 (tanh times sigmoid) weighs the passages, and a logistic unit scores the weighted
 passage representation. Only the document's label is known; which passages carry
 it is what the attention learns. Encoder, attention and score are trained together
-by Adam on a bounded sample: ``TRAIN_DOCS`` labelled documents, ``TRAIN_PASSAGES``
-evenly spaced passages of each. Scoring encodes every passage of every whole text
-in one pass; only the model (some 8,000 numbers) is shipped.
+by Adam on a bounded sample: at most ``TRAIN_DOCS`` labelled documents of ``TRAIN_BYTES``
+together, every passage of each (see :mod:`training`). Scoring encodes every passage
+of every whole text in one pass; only the model (some 8,000 numbers) is shipped.
 
 Edge cases: a null or empty text is one passage of zeros; without labelled rows of
 both kinds every score is the share of good ones (0.5 without any); a document
@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from .storage import table
 from .textkernel import Texts, mix64, repeated, slices
 from .toxicity import fold
+from .training import labelled
 
 PASSAGE = 64
 HIDDEN = 24
 GATE = 12
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 48
+TRAIN_BYTES = 24 << 20
 THRESHOLD = 0.3
 WIDTH = 256 + 5
 
@@ -103,8 +104,9 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, steps: int = 200, rate: f
     p = {k: v.astype(np.float32) for k, v in p.items()}
     if not n or y.all() or not y.any():
         return Model(np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), p)
-    mean, scale = x.mean(0), x.std(0) + 1e-2
-    model, x = Model(mean, scale, p), ((x - mean) / scale).astype(np.float32)
+    mean = x.mean(0)
+    scale = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean**2, 0)).astype(np.float32) + np.float32(1e-2)
+    model, x = Model(mean, scale, p), (x - mean) / scale
     m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, steps + 1):
         f = model.forward(x, bag, n)
@@ -126,24 +128,24 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, steps: int = 200, rate: f
     return model
 
 
-def sample(documents: DataFrame, labels: DataFrame, keep: Column, docs: int = TRAIN_DOCS, most: int = TRAIN_PASSAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passages, bags and labels of at most ``docs`` labelled documents for which ``keep`` (over ``doc_id``) holds."""
-    rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & keep)
-    chosen = rows.groupBy(F.col("doc_id").alias("k")).agg(F.max("quality").cast("long").alias("y")).orderBy(F.xxhash64("k"), "k").limit(docs)
-    taken = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("text", "y")
+def sample(documents: DataFrame, labels: DataFrame, keep: Column, docs: int = TRAIN_DOCS, budget: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All passages, their bags, and the labels of a bounded number of labelled documents for which ``keep`` (over ``doc_id``) holds."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, t in slices(batch.column("text")):
                 bag, x = passages(t)
                 cut = np.searchsorted(bag, np.arange(t.n + 1))
-                bags = [x[i:j][np.unique(np.linspace(0, j - i - 1, min(most, j - i)).astype(int))].astype(np.float16).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                bags = [x[i:j].astype(np.float16).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(a, b - a), pa.array(bags, pa.binary())], ["y", "x"])
 
-    got = taken.mapInArrow(extract, "y long, x binary").toPandas()
-    bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in got["x"]]
-    x = np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, WIDTH), np.float32)
-    return x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), got["y"].to_numpy().astype(np.float64)
+    got = labelled(documents, labels, "quality", docs, budget, keep=keep).mapInArrow(extract, "y long, x binary").toArrow()
+    bags = [np.frombuffer(b.as_buffer(), np.float16).reshape(-1, WIDTH) for b in got.column("x")]
+    size = np.array([len(b) for b in bags], np.int64)
+    x = np.empty((int(size.sum()), WIDTH), np.float32)
+    for at, b in zip(np.cumsum(size) - size, bags, strict=True):
+        x[at : at + len(b)] = b
+    return x, np.repeat(np.arange(len(bags)), size), got.column("y").to_numpy().astype(np.float64)
 
 
 def score(documents: DataFrame, model: Model, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,7 +6,9 @@ and the share of words that lie in content lines decides whether a text is kept.
 The field is trained here by gradient ascent on its exact log likelihood
 (forward-backward). No line labels exist, so lines take the quality label of
 their document (distant supervision): noise that the transition weights and the
-lines which both kinds of document share even out.
+lines which both kinds of document share even out. It learns from every line of at most
+``TRAIN_DOCS`` labelled documents of ``TRAIN_LINES`` lines together (see :mod:`training`);
+a text of more than ``SEQUENCE`` lines trains as several sequences.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not
 kept. Without training rows the field keeps ``PRIOR`` weights. Repeated rows are
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .storage import table
 from .textkernel import SPACE, Texts, later_copies, mix64, repeated, slices
+from .training import labelled
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -37,9 +40,10 @@ END_MARK[list(b".?:;")] = True
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_SHARE = 0.5
-#: Training bounds: labelled documents taken, and lines taken of each of them.
+#: Training bounds: labelled documents taken, and how many lines they have in all.
 TRAIN_DOCS = 3000
-TRAIN_LINES = 200
+TRAIN_LINES = 400_000
+SEQUENCE = 200
 
 FEATURES = ("bias", "symbols", "many_symbols", "upper", "all_upper", "copy", "same_word", "few_words", "one_word", "ends_sentence", "bangs", "digits")
 #: Used where no labelled rows exist: symbol-heavy, shouted, repeated lines lean to boilerplate.
@@ -211,26 +215,26 @@ def fit(x: np.ndarray, y: np.ndarray, line_doc: np.ndarray, n: int, steps: int =
     return field
 
 
-def training_lines(documents: DataFrame, labels: DataFrame, docs: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Line features of at most ``docs`` labelled documents, at most ``lines`` of each (evenly spaced runs are not needed: the first ones)."""
-    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("k")).agg(F.max("quality").alias("q")).orderBy(F.xxhash64("k"), "k").limit(docs)
-    taken = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("text", "q")
+def training_lines(documents: DataFrame, labels: DataFrame, docs: int = TRAIN_DOCS, lines: int = TRAIN_LINES, sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Features and labels of all lines of a bounded number of labelled documents, the sequence of each line, and their number."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            quality = np.asarray(batch.column("q").to_pylist(), np.int64)
             for a, b, t in slices(batch.column("text")):
                 s = scan(t)
                 size, first = _ranks(s["line_doc"], t.n)
-                rows = [s["x"][f : f + min(c, lines)].astype(np.uint8).tobytes() for f, c in zip(first, size, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(quality[a:b]), pa.array(rows, pa.binary())], ["q", "x"])
+                rows = [s["x"][f : f + c].astype(np.uint8).tobytes() for f, c in zip(first, size, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("y").slice(a, b - a), pa.array(rows, pa.binary())], ["y", "x"])
 
-    got = taken.mapInArrow(extract, "q long, x binary").toPandas()
-    xs = [np.frombuffer(r, np.uint8).reshape(-1, len(FEATURES)) for r in got["x"]]
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    got = labelled(documents, labels, "quality", docs, lines, size=ends).mapInArrow(extract, "y long, x binary").toArrow()
+    xs = [np.frombuffer(r.as_buffer(), np.uint8).reshape(-1, len(FEATURES)) for r in got.column("x")]
     size = np.array([len(r) for r in xs], np.int64)
     x = np.concatenate(xs) if xs else np.zeros((0, len(FEATURES)), np.uint8)
-    y = np.repeat(got["q"].to_numpy() == 0, size) if len(got) else np.zeros(0, bool)
-    return x.astype(np.float32), y.astype(np.float64), np.repeat(np.arange(len(xs)), size), len(xs)
+    y = np.repeat(got.column("y").to_numpy() == 0, size) if len(xs) else np.zeros(0, bool)
+    nth = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    of = np.cumsum(nth % sequence == 0) - 1
+    return x.astype(np.float32), y.astype(np.float64), of, int(of[-1]) + 1 if len(of) else 0
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"

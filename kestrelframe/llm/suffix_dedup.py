@@ -47,6 +47,10 @@ KGRAM = 32
 UNIT_TEXT = 6 << 20  # bytes of input text for each unit
 _SPAN = LENGTH - KGRAM + 1
 _PACK = 1 << 31
+SLICE = 1 << 20  # bytes of text looked at together: copies that stand close are settled there
+_ROLL = 0x9E3779B97F4A7C15
+_ROLL_INV = pow(_ROLL, -1, 1 << 64)
+_powers: dict[str, np.ndarray] = {}
 
 
 def _sliding(a: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
@@ -58,13 +62,24 @@ def _sliding(a: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
     return op(cur[:n], cur[w - k : w - k + n]) if k < w else cur
 
 
-def minimizers(t: Texts, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def kgrams(buf: np.ndarray, k: int = KGRAM) -> np.ndarray:
+    """A rolling hash (modulo 2**64) of every ``k`` bytes. It only says where strings meet; equality is decided on bytes."""
+    n = len(buf)
+    if len(_powers.get("up", ())) <= n:
+        for name, base in (("up", _ROLL), ("down", _ROLL_INV)):
+            seq = np.full(max(n + 1, SLICE + 4096), base, np.uint64)
+            seq[0] = 1
+            _powers[name] = np.multiply.accumulate(seq)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers["up"][:n], out=sums[1:])
+    return mix64((sums[k:] - sums[:-k]) * _powers["down"][: n - k + 1])
+
+
+def minimizers(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """K-gram hashes, and each window's minimizer (0 where a window would cross texts)."""
-    n = len(t.buf)
-    if n < LENGTH:
+    if len(t.buf) < LENGTH:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    at = np.arange(n - KGRAM + 1)
-    g = np.maximum(t.span_hash(prefix, at, at + KGRAM), np.uint64(1))
+    g = np.maximum(kgrams(t.buf), np.uint64(1))
     low = _sliding(g, _SPAN, np.minimum)
     for end in t.off[1:-1]:
         low[max(0, end - LENGTH + 1) : end] = 0
@@ -92,8 +107,8 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["key", "row", "value", "n"]
     for batch in batches:
         row = batch.column("row").to_numpy()
-        for a, b, t in slices(batch.column("text")):
-            g, low = minimizers(t, t.prefix_hash())
+        for a, b, t in slices(batch.column("text"), SLICE):
+            g, low = minimizers(t)
             at = places(g, low)
             if not len(at):
                 continue
@@ -143,9 +158,9 @@ def _cutter(units: int):
         names = [c.split()[0] for c in _PARTS.split(", ")]
         for batch in batches:
             rows, docs, wanted = batch.column("row").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("wanted")
-            for a, b, t in slices(batch.column("text")):
+            for a, b, t in slices(batch.column("text"), SLICE):
                 prefix = t.prefix_hash()
-                _, low = minimizers(t, prefix)
+                _, low = minimizers(t)
                 first, size = runs(low)
                 if not len(first):
                     continue
@@ -214,7 +229,7 @@ def merge_unit(parts: pa.Table) -> pa.Table:
         value, row, doc, start, size = (parts.column(c).to_numpy() for c in ("value", "row", "doc_id", "start", "windows"))
         bodies = parts.column("segment").combine_chunks()
         bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
-        (_, _, t), = slices(bodies, 1 << 62)
+        (_, _, t), = slices(bodies, 1 << 62, 1 << 62)
         text = mix64(t.span_hash(t.prefix_hash(), t.off[:-1], t.off[1:]) + value.view(np.uint64))
         order, gone = _later(doc, start, text)
         dead = order[gone]

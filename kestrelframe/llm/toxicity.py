@@ -4,10 +4,11 @@ A text becomes the set of its lower-cased terms (runs of letters and digits) and
 their stems (prefixes of ``STEMS`` bytes), hashed into ``2**BITS`` buckets. The machine scores
 ``w0 + sum w_i + 1/2 (|sum v_i|^2 - sum |v_i|^2)`` over the buckets present: linear
 weights, plus an inner product for every pair of terms, so that an insult and a
-group mention together weigh more than apart. It learns from a bounded sample of
-labelled documents (``TRAIN_DOCS``, ``TRAIN_TERMS`` of each) and keeps the
-``FEATURES`` buckets that the labels single out; scoring reads whole texts in one
-pass and ships only the model (at most ``FEATURES * (RANK + 1)`` numbers).
+group mention together weigh more than apart. It learns from all terms of at most
+``TRAIN_DOCS`` labelled documents of ``TRAIN_BYTES`` together (see :mod:`training`). Every
+bucket that ``MIN_DF`` of them hold and whose share of toxic ones differs from the rest
+(chi-square above ``CHI``) has weights; the others' would stay at zero. Scoring reads
+whole texts in one pass and ships only the model.
 
 Edge cases: null and empty texts have no terms and score by ``w0`` alone; without
 labelled rows of both kinds every score is the share of toxic ones (0 without
@@ -27,14 +28,15 @@ from pyspark.sql import functions as F
 
 from .storage import table
 from .textkernel import LOWER, Texts, mix64, slices
+from .training import labelled
 
 BITS = 20
 STEMS = (5, 6, 7, 8)
 RANK = 6
-FEATURES = 1024
 MIN_DF = 5
+CHI = 4.0
 TRAIN_DOCS = 16000
-TRAIN_TERMS = 8192
+TRAIN_BYTES = 64 << 20
 THRESHOLD = 0.7
 
 TERM = np.zeros(256, bool)
@@ -80,26 +82,23 @@ def _distinct(doc: np.ndarray, item: np.ndarray, width: int) -> tuple[np.ndarray
     return pair // width, pair % width
 
 
-def sample(documents: DataFrame, labels: DataFrame, keep: Column, docs: int = TRAIN_DOCS, terms: int = TRAIN_TERMS, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Term buckets and labels of at most ``docs`` labelled documents for which ``keep`` (over ``doc_id``) holds."""
-    rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & keep)
-    chosen = rows.groupBy(F.col("doc_id").alias("k")).agg(F.max("toxic").cast("long").alias("y")).orderBy(F.xxhash64("k"), "k").limit(docs)
-    taken = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("text", "y")
+def sample(documents: DataFrame, labels: DataFrame, keep: Column, docs: int = TRAIN_DOCS, budget: int = TRAIN_BYTES, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
+    """All term buckets and the labels of a bounded number of labelled documents for which ``keep`` (over ``doc_id``) holds."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, t in slices(batch.column("text")):
                 doc, item = _distinct(*buckets(t, bits), 1 << bits)
                 cut = np.searchsorted(doc, np.arange(t.n + 1))
-                sets = [np.sort(item[i:j])[:: max(1, -(-(j - i) // terms))].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                sets = [item[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(a, b - a), pa.array(sets, pa.binary())], ["y", "x"])
 
-    got = taken.mapInArrow(extract, "y long, x binary").toPandas()
-    return [np.frombuffer(x, np.int32) for x in got["x"]], got["y"].to_numpy().astype(np.float64)
+    got = labelled(documents, labels, "toxic", docs, budget, keep=keep).mapInArrow(extract, "y long, x binary").toArrow()
+    return [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("x")], got.column("y").to_numpy().astype(np.float64)
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, bits: int = BITS, features: int = FEATURES, rank: int = RANK, min_df: int = MIN_DF, steps: int = 250, rate: float = 0.05, l2_w: float = 2e-4, l2_v: float = 1e-3) -> Machine:
-    """Full-batch Adam on the logistic loss. Buckets are screened by a chi-square test first."""
+def fit(sets: list[np.ndarray], y: np.ndarray, bits: int = BITS, rank: int = RANK, min_df: int = MIN_DF, chi_least: float = CHI, steps: int = 250, rate: float = 0.05, l2_w: float = 2e-4, l2_v: float = 1e-3) -> Machine:
+    """Full-batch Adam on the logistic loss, over the buckets that pass a chi-square test, as sparse rows."""
     n, slot = len(y), np.full(1 << bits, -1, np.int32)
     share = float(y.mean()) if n else 0.0
     flat = Machine(bits, slot, float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(0), np.zeros((0, rank)))
@@ -114,29 +113,28 @@ def fit(sets: list[np.ndarray], y: np.ndarray, bits: int = BITS, features: int =
         pos += np.bincount(item, weights=weight, minlength=1 << bits)
     gap = pos - df * share
     chi = gap**2 / np.maximum(df * share * (1 - share) * (1 - df / n), 1e-9)
-    chi[(df < min_df) | (df > 0.95 * n)] = 0
-    best = np.argsort(-chi, kind="stable")[:features]
-    best = best[chi[best] > 4.0]
+    best = np.flatnonzero((df >= min_df) & (df < n) & (chi > chi_least))
     if not len(best):
         return flat
     slot[best] = np.arange(len(best))
-    x = np.zeros((n, len(best)), np.float32)
-    for k, items in enumerate(sets):
-        f = slot[items]
-        x[k, f[f >= 0]] = 1
+    known = [f[f >= 0] for f in (slot[items] for items in sets)]
+    size = np.array([len(f) for f in known], np.int64)
+    feature, doc = np.concatenate(known), np.repeat(np.arange(n), size)
     rng = np.random.default_rng(7)
     w0 = np.array([np.log(share / (1 - share))])
     w, v = np.zeros(len(best)), rng.normal(0, 0.05, (len(best), rank))
     params = [w0, w, v]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        v32 = v.astype(np.float32)
-        sums = x @ v32
-        z = w0 + x @ w.astype(np.float32) + 0.5 * ((sums**2).sum(1) - x @ (v32**2).sum(1))
-        e = ((1 / (1 + np.exp(-z))) - y) / n
-        e32 = e.astype(np.float32)
-        back = x.T @ np.column_stack([e32, sums * e32[:, None]])
-        grads = [np.array([e.sum()]), back[:, 0] + l2_w * w, back[:, 1:] - v * back[:, :1] + l2_v * v]
+        z = w0 + np.bincount(doc, weights=(w - 0.5 * (v**2).sum(1))[feature], minlength=n)
+        sums = np.empty((n, rank))
+        for k in range(rank):
+            sums[:, k] = np.bincount(doc, weights=v[feature, k], minlength=n)
+        z += 0.5 * (sums**2).sum(1)
+        e = ((1 / (1 + np.exp(-np.clip(z, -40, 40)))) - y) / n
+        each = np.bincount(feature, weights=e[doc], minlength=len(best))
+        back = np.stack([np.bincount(feature, weights=(sums[:, k] * e)[doc], minlength=len(best)) for k in range(rank)], 1)
+        grads = [np.array([e.sum()]), each + l2_w * w, back - v * each[:, None] + l2_v * v]
         for k, (p, g) in enumerate(zip(params, grads, strict=True)):
             m[k] = 0.9 * m[k] + 0.1 * g
             s[k] = 0.99 * s[k] + 0.01 * g * g
