@@ -5,8 +5,9 @@ password-like name set to a value of 6 or more characters), ``access`` (an
 ``AKIA`` key id of 20 or more characters) and ``hex`` (24 or more hex digits).
 Weak candidates are names of accounts (``ident``), token-like strings too loose
 to report alone (``weak``) and addresses of services (``endpoint``). Candidates
-are sorted and interval-joined inside scopes, the stretch of ``SCOPE`` characters
-around a part: an ``ident`` is reported if a secret stands in its scope, a
+are sorted and interval-joined inside scopes. A part's scope is its block of lines (blocks
+end at blank lines) as far as ``SCOPE`` characters before and after the part: an ``ident``
+is reported if a secret reaches into its scope, a
 ``weak`` secret if an identifier does, an ``endpoint`` if both do. Base spans
 serve as parts too (``access`` identifies; ``assign`` and ``hex`` are secrets).
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +43,7 @@ _IDENT = re.compile(r"""\b(?:user(?:name)?|login|account|client_id|access_key_id
 _IDENT_NAMES = ("user", "login", "account", "client_id", "access_key_id", "access_id")
 _WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])", re.ASCII)
 _LONG_WORD = re.compile(r"[A-Za-z0-9+/_-]{16}", re.ASCII)
+_BLANK = re.compile(r"\n[\x20\t\r]*\n")
 _ENDPOINT = re.compile(r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s\"'<>]{4,}", re.ASCII)
 
 Span = tuple[int, int, str]
@@ -59,10 +61,10 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _near(starts: list[int], reach: list[int], a: int, b: int, scope: int) -> bool:
-    """Does a span that begins before ``b + scope`` end after ``a - scope``? ``reach`` has running maxima of ends."""
-    k = bisect_left(starts, b + scope)
-    return k > 0 and reach[k - 1] > a - scope
+def _near(starts: list[int], reach: list[int], a: int, b: int) -> bool:
+    """Does a span that begins before ``b`` end after ``a``? ``reach`` has running maxima of ends."""
+    k = bisect_left(starts, b)
+    return k > 0 and reach[k - 1] > a
 
 
 def _index(spans: list[Span]) -> tuple[list[int], list[int]]:
@@ -85,15 +87,20 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     weak = [(m.start(), m.end(), "weak") for m in _WEAK.finditer(text)] if _LONG_WORD.search(text) else []
     if not weak and not strong:
         return []
-    taken = _index(base)
-    free = lambda s: not _near(*taken, s[0], s[1], 0)
+    taken, blocks = _index(base), [0, *(m.end() for m in _BLANK.finditer(text)), len(text)]
+    free = lambda s: not _near(*taken, s[0], s[1])
+
+    def scope_of(s: Span) -> tuple[int, int]:
+        k = bisect_right(blocks, s[0], hi=len(blocks) - 1)
+        return max(s[0] - scope, blocks[k - 1]), min(s[1] + scope, blocks[k])
+
     idents, weak = [s for s in idents if free(s)], [s for s in weak if free(s)]
     ids = _index(idents + [s for s in base if s[2] == "access"])
     secrets = _index(weak + [s for s in base if s[2] != "access"])
-    out = [s for s in idents if _near(*secrets, s[0], s[1], scope)] + [s for s in weak if _near(*ids, s[0], s[1], scope)]
+    out = [s for s in idents if _near(*secrets, *scope_of(s))] + [s for s in weak if _near(*ids, *scope_of(s))]
     if "://" in text:
         ends = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-        out += [s for s in ends if free(s) and _near(*ids, s[0], s[1], scope) and _near(*secrets, s[0], s[1], scope)]
+        out += [s for s in ends if free(s) and _near(*ids, *scope_of(s)) and _near(*secrets, *scope_of(s))]
     return out
 
 

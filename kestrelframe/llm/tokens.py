@@ -2,7 +2,7 @@
 
 A byte-level tokenizer never joins bytes across the gap before a single space
 that a non-space follows, so a text is the concatenation of its space-led words
-and each distinct word is encoded once per worker: a bounded cache of ids replaces
+and most words are encoded once per worker: a cache of ids, bounded in bytes, replaces
 most of the merging. Texts in which a space meets other white space, or which hold
 a special token's string, are encoded whole. Ids equal ``tokenizers``' own.
 """
@@ -15,7 +15,8 @@ import re
 import tiktoken
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 1 << 19
+CACHE_BYTES = 24 << 20
+_ENTRY = 170  # bytes of an entry besides its characters and ids
 LONGEST_CACHED = 48
 _GAP = re.compile(r" \s")
 _encoders: dict[str, Encoder] = {}
@@ -32,13 +33,15 @@ class _Words(dict):
     """Word -> ids as little-endian unsigned 32-bit bytes, filled on demand."""
 
     def __init__(self, encode, lead: str) -> None:
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.left = encode, lead, CACHE_BYTES
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(self.lead + word)
         if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHE_WORDS:
+            self.left -= _ENTRY + len(word) + len(ids)
+            if self.left < 0:
                 self.clear()
+                self.left = CACHE_BYTES
             self[word] = ids
         return ids
 
