@@ -3,12 +3,14 @@
 Every join is an equi-join on the keys plus windows; none compares all pairs. Where
 one key may hold much of the data, ``width`` cuts its time line into buckets that
 are windowed apart; what a bucket needs from outside is the last sample before and
-the first after it, carried over the few bucket rows.
+the first after it, carried over the few bucket rows. Probes whose key or time is null keep
+their place in the result, with ``width`` or without.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +38,17 @@ def bracket(probes: DataFrame, samples: DataFrame, by: Sequence[str], time: str,
         F.last("_last", ignorenulls=True).over(line.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         F.last("_first", ignorenulls=True).over(line.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
-    joined = out.join(ends, keys)
+    joined = _beside(out, ends, keys)
     return joined.withColumns({"prev": F.coalesce("prev", "_before"), "next": F.coalesce("next", "_after")}).drop("_before", "_after", "_bucket")
 
 
+def _beside(rows: DataFrame, ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with what ``ends`` has for their keys; a null key or bucket is a key like any other, as in a window."""
+    ends = ends.withColumnsRenamed({k: f"_end_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(ends[f"_end_{k}"]) for k in keys))
+    return rows.join(ends, same).drop(*(f"_end_{k}" for k in keys))
+
+
 def interpolate(bracketed: DataFrame, time: str, value: str, max_gap: float, has_stream: Column | None = None) -> DataFrame:
     """Adds ``status``, ``dt_s`` and ``value``; no value is made up beyond the samples or over gaps above ``max_gap``."""
     t, p, n = F.col(time), F.col("prev"), F.col("next")
@@ -77,10 +86,15 @@ def nearest(bracketed: DataFrame, time: str, value: str) -> DataFrame:
 def first_within(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, ordinal: str, tolerance: float, keep: Sequence[str]) -> DataFrame:
     """Each left row with the right row of least ``ordinal`` among those less than ``tolerance`` away; rows without one drop.
 
-    Times are dealt into buckets of the tolerance, so candidates stand in three of them.
+    Times are dealt into buckets of the tolerance, so candidates stand in three of them. Equal left rows each
+    keep their match; null keys and times match nothing.
     """
     by = list(by)
-    a = left.withColumn("_k", F.explode(F.array(*(F.floor(F.col(time) / tolerance) + d for d in (-1, 0, 1)))))
+    # rows that are equal in every column are matched once and put back as often as they came
+    a = left.groupBy(*left.columns).agg(F.count("*").alias("_times"))
+    a = a.withColumn("_k", F.explode(F.array(*(F.floor(F.col(time) / tolerance) + d for d in (-1, 0, 1)))))
     b = right.select(*by, F.col(time).alias("_t"), F.col(ordinal).alias("_o"), *(F.col(c).alias(f"m_{c}") for c in keep), F.floor(F.col(time) / tolerance).alias("_k"))
     pairs = a.join(b, [*by, "_k"]).where(F.abs(F.col(time) - F.col("_t")) < tolerance)
-    return pairs.groupBy(*left.columns).agg(F.min_by(F.struct("_t", *(f"m_{c}" for c in keep)), "_o").alias("_m")).select(*left.columns, F.col("_m._t").alias("match_t"), *(F.col(f"_m.m_{c}").alias(f"m_{c}") for c in keep))
+    best = pairs.groupBy(*left.columns, "_times").agg(F.min_by(F.struct("_t", *(f"m_{c}" for c in keep)), "_o").alias("_m"))
+    best = best.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return best.select(*left.columns, F.col("_m._t").alias("match_t"), *(F.col(f"_m.m_{c}").alias(f"m_{c}") for c in keep))

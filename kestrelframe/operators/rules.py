@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import messages
+
 
 def texts(*pairs: tuple[Column, Column]) -> Column:
     """The texts whose conditions hold, in order."""
     return F.array_compact(F.array(*(F.when(c, t) for c, t in pairs)))
 
 
-def percent(share: Column) -> Column:
-    return F.format_string("%.1f%%", share * 100)
+def percent(text: str, share: Column) -> Column:
+    """``text`` with the share in percent."""
+    return F.format_string(text, share * 100)
 
 
 def full_score(blur: Column, largest: Column, dark: Column, blocked: Column) -> Column:
@@ -35,18 +38,18 @@ def readiness(rows: DataFrame, kind: str = "full", block_blur: float = 0.5, bloc
     ``pure_rotation``, ``jumps``, ``inliers``; all but ``jumps`` and ``inliers`` are shares.
     """
     blur, dark, largest, isolated = (F.col(c) for c in ("blur", "dark", "largest", "isolated"))
-    blocking = [(blur > block_blur, F.concat(F.lit("Excessive blur: "), percent(blur))), (largest < block_component, F.concat(F.lit("Disconnected dataset: "), percent(largest)))]
-    warnings = [((blur > 0.1) & (blur <= block_blur), F.concat(F.lit("Moderate blur: "), percent(blur)))]
+    blocking = [(blur > block_blur, percent(messages.EXCESSIVE_BLUR, blur)), (largest < block_component, percent(messages.DISCONNECTED, largest))]
+    warnings = [((blur > 0.1) & (blur <= block_blur), percent(messages.MODERATE_BLUR, blur))]
     if kind == "full":
         warnings += [
-            (F.col("near_zero") > 0.3, F.concat(F.lit("High redundancy: "), percent(F.col("near_zero")))),
-            (F.col("pure_rotation") > 0.3, F.concat(F.lit("Pure rotation: "), percent(F.col("pure_rotation")))),
-            (F.col("jumps") > 0, F.format_string("Abrupt jumps: %d", F.col("jumps"))),
-            (F.col("inliers") < low_inliers, F.format_string("Low sequential overlap: %.1f", F.col("inliers"))),
+            (F.col("near_zero") > 0.3, percent(messages.HIGH_REDUNDANCY, F.col("near_zero"))),
+            (F.col("pure_rotation") > 0.3, percent(messages.PURE_ROTATION, F.col("pure_rotation"))),
+            (F.col("jumps") > 0, F.format_string(messages.ABRUPT_JUMPS, F.col("jumps"))),
+            (F.col("inliers") < low_inliers, F.format_string(messages.LOW_OVERLAP, F.col("inliers"))),
         ]
     else:
-        warnings.append((isolated > 0.2, F.concat(F.lit("Isolated frames: "), percent(isolated))))
-        blocking.append((dark > block_dark, F.concat(F.lit("Too dark: "), percent(dark))))
+        warnings.append((isolated > 0.2, percent(messages.MANY_ISOLATED, isolated)))
+        blocking.append((dark > block_dark, percent(messages.TOO_DARK, dark)))
     out = rows.withColumns({"blocking": texts(*blocking), "warnings": texts(*warnings)})
     blocked = F.size("blocking") > 0
     score = full_score(blur, largest, dark, blocked) if kind == "full" else extracted_score(blur, largest, dark, isolated)
@@ -55,7 +58,7 @@ def readiness(rows: DataFrame, kind: str = "full", block_blur: float = 0.5, bloc
 
 def recommendations(blocking: Column, warnings: Column) -> Column:
     said = F.lower(F.array_join(F.concat(blocking, warnings), " "))
-    return texts((said.contains("blur"), F.lit("Use a faster shutter or fly more slowly.")), (said.contains("overlap") | said.contains("disconnected"), F.lit("Sample frames more densely or fly with more overlap.")))
+    return texts((said.contains("blur"), F.lit(messages.RECOMMEND_SHUTTER)), (said.contains("overlap") | said.contains("disconnected"), F.lit(messages.RECOMMEND_OVERLAP)))
 
 
 def exposure(hist: DataFrame, by: Sequence[str], level: str = "level", n: str = "n") -> DataFrame:

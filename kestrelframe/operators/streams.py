@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geodesy import planar_step
+from .asof import _beside
 
 
 def deduplicate(samples: DataFrame, by: Sequence[str], time: str, seq: str, keep: str = "first") -> DataFrame:
@@ -33,7 +34,7 @@ def previous(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns:
     local = cut.withColumn("_local", F.lag(row).over(Window.partitionBy(*keys).orderBy(*order)))
     ends = cut.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_last"))
     ends = ends.select(*keys, F.lag("_last").over(Window.partitionBy(*by).orderBy("_bucket")).alias("_carry"))
-    joined = local.join(ends, keys)
+    joined = _beside(local, ends, keys)
     return joined.withColumn(name, F.coalesce("_local", "_carry")).select(*rows.columns, name)
 
 
@@ -146,7 +147,8 @@ def skip_pairs(rows: DataFrame, by: Sequence[str], order: str, value: str, skip:
 
 def drift(pairs: DataFrame, by: Sequence[str], time: str, truth: str, measured: str) -> DataFrame:
     """Least-squares bias and drift of ``truth - measured`` over relative time, and the residuals' spread."""
-    rel = pairs.withColumns({"_t": F.col(time) - F.min(time).over(Window.partitionBy(*by)), "_d": F.col(truth) - F.col(measured)})
+    start = pairs.groupBy(*by).agg(F.min(time).alias("_start"))
+    rel = (_beside(pairs, start, by) if by else pairs.crossJoin(F.broadcast(start))).withColumns({"_t": F.col(time) - F.col("_start"), "_d": F.col(truth) - F.col(measured)})
     n, st, sd, stt, std, sdd = (F.col(c) for c in ("n", "st", "sd", "stt", "std", "sdd"))
     sums = rel.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_t").alias("st"), F.sum("_d").alias("sd"), F.sum(F.col("_t") * F.col("_t")).alias("stt"), F.sum(F.col("_t") * F.col("_d")).alias("std"), F.sum(F.col("_d") * F.col("_d")).alias("sdd"))
     fits = (n > 2) & (n * stt - st * st > 0)

@@ -179,11 +179,11 @@ def w10(spark, d):
     return streams.bridge(chosen, "idx", n, 40)
 
 
-_PAIRS = ", e AS (SELECT l_orderkey % 400 AS a, l_orderkey % 400 + 1 AS b, CAST(l_quantity * 3 AS BIGINT) AS inliers, l_discount * 20 AS parallax, l_tax > 0.06 AS rotation, CAST(l_extendedprice AS BIGINT) % 50 AS matches FROM lineitem WHERE l_linenumber = 1)"
+_PAIRS = ", e AS (SELECT l_orderkey % 400 AS a, l_orderkey % 400 + 1 AS b, CAST(l_quantity * 3 AS BIGINT) AS inliers, l_discount * 20 AS parallax, l_tax > 0.06 AS rotation, CAST(l_extendedprice AS BIGINT) % 50 AS matches FROM lineitem)"
 
 
 def _edges(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     a = F.col("l_orderkey") % 400
     return li.select(a.alias("a"), (a + 1).alias("b"), (F.col("l_quantity") * 3).cast("long").alias("inliers"), (F.col("l_discount") * 20).alias("parallax"), (F.col("l_tax") > 0.06).alias("rotation"))
 
@@ -202,22 +202,29 @@ def _ratios(spark, d):
     return table(spark, d, "supplier").select(k.alias("id"), ((k % 10) / 10).alias("blur"), ((k % 7) / 7).alias("dark"), ((k % 6) / 5).alias("largest"), ((k % 4) / 10).alias("isolated"), ((k % 5) / 10).alias("near_zero"), ((k % 3) / 5).alias("pure_rotation"), (k % 3).alias("jumps"), (k * 1.0).alias("inliers"))
 
 
-@query("v1_readiness_full", f"""{_RATIOS} SELECT id, CASE WHEN blur > 0.5 OR largest < 0.5 THEN 'NOT_READY' WHEN (blur > 0.1 AND blur <= 0.5) OR near_zero > 0.3 OR pure_rotation > 0.3 OR jumps > 0 OR inliers < 50 THEN 'WARNING' ELSE 'READY' END AS status,
-  CAST((blur > 0.5)::INT + (largest < 0.5)::INT AS BIGINT) AS n_blocking, CAST((blur > 0.1 AND blur <= 0.5)::INT + (near_zero > 0.3)::INT + (pure_rotation > 0.3)::INT + (jumps > 0)::INT + (inliers < 50)::INT AS BIGINT) AS n_warnings,
-  round(least(greatest(0.0, 100 - blur * 30 - CASE WHEN largest < 1 THEN (1 - largest) * 50 ELSE 0 END - CASE WHEN dark > 0.2 THEN dark * 20 ELSE 0 END), CASE WHEN blur > 0.5 OR largest < 0.5 THEN 40.0 ELSE 1000.0 END), 6) AS score FROM r""")
+_TEXTS = """, t AS (SELECT *, concat_ws('|', CASE WHEN blur > 0.5 THEN printf('Excessive blur (%.1f%% frames blurry).', blur * 100) END, CASE WHEN largest < 0.5 THEN printf('Disconnected dataset. Largest contiguous segment is only %.1f%%.', largest * 100) END) AS blocking,
+  CASE WHEN blur > 0.1 AND blur <= 0.5 THEN printf('Moderate blur detected (%.1f%% frames blurry).', blur * 100) END AS moderate,
+  CASE WHEN near_zero > 0.3 THEN printf('High redundancy: %.1f%% of consecutive frames have near-zero motion.', near_zero * 100) END AS redundant, CASE WHEN pure_rotation > 0.3 THEN printf('Risk of pure rotation without baseline in %.1f%% of frame pairs.', pure_rotation * 100) END AS rotating,
+  CASE WHEN jumps > 0 THEN printf('Abrupt jumps or lost tracking detected in %d pairs.', jumps) END AS jumping, CASE WHEN inliers < 50 THEN printf('Low sequential overlap (avg %.1f inliers).', inliers) END AS low FROM r)"""
+
+
+@query("v1_readiness_full", f"""{_RATIOS}{_TEXTS} SELECT id, CASE WHEN blocking <> '' THEN 'NOT_READY' WHEN concat_ws('|', moderate, redundant, rotating, jumping, low) <> '' THEN 'WARNING' ELSE 'READY' END AS status, blocking, concat_ws('|', moderate, redundant, rotating, jumping, low) AS warnings,
+  round(least(greatest(0.0, 100 - blur * 30 - CASE WHEN largest < 1 THEN (1 - largest) * 50 ELSE 0 END - CASE WHEN dark > 0.2 THEN dark * 20 ELSE 0 END), CASE WHEN blur > 0.5 OR largest < 0.5 THEN 40.0 ELSE 1000.0 END), 6) AS score FROM t""")
 def v1(spark, d):
-    return rounded(rules.readiness(_ratios(spark, d)), 6, "score").select("id", "status", F.size("blocking").cast("long").alias("n_blocking"), F.size("warnings").cast("long").alias("n_warnings"), "score")
+    return rounded(rules.readiness(_ratios(spark, d)), 6, "score").select("id", "status", F.array_join("blocking", "|").alias("blocking"), F.array_join("warnings", "|").alias("warnings"), "score")
 
 
-@query("v2_readiness_extracted", f"""{_RATIOS} SELECT id, CASE WHEN blur > 0.5 OR largest < 0.5 OR dark > 0.7 THEN 'NOT_READY' WHEN (blur > 0.1 AND blur <= 0.5) OR isolated > 0.2 THEN 'WARNING' ELSE 'READY' END AS status, round(greatest(0.0, least(100.0, 100 - blur * 30 - (1 - largest) * 40 - dark * 20 - isolated * 20)), 6) AS score FROM r""")
+@query("v2_readiness_extracted", f"""{_RATIOS}{_TEXTS} SELECT id, CASE WHEN blur > 0.5 OR largest < 0.5 OR dark > 0.7 THEN 'NOT_READY' WHEN (blur > 0.1 AND blur <= 0.5) OR isolated > 0.2 THEN 'WARNING' ELSE 'READY' END AS status,
+  concat_ws('|', nullif(blocking, ''), CASE WHEN dark > 0.7 THEN printf('Too dark (%.1f%% frames dark).', dark * 100) END) AS blocking, concat_ws('|', moderate, CASE WHEN isolated > 0.2 THEN printf('Many isolated frames (%.1f%%).', isolated * 100) END) AS warnings,
+  round(greatest(0.0, least(100.0, 100 - blur * 30 - (1 - largest) * 40 - dark * 20 - isolated * 20)), 6) AS score FROM t""")
 def v2(spark, d):
-    return rounded(rules.readiness(_ratios(spark, d), "extracted"), 6, "score").select("id", "status", "score")
+    return rounded(rules.readiness(_ratios(spark, d), "extracted"), 6, "score").select("id", "status", F.array_join("blocking", "|").alias("blocking"), F.array_join("warnings", "|").alias("warnings"), "score")
 
 
-@query("v3_recommendations", f"""{_RATIOS} SELECT id, CAST((blur > 0.1)::INT + (inliers < 50 OR largest < 0.5)::INT AS BIGINT) AS n FROM r""")
+@query("v3_recommendations", f"""{_RATIOS} SELECT id, concat_ws('|', CASE WHEN blur > 0.1 THEN 'Use faster shutter speed or slower UAV motion.' END, CASE WHEN inliers < 50 OR largest < 0.5 THEN 'Reduce frame sampling interval or capture with more continuous scene overlap.' END) AS said FROM r""")
 def v3(spark, d):
     r = rules.readiness(_ratios(spark, d))
-    return r.select("id", F.size(rules.recommendations(F.col("blocking"), F.col("warnings"))).cast("long").alias("n"))
+    return r.select("id", F.array_join(rules.recommendations(F.col("blocking"), F.col("warnings")), "|").alias("said"))
 
 
 _CHECKS = ", k AS (SELECT p_partkey AS id, p_brand AS mission, CASE WHEN p_partkey % 3 = 0 THEN 'CONTROL' ELSE 'CHECKPOINT' END AS role, (p_size - 25) / 50 AS dx, (p_retailprice % 10 - 5) / 10 AS dy, (p_partkey % 11 - 5) / 20 AS dz, p_partkey % 97 = 0 AS mismatch FROM part), v AS (SELECT *, sqrt(dx ** 2 + dy ** 2) AS h, sqrt(dx ** 2 + dy ** 2 + dz ** 2) AS e FROM k WHERE role = 'CHECKPOINT')"

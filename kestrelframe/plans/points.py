@@ -94,10 +94,10 @@ def r8(spark, d):
     return c.join(clouds.surface(c).select("row", "col", "low"), ["row", "col"]).where(F.col("z") <= F.col("low") + 0.5).select("id")
 
 
-@query("r11_dilated_occupancy", """, o AS (SELECT DISTINCT CAST(floor(x / 4) AS BIGINT) AS cx, CAST(floor(z / 8) AS BIGINT) AS cy FROM pts_ WHERE x < 20 AND z < 30), s AS (SELECT i, j FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE abs(i) + abs(j) <= 2)
+@query("r11_dilated_occupancy", """, o AS (SELECT DISTINCT CAST(floor(x / 4) AS BIGINT) AS cx, CAST(floor(z / 8) AS BIGINT) AS cy FROM pts_ ), s AS (SELECT i, j FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE abs(i) + abs(j) <= 2)
 SELECT DISTINCT cx + i AS cx, cy + j AS cy FROM o, s""")
 def r11(spark, d):
-    o = pts(spark, d).where("x < 20 AND z < 30").select(F.floor(F.col("x") / 4).alias("cx"), F.floor(F.col("z") / 8).alias("cy")).distinct()
+    o = pts(spark, d).select(F.floor(F.col("x") / 4).alias("cx"), F.floor(F.col("z") / 8).alias("cy")).distinct()
     return clouds.dilate(o, 2)
 
 

@@ -307,7 +307,7 @@ def test_region_heights(spark):
 def test_readiness_texts(spark):
     r = spark.createDataFrame([(0.6, 0.9, 0.4, 0.3, 0.0, 0.0, 0, 99.0), (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0, 99.0)], "blur double, dark double, largest double, isolated double, near_zero double, pure_rotation double, jumps int, inliers double")
     full = rules.readiness(r).collect()
-    assert full[0].status == "NOT_READY" and full[0].blocking[0] == "Excessive blur: 60.0%" and full[0].score <= 40 and full[1].status == "READY" and full[1].score == 100
+    assert full[0].status == "NOT_READY" and full[0].blocking[0] == "Excessive blur (60.0% frames blurry)." and full[0].score <= 40 and full[1].status == "READY" and full[1].score == 100
     said = rules.readiness(r, "extracted").select(rules.recommendations(F.col("blocking"), F.col("warnings")).alias("r"), "blocking").first()
     assert len(said.r) == 2 and len(said.blocking) == 3
 

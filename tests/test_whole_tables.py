@@ -46,7 +46,7 @@ def test_every_control_is_judged(spark, tmp_path):
         return tuple(entry.queries()["v8_control_geometry"](spark, f"{tmp_path}/{name}").first())
 
     rows = [(k, k * 7 % 25, k * 37 % 900 * 1e3) for k in range(80)]
-    assert judged(rows, "apart") == ("GOOD", 0)
+    assert judged(rows, "apart") == ("GOOD", "")
     flat = [(k, k * 7 % 25, 0.1 if k < 70 else k * 1e5) for k in range(80)]  # the first fifty alone lie on a plane
     assert judged(flat, "late")[0] == "GOOD"
 
