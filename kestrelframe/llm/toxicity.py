@@ -34,7 +34,7 @@ BITS = 20
 STEMS = (5, 6, 7, 8)
 RANK = 6
 MIN_DF = 5
-CHI = 4.0
+CHI = 10.83  # one bucket in a thousand passes by chance
 TRAIN_DOCS = 16000
 TRAIN_BYTES = 64 << 20
 THRESHOLD = 0.7
