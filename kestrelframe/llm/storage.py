@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import storage
-from ..storage import exists, remove, scratch, shared_dir
+from ..storage import create_text, exists, names, read_text, remove, scratch, shared_dir
 
 BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-__all__ = ["bounded", "exists", "materialise", "remove", "scratch", "shared_dir", "table"]
+__all__ = ["bounded", "create_text", "exists", "materialise", "names", "read_text", "remove", "scratch", "shared_dir", "table"]
 
 
 def bounded(spark: SparkSession) -> None:

@@ -4,10 +4,15 @@ A ledger keeps additive totals ``(documents, tokens)`` by source, language and
 tokenizer version. Changes are signed: an insert adds a document's count, a delete
 subtracts it, a revision subtracts the old count and adds the new one. A batch of
 changes is summed per key (map-side first, so a hot source arrives as one row per
-task) and committed once under its batch id: the sums are written to a folder named
-by the id, which counts only when the writer's success marker is there, so a failed
-attempt is replaced and a repeated commit does nothing. Totals are the sums over
-committed batches; ``compact`` folds them into one.
+task) and committed once under its batch id: an attempt writes its sums to a folder of
+its own, then creates the batch's marker file, which names that folder. Creating a file
+that must not exist is atomic, so of two writers with one id one wins and the other's
+sums are removed; an attempt that dies leaves no marker and counts for nothing.
+
+``compact`` folds the committed batches into the totals, and ``totals`` adds only what
+was committed since: the work of a reader follows the new batches, not the history. A
+fold becomes visible by its own marker. What a fold replaced is removed by the next
+one, so a reader that began before a fold still finds its files.
 
 Edge cases: null sources, languages and versions are keys of their own; null counts
 add nothing to tokens; repeated changes count repeatedly (one batch is a bag of
@@ -19,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import default_tokenizer
-from .storage import exists, remove, scratch, table
+from .storage import create_text, exists, names, read_text, remove, scratch, table
 from .tokens import encoder
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -52,45 +58,75 @@ def revisions(counts: DataFrame, new: str = "new_tokens") -> DataFrame:
 
 
 class Ledger:
-    """Committed batches below ``path`` (any file system that Spark reaches)."""
+    """Committed batches and folds below ``path`` (a file system with atomic file creation that Spark reaches)."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _at(self, batch_id: str) -> str:
+    def _marker(self, batch_id: str) -> str:
         if not re.fullmatch(r"[A-Za-z0-9_-]{1,128}", batch_id):
             raise ValueError(f"batch id {batch_id!r}: letters, digits, _ and - only")
-        return f"{self.path}/batch={batch_id}"
+        return f"{self.path}/commits/{batch_id}"
+
+    def _fold(self) -> tuple[int, str | None]:
+        """Number and folder of the latest fold."""
+        found = [int(n) for n in names(self.spark, f"{self.path}/folds")]
+        return (max(found), read_text(self.spark, f"{self.path}/folds/{max(found)}")) if found else (0, None)
+
+    def _folded(self, fold: str | None) -> DataFrame:
+        """``(id)`` of the batches in a fold."""
+        return self.spark.read.schema("id string").parquet(f"{self.path}/data/{fold}/ids") if fold else self.spark.createDataFrame([], "id string")
 
     def committed(self, batch_id: str) -> bool:
-        return exists(self.spark, f"{self._at(batch_id)}/_SUCCESS")
+        marker = self._marker(batch_id)
+        return exists(self.spark, marker) or not self._folded(self._fold()[1]).where(F.col("id") == batch_id).isEmpty()
 
     def commit(self, batch_id: str, *changes: DataFrame) -> bool:
         """Sum and write a batch; False if it was committed before."""
         if self.committed(batch_id):
             return False
-        rows = reduce(DataFrame.unionByName, changes)
-        sums = rows.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(self._at(batch_id))
-        return True
+        sums = reduce(DataFrame.unionByName, changes).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
+        attempt = f"{batch_id}-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/data/{attempt}")
+        won = create_text(self.spark, self._marker(batch_id), attempt)
+        if not won:
+            remove(self.spark, f"{self.path}/data/{attempt}")
+        return won
+
+    def _since(self, fold: str | None) -> dict[str, str]:
+        """Folder of each batch that was committed and is not in ``fold``."""
+        have = {r["id"] for r in self._folded(fold).where(F.col("id").isin(ids)).collect()} if (ids := names(self.spark, f"{self.path}/commits")) and fold else set()
+        return {i: read_text(self.spark, f"{self.path}/commits/{i}") for i in ids if i not in have}
 
     def batches(self) -> list[str]:
-        """Ids of the committed batches."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self.committed(n.removeprefix("batch=")))
+        """Ids of the committed batches that no fold has yet."""
+        return sorted(self._since(self._fold()[1]))
 
     def totals(self) -> DataFrame:
-        """Documents and tokens by key."""
-        ids = self.batches()
-        if not ids:
+        """Documents and tokens by key: the latest fold, and the batches since."""
+        _, fold = self._fold()
+        folders = [f"{self.path}/data/{fold}/totals"] * bool(fold) + [f"{self.path}/data/{at}" for at in self._since(fold).values()]
+        if not folders:
             return self.spark.createDataFrame([], _SCHEMA)
-        rows = self.spark.read.schema(_SCHEMA).parquet(*(self._at(b) for b in ids))
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self.spark.read.schema(_SCHEMA).parquet(*folders).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
+    def compact(self) -> bool:
+        """Fold all batches so far into the totals; False if another writer did so meanwhile."""
+        number, fold = self._fold()
+        since, name = self._since(fold), f"fold-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{self.path}/data/{name}/totals")
+        new = self.spark.createDataFrame([(i,) for i in since], "id string")
+        self._folded(fold).unionByName(new).write.parquet(f"{self.path}/data/{name}/ids")
+        if not create_text(self.spark, f"{self.path}/folds/{number + 1}", name):
+            remove(self.spark, f"{self.path}/data/{name}")
+            return False
+        for i in set(names(self.spark, f"{self.path}/commits")) - set(since) if fold else ():  # what the fold before took up
+            if not self._folded(fold).where(F.col("id") == i).isEmpty():
+                remove(self.spark, f"{self.path}/data/{read_text(self.spark, self._marker(i))}")
+                remove(self.spark, self._marker(i))
+        return True
+
     def drop(self) -> None:
         remove(self.spark, self.path)
 
@@ -114,7 +150,7 @@ WORDS = "words"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``op5_token_counts``: totals of all documents after four commits to a ledger.
+    """``op5_token_counts``: totals of all documents after four commits to a ledger and a fold between them.
 
     ``load`` inserts every document under two tokenizer versions, ``load`` again (a
     replay, which must change nothing), ``end-ids`` revises every BPE count to include
@@ -128,6 +164,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = Ledger(spark, scratch(spark, "ledger"))
     for _ in range(2):
         ledger.commit("load", inserts(counts), inserts(words))
+    ledger.compact()
     longer = counts.withColumn("new_tokens", F.col("n_tokens") + 1)
     ledger.commit("end-ids", revisions(longer))
     empty = F.col("n_words") == 0

@@ -259,6 +259,19 @@ def test_host_query_equals_sql(spark):
     assert sorted(str(tuple(r)) for r in host_reputation.query(spark, SF).collect()) == want
 
 
+def test_host_query_blocks_bad_hosts_only(spark):
+    rows = [r for r in host_reputation.query(spark, "/root/testdata/sf0.1").collect() if r.rule is None]
+    bad = {r.host for r in rows if r.verdict == "block"}
+    assert len(bad) >= 4 and all(any(w in h for w in host_reputation.BAD_WORDS) for h in bad)
+
+
+def test_very_long_urls(spark):
+    host, path = "a." * 30_000 + "example.com", "/en/7" + "x" * 100_000
+    p = spark.createDataFrame([(1, f"http://{host}{path}?q", None)], "page_id long, url string, html string")
+    r = host_reputation.filter_pages(p, spark.createDataFrame([], "page_id long, good int")).first()
+    assert (r.host, r.path, r.rule, r.verdict) == (host, path, "example.com/en/7", "allow")
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names, counts = [], [docs.count()]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kestrelframe.llm import packing, quality_rules, secret_scan, suffix_dedup, token_ledger
-from kestrelframe.llm.storage import scratch
+from kestrelframe.llm.storage import exists, scratch
 from kestrelframe.llm.textkernel import slices
 from kestrelframe.llm.tokens import encoder
 
@@ -108,11 +108,17 @@ def test_ledger(spark, odd, none):
     assert "src1" not in {r.source for r in ledger.totals().collect()}
     assert ledger.commit("d", token_ledger.inserts(token_ledger.count_tokens(none, packing.default_tokenizer(), "v1")))
     assert sorted(ledger.batches()) == ["a", "b", "c", "d"]
-    spark.createDataFrame([], token_ledger._SCHEMA).write.parquet(f"{ledger.path}/batch=half")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{ledger.path}/batch=half/_SUCCESS")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
-    assert "half" not in ledger.batches()
+    before = sorted(map(tuple, ledger.totals().collect()))
+    spark.createDataFrame([(None, "en", "v1", 1, 5)], token_ledger._SCHEMA).write.parquet(f"{ledger.path}/data/half-0")  # an attempt that died
+    assert "half" not in ledger.batches() and ledger.compact() and ledger.batches() == []
+    assert sorted(map(tuple, ledger.totals().collect())) == before and not ledger.commit("a", token_ledger.inserts(counts)) and ledger.committed("d")
+    assert ledger.commit("e", token_ledger.inserts(first)) and ledger.batches() == ["e"] and ledger.compact()
+    assert {r.source: r.n_docs for r in ledger.totals().collect()}["src1"] == first.count() and not ledger.committed("half")
+    assert not exists(spark, f"{ledger.path}/commits/a") and ledger.committed("a")
+    rival = token_ledger.Ledger(spark, ledger.path)
+    rival.committed = lambda _: False  # two writers that both found the id free: the marker decides
+    assert ledger.commit("f", token_ledger.inserts(first)) and not rival.commit("f", token_ledger.inserts(first))
+    assert {r.source: r.n_docs for r in ledger.totals().collect()}["src1"] == 2 * first.count()
     with pytest.raises(ValueError):
         ledger.commit("../x", token_ledger.inserts(counts))
 
@@ -237,6 +243,32 @@ def test_linking_equals_all_pairs():
         assert sorted(every) == sorted(want), t
 
 
+def test_parts_link_inside_their_block_only():
+    weak, ident, end = "aB3" + "xY9" * 6, "login: root.admin", "postgres://db.internal/x"
+    kinds = lambda t: sorted(k for _, _, k in secret_scan.linked_spans(t, secret_scan.base_spans(t)))
+    assert kinds(f"{ident}\n{weak}\n{end}") == ["endpoint", "ident", "weak"]
+    assert kinds(f"{ident}\n \t\n{weak}") == [] and kinds(f"{ident}\n\n{ident}\n{weak}\n\n{end}") == ["ident", "weak"]
+    assert kinds(f"{end}\n{ident}\r\n\r\n{weak}") == []
+
+
+def test_planted_credentials_through_the_scan(spark, text_of):
+    """Planted parts, their places known from the planting alone."""
+    rng, rows, want = random.Random(4), [], {}
+    for k in range(60):
+        here = {"ident": "username=maria77", "weak": "zQ7" + "pL4xR9" * 4, "endpoint": "https://vault.example.org/api"}
+        kinds = [n for n in here if rng.random() < 0.6]
+        text, spans = text_of(k, 30) + "\n", []
+        for n in rng.sample(kinds, len(kinds)):
+            spans.append((n, len(text), len(text) + len(here[n])))
+            text += here[n] + " \n"
+        text += text_of(k + 1, 30)
+        linked = {"ident", "weak"} <= set(kinds)
+        want[k] = ",".join(f"{n}:{a}:{b}" for n, a, b in spans) if linked else ""
+        rows.append((k, text))
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and any(want.values()) and not all(want.values())
+
+
 def test_secret_scan_and_redaction(spark, odd, none):
     extra = odd.limit(1).withColumns({"doc_id": F.lit(77).cast("long"), "text": F.lit("é password = hunter2hunter2 and " + "ab12" * 8), "n_chars": F.lit(1).cast("long")})
     df = odd.unionByName(extra)
