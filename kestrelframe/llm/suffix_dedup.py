@@ -230,7 +230,9 @@ def merge_unit(parts: pa.Table) -> pa.Table:
         bodies = parts.column("segment").combine_chunks()
         bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
         (_, _, t), = slices(bodies, 1 << 62, 1 << 62)
-        text = mix64(t.span_hash(t.prefix_hash(), t.off[:-1], t.off[1:]) + value.view(np.uint64))
+        # in slices: running sums and powers over a whole unit would be many times its size
+        hashes = [part.span_hash(part.prefix_hash(), part.off[:-1], part.off[1:]) for _, _, part in slices(bodies)]
+        text = mix64(np.concatenate(hashes) + value.view(np.uint64))
         order, gone = _later(doc, start, text)
         dead = order[gone]
         marks = [(row[dead], start[dead], start[dead] + size[dead] + LENGTH - 1)]
