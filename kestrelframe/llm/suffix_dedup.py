@@ -1,4 +1,4 @@
-"""Repeated 100-byte strings over all texts, by merging shards' windows with interleave refinement.
+"""Repeated 100-byte strings over all texts, by merging shards' Burrows-Wheeler transforms with interleave refinement.
 
 A byte goes if a ``LENGTH``-byte string that covers it also starts earlier (smaller
 doc_id, or the same document further left). Comparing all suffixes of a corpus in
@@ -12,14 +12,20 @@ first, then ordered exactly:
 2. Runs of windows with one repeated value become segments (their text). Copies of a
    segment inside a slice are settled there; the rest meet by value in units of
    bounded size.
-3. In a unit, segments are strings of one merged collection. Their windows are
-   interleaved by refinement: starting from the order of values, each step takes the
-   symbols (two bytes) that precede the current positions - the shards' BWT column -
-   and sorts the interleave stably by them, which is the LF step of a BWT merge. Two
-   neighbours stay in one block while they share all symbols so far, so after
-   ``LENGTH / 2`` steps the blocks are the intervals whose common prefix is at least
-   ``LENGTH``, found without sorting a suffix twice. Windows alone in their block
-   leave the merge early. The earliest window of an interval stays, the others go.
+3. In a unit, windows whose rolling hash stands once leave; what is left are runs of
+   windows, the strings of the merge. They are dealt into shards of ``SHARD`` bytes.
+   :func:`transform` gives each shard's Burrows-Wheeler transform (its suffixes in
+   order of their first ``LENGTH`` bytes and the symbol before each) and the shard's
+   own repeated intervals.
+4. :func:`interleave` merges the transforms. The interleave starts as one shard after
+   the other, each in its own order; a round takes the symbols before the rows in
+   their present order and deals the rows stably by them (the LF step), so that after
+   ``k`` symbols rows stand in order of their first ``k``. Rows that part in a round
+   have a common prefix as long as the rounds before. Rows that no window can be
+   reached from in the rounds left are skipped, an interval of a shard goes as one
+   row, and rows whose block holds a single shard leave, as that shard has ordered
+   them already. Blocks left after ``LENGTH`` symbols are the repeated intervals of
+   the merged collection. The earliest window of an interval stays, the others go.
 
 Edge cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose
 none; rows that share a doc_id count as one document given more than once, and equal
@@ -35,12 +41,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import table
-from .textkernel import Texts, mix64, slices
+from .textkernel import Texts, mix64, repeated, slices
 
 LENGTH = 100
 KGRAM = 32
@@ -48,6 +55,7 @@ UNIT_TEXT = 6 << 20  # bytes of input text for each unit
 _SPAN = LENGTH - KGRAM + 1
 _PACK = 1 << 31
 SLICE = 1 << 20  # bytes of text looked at together: copies that stand close are settled there
+SHARD = 1 << 18  # bytes of text under one transform
 _ROLL = 0x9E3779B97F4A7C15
 _ROLL_INV = pow(_ROLL, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -166,7 +174,7 @@ def _cutter(units: int):
                     continue
                 of, value = t.doc_of(first), low[first]
                 mine = wanted.slice(a, b - a)
-                pairs = np.repeat(rows[a:b], np.asarray(pa.compute.list_value_length(mine))).view(np.uint64)
+                pairs = np.repeat(rows[a:b], np.asarray(pc.list_value_length(mine))).view(np.uint64)
                 asked = np.unique(mix64(mine.flatten().to_numpy().view(np.uint64) ^ mix64(pairs)))
                 keep = np.isin(mix64(value ^ mix64(rows[a:b][of].view(np.uint64))), asked)
                 first, size, of, value = first[keep], size[keep], of[keep], value[keep]
@@ -193,15 +201,64 @@ def _cutter(units: int):
     return cut
 
 
-def interleave(buf: np.ndarray, end: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def transform(t: Texts, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The Burrows-Wheeler transform of a shard: ``rank`` and ``interval`` of every suffix, by its place in ``t.buf``.
+
+    Suffixes are ordered by their first ``length`` bytes, equal ones in any order, and a
+    text's end comes before any byte (inside the first eight bytes it counts as a zero
+    byte); the transform's symbol of a row is the byte before its suffix. Suffixes of one ``interval`` agree in all ``length`` bytes (or
+    down to their ends). Ranks grow from eight bytes by doubling, among suffixes that
+    are not alone.
+    """
+    n = len(t.buf)
+    left = np.repeat(t.off[1:], np.diff(t.off)) - np.arange(n)
+    word = np.zeros(n, np.uint64)
+    padded = np.concatenate([t.buf, np.zeros(8, np.uint8)])
+    for k in range(8):
+        word |= padded[k : n + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+    short = np.flatnonzero(left < 8)
+    word[short] &= ~np.uint64(0) << (8 * (8 - left[short])).astype(np.uint64)
+    sa = np.argsort(word)
+    key, depth = word[sa], 8
+    del word
+    slot, head = np.arange(n), np.zeros(n, np.int64)
+    interval = np.zeros(n, np.int64)
+    while True:
+        edge = np.ones(len(slot), bool)
+        edge[1:] = key[1:] != key[:-1]
+        head = slot[np.maximum.accumulate(np.where(edge, np.arange(len(slot)), 0))]
+        interval[sa[slot]] = head + 1
+        if depth >= length:
+            break
+        slot = slot[~(edge & np.append(edge[1:], True))]
+        if not len(slot):
+            break
+        step = min(depth, length - depth)
+        at = sa[slot]
+        follow = np.where(left[at] > step, interval[np.minimum(at + step, n - 1)], 0)
+        key = interval[at] << np.int64(32) | follow
+        by = np.argsort(key)
+        sa[slot], key = at[by], key[by]
+        depth += step
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.arange(1, n + 1)
+    return rank, interval
+
+
+def interleave(buf: np.ndarray, end: np.ndarray, shard: np.ndarray, length: int = LENGTH, merge: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Windows in their merged order and the number of the block of each, blocks of two or more only.
 
-    Window ``w`` is ``buf[end[w] - length : end[w]]``; only windows of one ``group``
-    are compared. One stable pass per two-byte symbol, from the last to the first.
+    Window ``w`` is ``buf[end[w] - length : end[w]]``. With ``merge``, windows are given
+    shard by shard, each shard's in the order of its transform and none twice, and a
+    block of one shard is settled; otherwise ``shard`` says which windows are compared
+    at all. Two symbols a round, from the last to the first.
     """
     symbol = buf[:-1].astype(np.uint16) | buf[1:].astype(np.uint16) << 8
-    order = np.argsort(group, kind="stable")
-    block = np.cumsum(np.concatenate([[0], np.diff(group[order]) != 0])) if len(order) else order
+    if merge:
+        order, block = np.arange(len(end)), np.zeros(len(end), np.int64)
+    else:
+        order = np.argsort(shard, kind="stable")
+        block = np.cumsum(np.concatenate([[0], np.diff(shard[order]) != 0])) if len(order) else order
     at = end[order]
     for step in range(length // 2):
         at = at - 2
@@ -212,24 +269,83 @@ def interleave(buf: np.ndarray, end: np.ndarray, group: np.ndarray, length: int
         edge[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(edge) - 1
         if step in (0, 1, 2, 4, 7, 11, 16, 22, 30, 40) or step == length // 2 - 1:
-            shared = ~(edge & np.append(edge[1:], True))  # not alone
+            if merge:  # rows of a block stand in order of shards
+                head = np.flatnonzero(edge)
+                last = np.append(head[1:], len(edge)) - 1
+                shared = (shard[order[head]] != shard[order[last]])[block]
+            else:
+                shared = ~(edge & np.append(edge[1:], True))  # not alone
             order, at, block = order[shared], at[shared], block[shared]
             if not len(order):
                 break
     return order, block
 
 
+def window_hashes(bodies: pa.Array) -> np.ndarray:
+    """A rolling hash of every window of every body, in order. Equal windows have equal hashes."""
+    out = [np.zeros(0, np.uint64)]
+    for _, _, part in slices(bodies):
+        if len(part.buf) >= LENGTH:
+            left = np.repeat(part.off[1:], np.diff(part.off)) - np.arange(len(part.buf))
+            out.append(kgrams(part.buf, LENGTH)[left[: 1 - LENGTH] >= LENGTH])
+    return np.concatenate(out)
+
+
+def repeated_windows(bodies: pa.Array, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(body, nth, block)`` of every window that stands twice or more in bodies of ``size`` windows each; equal ones share a block."""
+    alike = repeated(window_hashes(bodies))
+    body = np.repeat(np.arange(len(size)), size)[alike]
+    nth = np.flatnonzero(alike) - (np.cumsum(size) - size)[body]
+    if not len(body):
+        return body, nth, body
+    (_, _, t), = slices(bodies, 1 << 62, 1 << 62)
+    first = np.concatenate([[True], (body[1:] != body[:-1]) | (nth[1:] != nth[:-1] + 1)])
+    head = np.flatnonzero(first)
+    count = np.diff(np.append(head, len(body)))
+    length = count + LENGTH - 1
+    off = np.concatenate([[0], np.cumsum(length)])
+    buf = t.buf[np.repeat(t.off[body[head]] + nth[head] - off[:-1], length) + np.arange(off[-1])]
+    place = np.arange(len(body)) + np.repeat(np.arange(len(head)) * (LENGTH - 1), count)  # of each window in buf
+    rows, ends, shards, group, a, shard = [], [], [], np.zeros(len(body), np.int64), 0, 0
+    while a < len(head):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + SHARD, side="right")) - 1)
+        w = np.arange(head[a], head[b] if b < len(head) else len(body))
+        rank, interval = transform(Texts(buf[off[a] : off[b]], off[a : b + 1] - off[a]))
+        at = place[w] - off[a]
+        _, one, same = np.unique(interval[at], return_index=True, return_inverse=True)
+        # rows enter the merge LENGTH symbols behind their windows; a string's end has the lowest rank
+        behind = at[one] + LENGTH
+        stops = off[a + 1 : b + 1] - off[a]
+        stop = stops[np.searchsorted(stops, at[one], side="right")]
+        entry = np.argsort(np.where(behind < stop, rank[np.minimum(behind, len(rank) - 1)], 0), kind="stable")
+        done = sum(map(len, rows))
+        turn = np.empty(len(one), np.int64)
+        turn[entry] = np.arange(len(one))
+        group[w] = done + turn[same]
+        rows.append(w[one[entry]])
+        ends.append(place[rows[-1]] + LENGTH)
+        shards.append(np.full(len(one), shard, np.int32))
+        a, shard = b, shard + 1
+    win, block = interleave(buf, np.concatenate(ends), np.concatenate(shards), merge=True)
+    # an interval that met no other shard's is a block of its own
+    total = sum(map(len, rows))
+    of = np.arange(total, 2 * total)
+    of[win] = block
+    block = of[group]
+    kept = repeated(block)
+    return body[kept], nth[kept], block[kept]
+
+
 def merge_unit(parts: pa.Table) -> pa.Table:
     """Marks ``(row, mark)`` of one unit: those that came along, and those of repeated windows."""
     parts = parts.combine_chunks()
-    ready = parts.filter(pa.compute.is_valid(parts.column("mark")))
+    ready = parts.filter(pc.is_valid(parts.column("mark")))
     out_row, out_mark = [ready.column("row").to_numpy()], [ready.column("mark").to_numpy()]
-    parts = parts.filter(pa.compute.is_null(parts.column("mark")))
+    parts = parts.filter(pc.is_null(parts.column("mark")))
     if len(parts):
         value, row, doc, start, size = (parts.column(c).to_numpy() for c in ("value", "row", "doc_id", "start", "windows"))
         bodies = parts.column("segment").combine_chunks()
         bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
-        (_, _, t), = slices(bodies, 1 << 62, 1 << 62)
         # in slices: running sums and powers over a whole unit would be many times its size
         hashes = [part.span_hash(part.prefix_hash(), part.off[:-1], part.off[1:]) for _, _, part in slices(bodies)]
         text = mix64(np.concatenate(hashes) + value.view(np.uint64))
@@ -241,17 +357,14 @@ def merge_unit(parts: pa.Table) -> pa.Table:
         # a value with one distinct segment left can only repeat inside that segment
         _, group, count = np.unique(value[live], return_inverse=True, return_counts=True)
         worth = (count[group] > 1) | (size[live] > 1)
-        live, group = live[worth], group[worth]
+        live = live[worth]
         if len(live):
-            n = size[live]
-            seg = np.repeat(np.arange(len(live)), n)
-            nth = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-            win, block = interleave(t.buf, t.off[live][seg] + nth + LENGTH, group[seg])
-            s = live[seg[win]]
-            by, gone = _later(doc[s], start[s] + nth[win], block)
-            again = win[by[gone]]
-            s = live[seg[again]]
-            marks.append((row[s], start[s] + nth[again], start[s] + nth[again] + LENGTH))
+            body, nth, block = repeated_windows(bodies.take(pa.array(live)), size[live])
+            s = live[body]
+            by, gone = _later(doc[s], start[s] + nth, block)
+            again = by[gone]
+            s, nth = s[again], nth[again]
+            marks.append((row[s], start[s] + nth, start[s] + nth + LENGTH))
         r, m = _merge_runs(*(np.concatenate(c) for c in zip(*marks, strict=True)))
         out_row.append(r)
         out_mark.append(m)

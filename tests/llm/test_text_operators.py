@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from kestrelframe.llm import packing, quality_rules, secret_scan, suffix_dedup, token_ledger
 from kestrelframe.llm.storage import exists, scratch
-from kestrelframe.llm.textkernel import slices
+from kestrelframe.llm.textkernel import Texts, slices
 from kestrelframe.llm.tokens import encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -304,8 +304,8 @@ def repeats(docs, length=100):
 
 
 def test_suffix_dedup_awkward(spark, odd, none):
-    docs = [(r.doc_id, r.text) for r in odd.where("doc_id <> 5 OR doc_id IS NULL").select("doc_id", "text").collect()]
-    got = suffix_dedup.deduplicate(odd.where("doc_id <> 5 OR doc_id IS NULL"))
+    docs = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    got = suffix_dedup.deduplicate(odd)
     assert Counter(map(tuple, got.collect())) == repeats(docs)
     assert suffix_dedup.deduplicate(none).count() == 0
 
@@ -353,3 +353,42 @@ def test_text_slices():
         got = [t2.buf[i:j].tobytes().decode() for a, b, t2 in slices(t, 8) for i, j in zip(t2.off[:-1], t2.off[1:], strict=True)]
         assert got == [x or "" for x in texts]
     assert list(slices(pa.array([], pa.string()))) == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merged_transforms_find_equal_windows(monkeypatch, seed):
+    """Many small shards, texts of few symbols (zero bytes too): the blocks are the sets of equal windows."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(suffix_dedup, "SHARD", rng.choice([150, 700, 1 << 18]))
+    alphabet = [b"\0a", b"abc", bytes(range(256))][seed % 3]
+    bodies: list[bytes] = []
+    for _ in range(60):
+        body = bytes(rng.choice(alphabet) for _ in range(rng.randint(100, 160)))
+        if bodies and rng.random() < 0.7:
+            other = rng.choice(bodies)
+            a = rng.randint(0, max(0, len(other) - 101))
+            body = body[: rng.randint(0, 60)] + other[a:] + body[100 : 100 + rng.randint(0, 60)]
+        bodies.append(body if len(body) >= 100 else body.ljust(100, b"a"))
+    bodies.append(b"\0" * 400)
+    size = np.array([len(b) - 99 for b in bodies])
+    body, nth, block = suffix_dedup.repeated_windows(pa.array(bodies, pa.binary()), size)
+    got: dict[int, set] = {}
+    for b, k, g in zip(body.tolist(), nth.tolist(), block.tolist(), strict=True):
+        got.setdefault(g, set()).add((b, k))
+    want: dict[bytes, set] = {}
+    for b, text in enumerate(bodies):
+        for k in range(len(text) - 99):
+            want.setdefault(text[k : k + 100], set()).add((b, k))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_transform_orders_suffixes():
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (1, 5, 40, 300, 300)] + [b"ab" * 90, b"ab" * 90]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    rank, interval = suffix_dedup.transform(Texts(np.frombuffer(b"".join(texts), np.uint8), off), 100)
+    suffixes = [t[k : k + 100] for t in texts for k in range(len(t))]
+    by = np.argsort(rank)
+    assert sorted(rank.tolist()) == list(range(1, len(suffixes) + 1))
+    assert [suffixes[k] for k in by] == sorted(suffixes)
+    assert [interval[by[k]] == interval[by[k + 1]] for k in range(len(by) - 1)] == [suffixes[by[k]] == suffixes[by[k + 1]] for k in range(len(by) - 1)]
