@@ -128,3 +128,8 @@ def polygon_area(xs: Column, ys: Column, zs: Column) -> Column:
     total = lambda u, v: F.aggregate(F.transform(at, term(u, v)), F.lit(0.0), lambda s, t: s + t)
     nx, ny, nz = total(ys, zs), total(zs, xs), total(xs, ys)
     return F.sqrt(nx * nx + ny * ny + nz * nz) / 2
+
+
+def camera_centre(r: list[list[Column]], t: Vec) -> Vec:
+    """Where a camera stands: minus the transposed rotation times the translation."""
+    return tuple(-sum((r[i][j] * t[i] for i in range(1, 3)), r[0][j] * t[0]) for j in range(3))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .messages import UNKNOWN_COLOURS
+
 # fixed values: classification codes of the LAS format by label; all others are 1 (unclassified)
 LAS_CODES = {0: 1, 1: 2, 2: 11, 3: 6, 4: 5, 5: 9, 6: 1, 7: 1}
 
@@ -21,6 +23,20 @@ def rgb_key(r: Column, g: Column, b: Column) -> Column:
     return r.cast("long") * 65536 + g.cast("long") * 256 + b.cast("long")
 
 
+def class_of(r: Column, g: Column, b: Column, classes: dict[tuple[int, int, int], int]) -> Column:
+    """Class of a colour; null for a colour that has none, which :func:`check_colours` turns into an error."""
+    key, out = rgb_key(r, g, b), F.lit(None).cast("int")
+    for (red, green, blue), c in classes.items():
+        out = F.when(key == red * 65536 + green * 256 + blue, c).otherwise(out)
+    return out
+
+
+def check_colours(r: Column, g: Column, b: Column, classes: dict[tuple[int, int, int], int]) -> Column:
+    """As :func:`class_of`, but the query fails on a colour without a class and names it."""
+    found = class_of(r, g, b, classes)
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit(UNKNOWN_COLOURS), F.concat_ws(" ", r, g, b))).cast("int"))
+
+
 def colormap(value: Column, low: Column, high: Column, invert: Column) -> tuple[Column, Column, Column]:
     """Blue over green to red, clamped; inverted if asked; values that are no numbers are magenta."""
     part = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))

@@ -18,3 +18,8 @@ COLLINEAR_CONTROLS = "Control points are nearly collinear or coplanar."
 FLAT_CONTROLS = "Insufficient elevation diversity (<0.5m range)."
 CLUSTERED_CONTROLS = "Control points are tightly clustered."
 SMALL_CONTROL_AREA = "Poor scene coverage: control points are confined to a very small area (<100 m^2)."
+
+# fixed values: reports of masks and viewer artifacts
+UNKNOWN_COLOURS = "Unknown colors found in mask: "
+EMPTY_SPARSE = "Empty sparse point cloud"
+EMPTY_DENSE = "Empty dense point cloud"

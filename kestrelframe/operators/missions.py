@@ -62,3 +62,25 @@ def stage_times(events: DataFrame, by: str, time: Column, seq: str) -> DataFrame
 
 def first_available(candidates: DataFrame, by: str, path: str, priority: str) -> DataFrame:
     return candidates.groupBy(by).agg(F.min_by(path, F.struct(priority, path)).alias(path))
+
+
+def valid_name(name: Column) -> Column:
+    """1 to 160 characters without the blanks around them."""
+    return F.coalesce(F.length(F.trim(name)).between(1, 160), F.lit(False))
+
+
+def apply_changes(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """A catalogue after a batch of changes ``(id, seq, at, op, name)``: update, archive, restore or delete, later ones winning.
+
+    ``rows`` has ``id``, ``name``, ``archived_at`` and ``updated_at``. Updates with a name that is not valid
+    change nothing; changes of unknown or null ids are ignored; a deleted row goes whatever else is asked.
+    One aggregate by id and one join.
+    """
+    op, turn = F.col("op"), F.struct("at", "seq")
+    named, moved = (op == "update") & valid_name(F.col("name")), op.isin("archive", "restore")
+    last = changes.groupBy(F.col("id").alias("_id")).agg(
+        F.max_by(F.trim("name"), F.when(named, turn)).alias("_name"), F.max_by(F.when(op == "archive", F.col("at")), F.when(moved, turn)).alias("_archived"),
+        F.coalesce(F.bool_or(moved), F.lit(False)).alias("_moved"), F.max(F.when(named | moved, F.col("at"))).alias("_at"), F.coalesce(F.bool_or(op == "delete"), F.lit(False)).alias("_gone"),
+    )
+    out = rows.join(last, F.col("id") == F.col("_id"), "left").where(~F.coalesce("_gone", F.lit(False)))
+    return out.withColumns({"name": F.coalesce("_name", "name"), "archived_at": F.when(F.col("_moved"), F.col("_archived")).otherwise(F.col("archived_at")), "updated_at": F.coalesce("_at", "updated_at")}).select(rows.columns)

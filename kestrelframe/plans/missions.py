@@ -460,3 +460,22 @@ def s15(spark, d):
 @query("s19_sql_scan", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000""")
 def s19(spark, d):
     return spark.sql("SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 100000", orders=table(spark, d, "orders"))
+
+
+_CHANGES = "c AS (SELECT o_custkey AS id, o_orderkey AS seq, epoch(o_orderdate) AS made, CASE WHEN o_orderkey % 50 = 0 THEN 'delete' WHEN o_orderkey % 3 = 0 THEN 'archive' WHEN o_orderkey % 3 = 1 THEN 'restore' ELSE 'update' END AS op, CASE WHEN o_orderkey % 5 > 0 THEN ' survey ' || o_orderkey ELSE '  ' END AS name FROM orders)"
+
+
+@query("t8_catalogue_changes", f""", {_CHANGES}, l AS (SELECT id, last(trim(name) ORDER BY made, seq) FILTER (op = 'update' AND trim(name) <> '') AS name, last(CASE WHEN op = 'archive' THEN made END ORDER BY made, seq) FILTER (op IN ('archive', 'restore')) AS archived, bool_or(op IN ('archive', 'restore')) AS moved, max(made) FILTER (op IN ('archive', 'restore') OR op = 'update' AND trim(name) <> '') AS changed, bool_or(op = 'delete') AS gone FROM c GROUP BY id)
+SELECT p.id, coalesce(l.name, p.name) AS name, CASE WHEN moved THEN archived ELSE archived_at END AS archived_at, changed AS updated_at FROM projects_ p LEFT JOIN l ON l.id = p.id WHERE NOT coalesce(gone, false)""")
+def t8(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    op = F.when(k % 50 == 0, "delete").when(k % 3 == 0, "archive").when(k % 3 == 1, "restore").otherwise("update")
+    changes = o.select(F.col("o_custkey").alias("id"), k.alias("seq"), epoch(F.col("o_orderdate")).alias("at"), op.alias("op"), F.when(k % 5 > 0, F.concat(F.lit(" survey "), k)).otherwise("  ").alias("name"))
+    return missions.apply_changes(projects(spark, d).withColumn("updated_at", F.lit(None).cast("double")), changes)
+
+
+@query("f27_mask_classes", """ SELECT id, CASE WHEN r = 30 THEN 2 WHEN r = 60 AND g < 128 THEN 3 END AS class, NOT (r = 30 OR r = 60 AND g < 128) AS unknown FROM (SELECT l_orderkey * 8 + l_linenumber AS id, l_linenumber * 30 AS r, l_partkey % 256 AS g FROM lineitem)""")
+def f27(spark, d):
+    r, g = F.col("l_linenumber") * 30, F.col("l_partkey") % 256
+    c = L.class_of(r, F.when(r == 30, 0).otherwise(F.when(g < 128, 0).otherwise(g)), F.lit(0), {(30, 0, 0): 2, (60, 0, 0): 3})
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), c.alias("class"), c.isNull().alias("unknown"))

@@ -166,10 +166,37 @@ def o6(spark, d):
     return size.agg(F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("isolated"), F.sum("n").alias("frames"), F.count("*").alias("components"))
 
 
-@query("j15_filename_times", """SELECT page_id, event_id FROM pages JOIN events ON event_id = page_id WHERE event_type = 'view'""")
+@query("j15_filename_times", """ SELECT page_id, max(t) AS time_sec FROM pages LEFT JOIN (SELECT * FROM ev_ WHERE stream = 'view') ON seq = page_id GROUP BY page_id""")
 def j15(spark, d):
-    e = table(spark, d, "events").where("event_type = 'view'").select("event_id")
-    return table(spark, d, "pages").select("page_id").join(e, F.col("page_id") == F.col("event_id"))
+    name = lambda k: F.concat(F.lit("img_"), k, F.lit(".jpg"))
+    times = ev(spark, d).where("stream = 'view'").select(name(F.col("seq")).alias("filename"), F.col("t").alias("timestamp"))
+    listing = table(spark, d, "pages").select("page_id", F.concat(F.lit("images/"), name(F.col("page_id"))).alias("path"))
+    return files.frame_times(listing, "path", times).select("page_id", "time_sec")
+
+
+@query("s10_image_points", """SELECT DISTINCT l_orderkey AS image_id, l_partkey AS point_id FROM lineitem WHERE l_linenumber <> 3""")
+def s10(spark, d):
+    """Each order is an image, its parts are points; every third line has no point (-1)."""
+    seen = F.concat_ws(" ", F.lit("1.5 2.5"), F.when(F.col("l_linenumber") == 3, -1).otherwise(F.col("l_partkey")))
+    image = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat_ws(" ", F.collect_list(seen)).alias("tail"))
+    path = scratch(spark, "s10")
+    image.select(F.concat(F.concat_ws(" ", "l_orderkey", F.lit("1 0 0 0 0 0 0 1"), F.concat("l_orderkey", F.lit(".jpg"))), F.lit("\n"), "tail").alias("value")).write.text(path)
+    return files.image_points(files.sfm_images(spark, path))
+
+
+@query("f9_position_weights", """ SELECT id, least(1e4, greatest(1e-4, 1 / (s * s))) AS weight FROM (SELECT id, abs(x) * 30 + 0.001 AS s FROM pts_)""")
+def f9(spark, d):
+    return pts(spark, d).select("id", M.weight(F.abs("x") * 30 + 0.001).alias("weight"))
+
+
+@query("k12_viewer_artifacts", """, v AS (SELECT DISTINCT floor(x / 5) AS a, floor(y / 5) AS b, floor(z / 5) AS c FROM pts_)
+SELECT 'sparse' AS artifact, true AS available, count(*) AS n FROM emb_ UNION ALL SELECT 'cameras', true, count(*) FROM emb_ UNION ALL SELECT 'dense_display', true, count(*) FROM v UNION ALL SELECT 'support', false, 0""")
+def k12(spark, d):
+    """What is counted is read back from the written files; there are no faces, so the support summary is not available."""
+    e, path = emb(spark, d), scratch(spark, "k12")
+    poses = e.select(F.array(*(F.lit(v) for v in (1.0, 0.0, 0.0))).alias("q"), F.array("x", "y", "z").alias("c"))
+    made = sinks.viewer_artifacts(e.select("id", "x", "y", "z"), poses, pts(spark, d).select("id", "x", "y", "z"), spark.createDataFrame([], "fid long, support string"), path, 5.0)
+    return made.select("artifact", "available", "n")
 
 
 @query("j20_surface_matches", None)

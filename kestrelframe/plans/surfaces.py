@@ -155,11 +155,13 @@ def v13(spark, d):
     return spark.range(1).select(F.lit(transform.is_degenerate(e)).alias("degenerate"), F.lit(transform.is_degenerate(e.select("x", (F.col("x") * 2).alias("y")))).alias("straight_is_degenerate"))
 
 
-@query("p7_camera_centres", """, q AS (SELECT id, cos(x) AS c, sin(x) AS s, y, z FROM emb_) SELECT id, round(-(c * y + s * z), 6) AS cx, round(s * y - c * z, 6) AS cy FROM q""")
+@query("p7_camera_centres", """, q AS (SELECT id, cos(2 * x) AS c, sin(2 * x) AS s, x + 2 * y + 2 * z AS along, x, y, z FROM emb_)
+SELECT id, round(-(x * c - (2 * z - 2 * y) / 3 * s + along / 9 * (1 - c)), 6) AS cx, round(-(y * c - (2 * x - z) / 3 * s + along * 2 / 9 * (1 - c)), 6) AS cy, round(-(z * c - (y - 2 * x) / 3 * s + along * 2 / 9 * (1 - c)), 6) AS cz FROM q""")
 def p7(spark, d):
-    c, s, y, z = F.cos("x"), F.sin("x"), F.col("y"), F.col("z")
-    # C = -R^T t with R a turn about z and t = (y, z, 0)
-    return emb(spark, d).select("id", F.round(-(c * y + s * z), 6).alias("cx"), F.round(s * y - c * z, 6).alias("cy"))
+    """Poses that turn about the axis (1, 2, 2) / 3; the SQL turns the translation back by the axis-angle formula."""
+    s = F.sin("x") / 3
+    centre = G.camera_centre(M.rotation_of(F.cos("x"), s, s * 2, s * 2), (F.col("x"), F.col("y"), F.col("z")))
+    return emb(spark, d).select("id", *(F.round(c, 6).alias(n) for c, n in zip(centre, ("cx", "cy", "cz"), strict=True)))
 
 
 @query("f32_rotation_matrices", """ SELECT id, round(cos(2 * x), 6) AS r11, round(-sin(2 * x), 6) AS r12, round(cos(2 * x), 6) AS r22 FROM emb_ """)

@@ -156,9 +156,9 @@ def trajectory(spark: SparkSession, path: str, names: Sequence[str]) -> DataFram
 
 
 def sfm_images(spark: SparkSession, path: str) -> DataFrame:
-    """Text model of posed images, one file: two lines an image, the second its 2-D points. ``(image_id, q, t, name, points)``."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda s: ~s.startswith("#"))).alias("k", "line"))
-    line = lines.select(F.floor(F.col("k") / 2).alias("g"), (F.col("k") % 2).alias("half"), F.trim("line").alias("line")).groupBy("g").agg(F.max(F.when(F.col("half") == 0, F.col("line"))).alias("head"), F.max(F.when(F.col("half") == 1, F.col("line"))).alias("tail")).where("head <> ''")
+    """Text model of posed images, a task for each file: two lines an image, the second its 2-D points. ``(image_id, q, t, name, points)``."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("f"), F.posexplode(F.filter(F.split("value", "\n"), lambda s: ~s.startswith("#"))).alias("k", "line"))
+    line = lines.select("f", F.floor(F.col("k") / 2).alias("g"), (F.col("k") % 2).alias("half"), F.trim("line").alias("line")).groupBy("f", "g").agg(F.max(F.when(F.col("half") == 0, F.col("line"))).alias("head"), F.max(F.when(F.col("half") == 1, F.col("line"))).alias("tail")).where("head <> ''")
     h, p = F.split("head", " +"), F.split("tail", " +")
     d = lambda k: F.get(h, F.lit(k)).cast("double")
     every_third = F.filter(F.transform(p, lambda x, i: F.when(i % 3 == 2, x.try_cast("long"))), lambda x: x.isNotNull() & (x != -1))
@@ -286,3 +286,9 @@ EVENT = T.StructType([T.StructField("job_id", T.StringType()), T.StructField("st
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """Files below a folder: ``(path, bytes, modified)``; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def frame_times(frames: DataFrame, path: str, times: DataFrame) -> DataFrame:
+    """Frames with the ``time_sec`` that ``times(filename, timestamp)`` gives for the last part of their path; null if none does, the latest row if several do."""
+    known = times.groupBy(F.col("filename").alias("_f")).agg(F.max(F.col("timestamp").cast("double")).alias("time_sec"))
+    return frames.join(known, F.element_at(F.split(path, "/"), -1) == F.col("_f"), "left").drop("_f")

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.messages import EMPTY_DENSE, EMPTY_SPARSE
+from ..operators import clouds
+
 
 def finite(df: DataFrame) -> DataFrame:
     """Numbers that JSON cannot hold become null."""
@@ -76,5 +79,30 @@ def parquet_arrays(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
 
 def conversion_report(spark: SparkSession, dataset: str, sequence: str, inputs: DataFrame, outputs: DataFrame, rows: int) -> DataFrame:
     """One row: what a conversion read and wrote."""
-    names = lambda df: [r[0] for r in df.select("path").orderBy("path").collect()]  # noqa: E731  a conversion's files
-    return spark.createDataFrame([(dataset, sequence, names(inputs), names(outputs), rows)], "dataset string, sequence string, input_files array<string>, output_files array<string>, rows_converted long")
+    files = lambda df, name: df.agg(F.sort_array(F.collect_list("path")).alias(name))  # noqa: E731  a conversion's files are one field of its report
+    head = spark.range(1).select(F.lit(dataset).alias("dataset"), F.lit(sequence).alias("sequence"))
+    return head.crossJoin(files(inputs, "input_files")).crossJoin(files(outputs, "output_files")).withColumn("rows_converted", F.lit(rows).cast("long"))
+
+
+def viewer_artifacts(sparse: DataFrame, cameras: DataFrame, dense: DataFrame, faces: DataFrame, path: str, size: float, max_points: int = 2_000_000) -> DataFrame:
+    """Files for a browser below ``path``, and a row ``(artifact, available, reason, n)`` for each.
+
+    ``sparse`` points and ``cameras`` go out as they are (Parquet, JSON lines); ``dense`` goes as the first point of
+    each voxel, voxels doubling from ``size`` until there are at most ``max_points``; of ``faces`` with a ``support``
+    class a count by class goes out. An empty input writes nothing and is not available.
+    """
+    spark = sparse.sparkSession
+    while dense.select(*clouds.voxel(size)).distinct().count() > max_points:
+        size *= 2
+    parts = [
+        ("sparse", sparse, "parquet", EMPTY_SPARSE), ("cameras", cameras, "json", "No cameras"),
+        ("dense_display", clouds.voxel_first(dense, size), "parquet", EMPTY_DENSE), ("support", faces.groupBy("support").agg(F.count("*").alias("faces")), "json", "No faces"),
+    ]
+    rows = []
+    for name, df, kind, reason in parts:
+        empty, to = df.isEmpty(), f"{path}/{name}"
+        if not empty:
+            df.write.mode("overwrite").format(kind).save(to)
+        n = 0 if empty else spark.read.schema(df.schema).format(kind).load(to).count()
+        rows.append((name, not empty, reason if empty else None, n))
+    return spark.createDataFrame(rows, "artifact string, available boolean, reason string, n long")

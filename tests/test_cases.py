@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrelframe.functions import geodesy, geometry, labels, motion
-from kestrelframe.operators import asof, clouds, components, mesh, raster, rules, streams, transform
+from kestrelframe.operators import asof, clouds, components, mesh, missions, raster, rules, streams, transform
 
 
 def one(df):
@@ -320,3 +320,19 @@ def test_buckets_do_not_change_neighbours(spark):
     assert plain == cut
     assert sorted(map(str, streams.statistics(df, ["k"], "t", "q").collect())) == sorted(map(str, streams.statistics(df, ["k"], "t", "q", 50.0, 29.0).collect()))
     assert streams.previous(df.limit(0), ["k"], ["t"], ["q"], "p", 5.0).count() == 0
+
+
+def test_catalogue_changes(spark):
+    rows = spark.createDataFrame([(1, "a", None, None), (2, "b", 5.0, None), (3, "c", None, 1.0), (None, "d", None, None)], "id long, name string, archived_at double, updated_at double")
+    made = [(1, 1, 10.0, "archive", None), (1, 2, 11.0, "restore", None), (1, 3, 12.0, "update", "  new "), (1, 4, 13.0, "update", " "), (1, 5, 14.0, "update", "x" * 161), (2, 6, 15.0, "archive", None), (3, 7, 16.0, "delete", None), (9, 8, 17.0, "archive", None), (None, 9, 18.0, "delete", None)]
+    changes = spark.createDataFrame(made, "id long, seq long, at double, op string, name string")
+    got = {tuple(r) for r in missions.apply_changes(rows, changes).collect()}
+    assert got == {(1, "new", None, 12.0), (2, "b", 15.0, 15.0), (None, "d", None, None)}
+    assert missions.apply_changes(rows, changes.limit(0)).count() == 4
+
+
+def test_unknown_colour_is_an_error(spark):
+    df = spark.createDataFrame([(1, 2, 3), (0, 0, 0)], "r int, g int, b int")
+    assert [r[0] for r in df.select(labels.class_of(*(F.col(c) for c in "rgb"), {(1, 2, 3): 4})).collect()] == [4, None]
+    with pytest.raises(Exception, match="Unknown colors found in mask: 0 0 0"):
+        df.select(labels.check_colours(*(F.col(c) for c in "rgb"), {(1, 2, 3): 4})).collect()

@@ -143,3 +143,17 @@ def test_sensor_zip(spark, tmp_path):
         z.writestr("readme.txt", "no")
     got = sorted((r.stream, r.seq, r.t, r.v[0]) for r in files.sensor_zip(spark, str(tmp_path / "log.zip")).collect())
     assert got == [("accel", 0, 2.5, 9.0), ("gps", 0, 1.0, 1.0), ("gps", 1, 0.0, 3.0)]
+
+
+def test_viewer_artifacts(spark, tmp_path):
+    points = spark.range(40).select("id", (F.col("id") * 1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    faces = spark.createDataFrame([(1, "WEAK"), (2, "WEAK"), (3, None)], "fid long, support string")
+    made = {r.artifact: r for r in sinks.viewer_artifacts(points, points.limit(0), points, faces, str(tmp_path), 1.0, max_points=10).collect()}
+    assert (made["sparse"].n, made["dense_display"].n, made["support"].n) == (40, 10, 2)
+    assert not made["cameras"].available and made["cameras"].reason == "No cameras" and not (tmp_path / "cameras").exists()
+
+
+def test_frame_times(spark):
+    frames = spark.createDataFrame([("a/1.jpg",), ("2.jpg",), (None,)], "path string")
+    times = spark.createDataFrame([("1.jpg", "3.5"), ("1.jpg", "4.5"), ("9.jpg", "1")], "filename string, timestamp string")
+    assert {tuple(r) for r in files.frame_times(frames, "path", times).collect()} == {("a/1.jpg", 4.5), ("2.jpg", None), (None, None)}
