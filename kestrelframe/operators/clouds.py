@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import materialise
+from .orderstats import with_quantiles
 
 
 def error_statistics(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, median, RMSE, exact percentiles and maximum."""
     v = F.col(value)
-    q = lambda p: F.percentile(v, F.lit(p))
-    return rows.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), q(0.5).alias("median"), F.sqrt(F.avg(v * v)).alias("rmse"), q(0.68).alias("p68"), q(0.9).alias("p90"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max(v).alias("max"))
+    sums = rows.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.sqrt(F.avg(v * v)).alias("rmse"), F.max(v).alias("max"))
+    places = {"median": 0.5, "p68": 0.68, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    return with_quantiles(sums, rows, value, places, by).select(*by, "count", "mean", "median", "rmse", "p68", "p90", "p95", "p99", "max")
 
 
 def coverage(rows: DataFrame, value: str, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages
+from .orderstats import with_quantiles
 
 
 def texts(*pairs: tuple[Column, Column]) -> Column:
@@ -84,11 +85,13 @@ def rmse(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Checkpoint errors by axis, mean, upper median, maximum; heights are void if any datum differs."""
     r = lambda c: F.sqrt(F.avg(F.col(c) ** 2))
     ok = ~F.coalesce(F.bool_or("vertical_datum_mismatch"), F.lit(False))
-    e = F.sort_array(F.collect_list("error_3d"))
-    return rows.where("dx IS NOT NULL").groupBy(*by).agg(
+    rows = rows.where("dx IS NOT NULL")
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("n"), r("dx").alias("rmse_x"), r("dy").alias("rmse_y"), F.when(ok, r("dz")).alias("rmse_z"), r("horizontal_error").alias("rmse_h"), F.when(ok, r("error_3d")).alias("rmse_3d"),
-        F.avg("error_3d").alias("mean_3d"), F.get(e, F.floor(F.count("*") / 2).cast("int")).alias("median_3d"), F.max("error_3d").alias("max_3d"), ok.alias("z_validated"),
+        F.avg("error_3d").alias("mean_3d"), F.max("error_3d").alias("max_3d"), ok.alias("z_validated"),
     )
+    out = with_quantiles(out, rows, "error_3d", {"median_3d": ("upper", 0.5)}, by)
+    return out.select(*by, "n", "rmse_x", "rmse_y", "rmse_z", "rmse_h", "rmse_3d", "mean_3d", "median_3d", "max_3d", "z_validated")
 
 
 def decision(n: Column, rmse_3d: Column, least: int = 4, limit: float = 1.0) -> Column:

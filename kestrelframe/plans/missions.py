@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as Q
 from ..functions import labels as L
-from ..operators import missions, rules, streams
+from ..operators import clouds, missions, rules, streams
 from ..storage import table
 from .binding import epoch, frames, jobs, projects, query, rounded
 
@@ -268,8 +268,8 @@ def v6(spark, d):
 
 @query("a11_reprojection_statistics", """SELECT l_shipmode_, count(*) AS points, round(avg(e), 6) AS mean, round(median(e), 6) AS median, round(quantile_cont(e, 0.95), 6) AS p95, round(sqrt(avg(e * e)), 6) AS rmse FROM (SELECT l_linestatus AS l_shipmode_, l_discount * 10 + l_tax AS e FROM lineitem) GROUP BY 1""")
 def a11(spark, d):
-    e = F.col("e")
-    return table(spark, d, "lineitem").select(F.col("l_linestatus").alias("l_shipmode_"), (F.col("l_discount") * 10 + F.col("l_tax")).alias("e")).groupBy("l_shipmode_").agg(F.count("*").alias("points"), F.round(F.avg(e), 6).alias("mean"), F.round(F.median(e), 6).alias("median"), F.round(F.percentile(e, F.lit(0.95)), 6).alias("p95"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"))
+    rows = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("l_shipmode_"), (F.col("l_discount") * 10 + F.col("l_tax")).alias("e"))
+    return rounded(clouds.error_statistics(rows, "e", ["l_shipmode_"]), 6, "mean", "median", "p95", "rmse").select("l_shipmode_", F.col("count").alias("points"), "mean", "median", "p95", "rmse")
 
 
 @query("a12_alignment_statistics", """SELECT count(*) AS total, count(*) FILTER (l_discount <= 0.05) AS used, count(*) FILTER (l_discount > 0.05) AS rejected, round(sqrt(avg(l_tax ** 2) FILTER (l_discount <= 0.05)), 8) AS rmse, round(median(l_tax) FILTER (l_discount <= 0.05), 8) AS median, round(max(l_tax) FILTER (l_discount <= 0.05), 8) AS max FROM lineitem""")

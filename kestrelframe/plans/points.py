@@ -9,7 +9,8 @@ from ..functions import geodesy as G
 from ..functions import geometry as Q
 from ..functions import labels as L
 from ..operators import clouds, components, rules
-from ..storage import table
+from ..operators.orderstats import quantiles, with_quantiles
+from ..storage import materialise, table
 from .binding import emb, pts, query, rounded
 
 _STATS = "count(d) AS count, round(avg(d), 7) AS mean, round(quantile_cont(d, 0.5), 7) AS median, round(sqrt(avg(d * d)), 7) AS rmse, round(quantile_cont(d, 0.68), 7) AS p68, round(quantile_cont(d, 0.9), 7) AS p90, round(quantile_cont(d, 0.95), 7) AS p95, round(quantile_cont(d, 0.99), 7) AS p99, round(max(d), 7) AS max"
@@ -48,9 +49,10 @@ def p5(spark, d):
 SELECT id FROM e WHERE d <= 0.5 * (SELECT quantile_cont(d, 0.95) FROM e)""")
 def p6(spark, d):
     e = emb(spark, d)
-    mid = e.agg(*(F.median(c).alias(f"m{c}") for c in "xyz"))
+    mx, my, mz = (quantiles(e, c, {f"m{c}": 0.5}) for c in "xyz")
+    mid = mx.crossJoin(my).crossJoin(mz)  # one row each
     far = e.crossJoin(F.broadcast(mid)).select("id", Q.distance((F.col("x"), F.col("y"), F.col("z")), (F.col("mx"), F.col("my"), F.col("mz"))).alias("d"))
-    edge = far.agg(F.percentile("d", F.lit(0.95)).alias("p95"))
+    edge = quantiles(far, "d", {"p95": 0.95})
     return far.crossJoin(F.broadcast(edge)).where(F.col("d") <= 0.5 * F.col("p95")).select("id")
 
 
@@ -170,7 +172,7 @@ def f16(spark, d):
 @query("v7_cloud_to_cloud", f"""{_NN} SELECT {_STATS.replace("d * d", "dist * dist").replace("(d", "(dist").replace("(distist", "(dist")}, round(avg((dist <= 0.5)::INT), 8) AS within_0_50, round(avg((dist <= 1.0)::INT), 8) AS within_1_00 FROM k WHERE "rank" = 1""")
 def v7(spark, d):
     a, b = _halves(spark, d)
-    near = clouds.neighbours(a, b, 1, 0.6)
+    near = materialise(clouds.neighbours(a, b, 1, 0.6), "near")
     both = clouds.error_statistics(near, "distance").crossJoin(clouds.coverage(near, "distance", (0.5, 1.0)))  # one row each
     return rounded(rounded(both, 7, *_MEASURES), 8, "within_0_50", "within_1_00")
 
@@ -180,7 +182,8 @@ SELECT id, round((greatest(0, least(1, s / ((SELECT quantile_cont(s, 0.95) FROM
 def a22(spark, d):
     a, b = _halves(spark, d)
     near = clouds.neighbours(a, b, 6, 1.0).groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("s"), F.max(F.when(F.col("rank") == 6, F.col("distance"))).alias("k"))
-    edge = near.agg(F.percentile("s", F.lit(0.95)).alias("p95"))
+    near = materialise(near, "near")
+    edge = quantiles(near, "s", {"p95": 0.95})
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     risk = (clip(F.col("s") / (F.col("p95") + 1e-6)) + clip(1 / (Q.density(F.col("k"), 6) + 1e-6))) / 2
     return near.crossJoin(F.broadcast(edge)).select("id", F.round(risk, 6).alias("risk"))
@@ -199,7 +202,8 @@ def r12(spark, d):
 def r13(spark, d):
     a, b = _halves(spark, d)
     near = clouds.neighbours(a, b, 6, 1.0).groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("s"), F.max("distance").alias("f"))
-    edge = near.agg(F.percentile("f", F.lit(0.98)).alias("edge"))
+    near = materialise(near, "near")
+    edge = quantiles(near, "f", {"edge": 0.98})
     return near.crossJoin(F.broadcast(edge)).where("s <= 1.5 AND f <= edge").select("id")
 
 
@@ -225,15 +229,16 @@ def j12b(spark, d):
 SELECT id, CASE WHEN green THEN 'VEGETATION' WHEN neutral AND NOT high THEN 'ROAD' WHEN high THEN 'BUILDING' ELSE 'GROUND' END AS label, CASE WHEN green THEN 0.7 WHEN neutral AND NOT high THEN 0.6 WHEN high THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence FROM c""")
 def p14(spark, d):
     p = pts(spark, d)
-    low = p.agg(F.percentile("z", F.lit(0.1)).alias("low"))
+    low = quantiles(p, "z", {"low": 0.1})
     label, confidence = rules.heuristic_label(F.col("z"), F.col("low"), F.abs(F.col("g") - F.col("b")) < 40, F.col("g") > F.col("b") + 60)
     return p.crossJoin(F.broadcast(low)).select("id", label.alias("label"), confidence.alias("confidence"))
 
 
 @query("p19_support_class", f"""{_NN} SELECT CASE WHEN dist <= 0.6 THEN 'SUPPORTED' WHEN dist > 1.2 THEN 'UNOBSERVED' ELSE 'WEAK' END AS support, count(*) AS n, round(avg(dist), 6) AS mean, round(quantile_cont(dist, 0.95), 6) AS p95 FROM k WHERE "rank" = 1 GROUP BY 1""")
 def p19(spark, d):
-    near = j6(spark, d).withColumn("support", rules.support_class(F.col("distance"), F.lit(0.6), F.lit(1.2)))
-    return near.groupBy("support").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("mean"), F.round(F.percentile("distance", F.lit(0.95)), 6).alias("p95"))
+    near = materialise(j6(spark, d).withColumn("support", rules.support_class(F.col("distance"), F.lit(0.6), F.lit(1.2))), "near")
+    stats = clouds.error_statistics(near, "distance", ["support"])
+    return rounded(stats, 6, "mean", "p95").select("support", F.col("count").alias("n"), "mean", "p95")
 
 
 @query("a17_class_statistics", """ SELECT CAST(c AS BIGINT) AS class, count(id) AS faces, round(coalesce(sum(abs(x)), 0), 5) AS area, round(coalesce(avg(abs(y)), 0), 6) AS confidence FROM range(12) t(c) LEFT JOIN emb_ ON label = c GROUP BY c""")
@@ -258,7 +263,9 @@ def a19(spark, d):
 
 @query("a21_heatmap_summary", """ SELECT r, min(z) AS low, max(z) AS high, median(z) AS mid, count(*) AS n FROM pts_ GROUP BY r""")
 def a21(spark, d):
-    return pts(spark, d).groupBy("r").agg(F.min("z").alias("low"), F.max("z").alias("high"), F.median("z").alias("mid"), F.count("*").alias("n"))
+    p = pts(spark, d)
+    ends = p.groupBy("r").agg(F.min("z").alias("low"), F.max("z").alias("high"), F.count("*").alias("n"))
+    return with_quantiles(ends, p, "z", {"mid": 0.5}, ["r"])
 
 
 @query("a23_confusion_metrics", """, p AS (SELECT quality AS truth, toxic AS guess FROM labels), c AS (SELECT unnest([0, 1, 2]) AS label),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import motion as M
 from ..operators import mesh, raster, rules, transform
+from ..operators.orderstats import with_quantiles
 from ..storage import table
 from .binding import emb, pts, query, rounded
 
@@ -199,7 +200,8 @@ def r9(spark, d):
 def a20(spark, d):
     e = emb(spark, d).select(F.abs("x").alias("d"))
     s = rules.support_class(F.col("d"), F.lit(0.5), F.lit(1.5))
-    return e.agg(F.round(F.avg((s == "SUPPORTED").cast("int")), 8).alias("supported"), F.round(F.avg((s == "UNOBSERVED").cast("int")), 8).alias("unobserved"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.percentile("d", F.lit(0.95)), 6).alias("p95"))
+    shares = e.agg(F.round(F.avg((s == "SUPPORTED").cast("int")), 8).alias("supported"), F.round(F.avg((s == "UNOBSERVED").cast("int")), 8).alias("unobserved"), F.round(F.avg("d"), 6).alias("mean"))
+    return with_quantiles(shares, e, "d", {"p95": 0.95}).withColumn("p95", F.round("p95", 6))
 
 
 @query("g4_label_smoothing", """ SELECT id, label FROM emb_ """)
