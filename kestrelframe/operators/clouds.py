@@ -1,10 +1,4 @@
-"""Point clouds: grids, voxels, tiles, neighbours, error statistics.
-
-Neighbour search deals points into cubes of side ``h`` and joins each query's cube
-and its 26 neighbours by equality. A k-th distance of at most ``h`` is then final;
-the rest repeat with twice the side. A cube that holds very many points is bounded
-only by the choice of ``h``, so take it near the k-neighbour spacing.
-"""
+"""Point clouds: grids, voxels, tiles, matches, error statistics. Neighbours are in :mod:`space`."""
 
 from __future__ import annotations
 
@@ -15,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import materialise
 from .orderstats import with_quantiles
 
 
@@ -99,46 +92,6 @@ def dilate(cells: DataFrame, rounds: int) -> DataFrame:
     return cells.select("cx", "cy", d.alias("_d")).select((F.col("cx") + F.col("_d.i")).alias("cx"), (F.col("cy") + F.col("_d.j")).alias("cy")).distinct()
 
 
-def neighbours(queries: DataFrame, points: DataFrame, k: int, side: float, max_rounds: int = 24, keep: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` nearest points of every query: ``(id, rank, point_id, distance, *keep)``, ties by point id.
-
-    ``queries(id, x, y, z)``, ``points(id, x, y, z)``; a query set joined with itself finds itself first.
-    Queries with fewer than ``k`` points in reach after the last round get those that exist.
-    """
-    out, rest, h = None, queries.select("id", "x", "y", "z"), side
-    total = points.count()
-    box = points.agg(*(F.max(c).alias(f"hi_{c}") for c in "xyz"), *(F.min(c).alias(f"lo_{c}") for c in "xyz")).first()
-    reach = queries.agg(*(F.max(c).alias(f"hi_{c}") for c in "xyz"), *(F.min(c).alias(f"lo_{c}") for c in "xyz")).first()
-    if not total or reach["hi_x"] is None:
-        empty = queries.select("id").limit(0)
-        return empty.select("id", F.lit(0).alias("rank"), F.col("id").alias("point_id"), F.lit(0.0).alias("distance"))
-    extent = max(max(box[f"hi_{c}"], reach[f"hi_{c}"]) - min(box[f"lo_{c}"], reach[f"lo_{c}"]) for c in "xyz")
-    want = min(k, total)
-    for _ in range(max_rounds):
-        cells = [F.floor(F.col(c) / h) for c in "xyz"]
-        p = points.select(F.col("id").alias("point_id"), *(F.col(c).alias(f"p{c}") for c in "xyz"), *(c.alias(f"v{n}") for c, n in zip(cells, "xyz", strict=True)), *keep)
-        near = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-        q = rest.select("*", *(c.alias(f"c{n}") for c, n in zip(cells, "xyz", strict=True)))
-        for n in "xyz":
-            q = q.withColumn("_d", F.explode(near)).withColumn(f"v{n}", F.col(f"c{n}") + F.col("_d"))
-        d = F.sqrt(sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "yz"), (F.col("x") - F.col("px")) * (F.col("x") - F.col("px"))))
-        found = q.join(p, ["vx", "vy", "vz"]).select("id", "x", "y", "z", "point_id", d.alias("distance"), *keep)
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "point_id"))).where(F.col("rank") <= k)
-        last = 2 * h > 2 * extent + 2 * side and h > extent
-        kth = F.max(F.when(F.col("rank") == want, F.col("distance"))).over(Window.partitionBy("id"))
-        ranked = ranked.withColumn("_done", F.lit(True) if last else F.coalesce(kth <= h, F.lit(False)))
-        done = ranked.where("_done").select("id", "rank", "point_id", "distance", *keep)
-        out = done if out is None else out.unionByName(done)
-        if last:
-            break
-        settled = done.select(F.col("id").alias("_i")).distinct()
-        rest = materialise(rest.join(settled, F.col("id") == F.col("_i"), "left_anti"), "rest")
-        if rest.isEmpty():
-            break
-        h *= 2
-    return out
-
-
 def ratio_matches(pairs: DataFrame, ratio: float, one_to_one: bool = True) -> DataFrame:
     """From ``(query, train, distance)``: nearest neighbours that are clearly nearer than the second, each train row once if asked."""
     w = Window.partitionBy("query").orderBy("distance", "train")

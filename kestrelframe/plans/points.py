@@ -10,6 +10,7 @@ from ..functions import geometry as Q
 from ..functions import labels as L
 from ..operators import clouds, components, rules
 from ..operators.orderstats import quantiles, with_quantiles
+from ..operators.space import neighbours
 from ..storage import materialise, table
 from .binding import emb, pts, query, rounded
 
@@ -154,25 +155,25 @@ def _halves(spark, d):
 @query("j6_nearest_point", f"""{_NN} SELECT id, point_id, round(dist, 6) AS distance FROM k WHERE "rank" = 1""")
 def j6(spark, d):
     a, b = _halves(spark, d)
-    return rounded(clouds.neighbours(a, b, 1, 0.6), 6, "distance").select("id", "point_id", "distance")
+    return rounded(neighbours(a, b, 1), 6, "distance").select("id", "point_id", "distance")
 
 
 @query("j8_kth_neighbour", f"""{_NN} SELECT id, "rank", point_id, round(dist, 6) AS distance FROM k WHERE "rank" <= 6""")
 def j8(spark, d):
     a, b = _halves(spark, d)
-    return rounded(clouds.neighbours(a, b, 6, 1.0), 6, "distance").select("id", F.col("rank").cast("long").alias("rank"), "point_id", "distance")
+    return rounded(neighbours(a, b, 6), 6, "distance").select("id", F.col("rank").cast("long").alias("rank"), "point_id", "distance")
 
 
 @query("f16_point_density", f"""{_NN} SELECT id, round(6 / (4.0 / 3.0 * pi() * greatest(dist, 1e-6) ** 3), 4) AS density FROM k WHERE "rank" = 6""")
 def f16(spark, d):
     a, b = _halves(spark, d)
-    return clouds.neighbours(a, b, 6, 1.0).where("rank = 6").select("id", F.round(Q.density(F.col("distance"), 6), 4).alias("density"))
+    return neighbours(a, b, 6).where("rank = 6").select("id", F.round(Q.density(F.col("distance"), 6), 4).alias("density"))
 
 
 @query("v7_cloud_to_cloud", f"""{_NN} SELECT {_STATS.replace("d * d", "dist * dist").replace("(d", "(dist").replace("(distist", "(dist")}, round(avg((dist <= 0.5)::INT), 8) AS within_0_50, round(avg((dist <= 1.0)::INT), 8) AS within_1_00 FROM k WHERE "rank" = 1""")
 def v7(spark, d):
     a, b = _halves(spark, d)
-    near = materialise(clouds.neighbours(a, b, 1, 0.6), "near")
+    near = materialise(neighbours(a, b, 1), "near")
     both = clouds.error_statistics(near, "distance").crossJoin(clouds.coverage(near, "distance", (0.5, 1.0)))  # one row each
     return rounded(rounded(both, 7, *_MEASURES), 8, "within_0_50", "within_1_00")
 
@@ -181,7 +182,7 @@ def v7(spark, d):
 SELECT id, round((greatest(0, least(1, s / ((SELECT quantile_cont(s, 0.95) FROM n) + 1e-6))) + greatest(0, least(1, 1 / (g + 1e-6)))) / 2, 6) AS risk FROM n""")
 def a22(spark, d):
     a, b = _halves(spark, d)
-    near = clouds.neighbours(a, b, 6, 1.0).groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("s"), F.max(F.when(F.col("rank") == 6, F.col("distance"))).alias("k"))
+    near = neighbours(a, b, 6).groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("s"), F.max(F.when(F.col("rank") == 6, F.col("distance"))).alias("k"))
     near = materialise(near, "near")
     edge = quantiles(near, "s", {"p95": 0.95})
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
@@ -193,7 +194,7 @@ def a22(spark, d):
 SELECT id FROM m WHERE m <= (SELECT avg(m) + 2 * stddev_pop(m) FROM m)""")
 def r12(spark, d):
     e = emb(spark, d)
-    mean = clouds.neighbours(e, e, 6, 1.0).groupBy("id").agg(F.avg("distance").alias("m"))
+    mean = neighbours(e, e, 6).groupBy("id").agg(F.avg("distance").alias("m"))
     edge = mean.agg((F.avg("m") + 2 * F.stddev_pop("m")).alias("edge"))
     return mean.crossJoin(F.broadcast(edge)).where("m <= edge").select("id")
 
@@ -201,7 +202,7 @@ def r12(spark, d):
 @query("r13_density_trimming", f"""{_NN}, n AS (SELECT id, max(dist) FILTER ("rank" = 1) AS s, max(dist) FILTER ("rank" = 6) AS f FROM k WHERE "rank" <= 6 GROUP BY id) SELECT id FROM n WHERE s <= 1.5 AND f <= (SELECT quantile_cont(f, 0.98) FROM n)""")
 def r13(spark, d):
     a, b = _halves(spark, d)
-    near = clouds.neighbours(a, b, 6, 1.0).groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("s"), F.max("distance").alias("f"))
+    near = neighbours(a, b, 6).groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("distance"))).alias("s"), F.max("distance").alias("f"))
     near = materialise(near, "near")
     edge = quantiles(near, "f", {"edge": 0.98})
     return near.crossJoin(F.broadcast(edge)).where("s <= 1.5 AND f <= edge").select("id")
@@ -212,7 +213,7 @@ _RATIO = f"{_NN}, m AS (SELECT id AS query, point_id AS train, dist AS distance
 
 def _pairs(spark, d):
     a, b = _halves(spark, d)
-    return clouds.neighbours(a, b, 2, 0.8).select(F.col("id").alias("query"), F.col("point_id").alias("train"), "distance")
+    return neighbours(a, b, 2).select(F.col("id").alias("query"), F.col("point_id").alias("train"), "distance")
 
 
 @query("j12_ratio_matches", f"""{_RATIO} SELECT query, train, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY train ORDER BY distance, query) AS k FROM m) WHERE k = 1""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kestrelframe.functions import geodesy, geometry, labels, motion
 from kestrelframe.operators import asof, clouds, components, mesh, missions, raster, rules, streams, transform
+from kestrelframe.operators.space import neighbours
 
 
 def one(df):
@@ -190,24 +191,24 @@ def cloud(spark, n, seed=0):
     return spark.createDataFrame(pd.DataFrame({"id": np.arange(n)} | {c: np.round(rng.normal(size=n) * 3, 3) for c in "xyz"}))
 
 
-@pytest.mark.parametrize("side", [0.3, 2.0, 50.0])
-def test_neighbours_equal_brute_force(spark, side):
+@pytest.mark.parametrize("leaf_rows", [2, 20, 4096])
+def test_neighbours_equal_brute_force(spark, leaf_rows):
     q, p = cloud(spark, 40, 1), cloud(spark, 120, 2)
     a, b = q.toPandas(), p.toPandas()
     d = np.linalg.norm(a[["x", "y", "z"]].to_numpy()[:, None] - b[["x", "y", "z"]].to_numpy()[None], axis=2)
     want = {(i, k + 1): (j, d[i, j]) for i in range(40) for k, j in enumerate(np.lexsort((np.arange(120), d[i]))[:3])}
-    got = {(r.id, r.rank): (r.point_id, r.distance) for r in clouds.neighbours(q, p, 3, side).collect()}
+    got = {(r.id, r.rank): (r.point_id, r.distance) for r in neighbours(q, p, 3, leaf_rows).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
 
 
 def test_neighbours_of_nothing(spark):
     e = cloud(spark, 5).limit(0)
-    assert clouds.neighbours(cloud(spark, 5), e, 2, 1.0).count() == 0 and clouds.neighbours(e, cloud(spark, 5), 2, 1.0).count() == 0
+    assert neighbours(cloud(spark, 5), e, 2).count() == 0 and neighbours(e, cloud(spark, 5), 2).count() == 0
 
 
 def test_cloud_to_cloud_shift(spark):
     p = cloud(spark, 3)
-    near = clouds.neighbours(p, p.withColumn("z", F.col("z") + 0.25), 1, 1.0)
+    near = neighbours(p, p.withColumn("z", F.col("z") + 0.25), 1)
     assert all(abs(r.distance - 0.25) < 1e-9 for r in near.collect())
 
 
