@@ -21,8 +21,9 @@ all documents in ``SLOTS`` counters, which decide the time and never the result.
 Lists with the same members become one. A block has at most about ``ROWS`` sets and
 ``SHINGLES`` shingles, larger lists being dealt by hash, and a unit of work is a pair
 of blocks: none holds more than two. Units first meet as 512-bit parity signatures,
-which bound the symmetric difference from below, and only sets with a possible partner
-are sent whole. A unit returns a row for each of its sets: the least set it reaches
+which bound the symmetric difference from below, and with each set's ``EARLY`` first
+lists: a pair that shares an earlier list is met there. Only sets with a possible
+partner left are sent whole. A unit returns a row for each of its sets: the least set it reaches
 and its number of links, each link being counted at the first list that the pair
 shares. Texts are read again for the sets that are sent whole.
 
@@ -56,6 +57,8 @@ ROWS = 1024
 SHINGLES = 1 << 20
 #: Position classes of a list, in equal shares of the prefix.
 PLACES = 4
+#: Lists of a set that are looked through for an earlier meeting before it is sent whole; sets that were sent are compared by all.
+EARLY = 8
 _SLICE = 1 << 12
 _WORDS = 8
 _CHUNK = 2048
@@ -146,9 +149,9 @@ def _prints(documents: DataFrame, ranks: Broadcast, shingle: int) -> DataFrame:
 
 
 def _lists(sets: DataFrame, ranks: Broadcast) -> DataFrame:
-    """``(list, first, set, n, rest)``: index lists of two or more sets, those with the same sets being one.
+    """``(list, first, place, set, n, rest)``: index lists of two or more sets, those with the same sets being one.
 
-    ``first`` is the list's first shingle in the global order, ``rest`` the number of the set's shingles from it on.
+    ``first`` is the list's first shingle in the global order, ``place`` its place there, ``rest`` the number of the set's shingles from it on.
     """
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,13 +172,13 @@ def _lists(sets: DataFrame, ranks: Broadcast) -> DataFrame:
     lists = tokens.groupBy("m", "s", "x").agg(F.min("place").alias("place"))
     lists = materialise(lists.withColumn("list", F.monotonically_increasing_id()), "lists")
     # the list's first shingle stands for all its shingles
-    firsts = lists.select("list", F.col("place.value").bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("first"))
+    firsts = lists.select("list", "place", F.col("place.value").bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("first"))
     met = entries.join(firsts, F.col("token") == F.col("first"))
-    return materialise(met.select("list", "first", "set", "n", (F.col("n") - F.col("pos")).alias("rest")), "list_members")
+    return materialise(met.select("list", "first", "place", "set", "n", (F.col("n") - F.col("pos")).alias("rest")), "list_members")
 
 
 def _blocks(lists: DataFrame, rows: int, shingles: int) -> tuple[DataFrame, DataFrame]:
-    """Members ``(block, first, set, n, rest)`` and the pairs of blocks ``(unit, a, b)`` that can hold a link."""
+    """Members ``(block, list, first, set, n, rest)`` and the pairs of blocks ``(unit, a, b)`` that can hold a link."""
     size = F.floor(F.log("n") / float(np.log(DEN / NUM)))
     place = F.floor((F.col("n") - F.col("rest")) * (PLACES * DEN) / (F.col("n") * (DEN - NUM)))
     whole = materialise(lists.groupBy(F.col("list").alias("l")).agg(F.count("*").alias("count"), F.sum("n").alias("total")), "list_sizes")
@@ -197,7 +200,7 @@ def _blocks(lists: DataFrame, rows: int, shingles: int) -> tuple[DataFrame, Data
     units = materialise(pairs.select(F.monotonically_increasing_id().alias("unit"), F.col("a.block").alias("a"), F.col("b.block").alias("b")), "units")
     named = blocks.select("block", *[F.col(k).alias(f"_{k}") for k in key])
     of = [F.col(k) == F.col(f"_{k}") for k in key]
-    return materialise(members.join(named, of).select("block", "first", "set", "n", "rest"), "block_members"), units
+    return materialise(members.join(named, of).select("block", "list", "first", "set", "n", "rest"), "block_members"), units
 
 
 # ---- units of work ----
@@ -211,10 +214,16 @@ class Side:
         self.n = np.array([r["n"] for r in rows], np.int64)
         self.rest = np.array([r["rest"] for r in rows], np.int64)
         self.sig = np.array([np.frombuffer(r["sig"], np.uint64) for r in rows]).reshape(-1, _WORDS)
+        self.early = [np.array(_until(r["early"], r["list"]), np.int64) for r in rows]
         if rows and rows[0].get("hashes") is not None:
             self.sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
 
 
+def _until(lists: list[int], this: int) -> list[int]:
+    """What of a set's first lists stands before the list ``this`` of the set."""
+    return lists[: lists.index(this)] if this in lists else lists
+
+
 def _needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The least overlap of linked sets of ``n`` and ``m`` shingles."""
     return -(-NUM * (n[:, None] + m[None, :]) // (NUM + DEN))
@@ -229,7 +238,11 @@ def possible(a: Side, b: Side, same: bool) -> np.ndarray:
     apart = np.zeros(out.shape, np.int64)
     for w in range(_WORDS):
         apart += np.bitwise_count(a.sig[:, w, None] ^ b.sig[None, :, w])
-    return out & (apart <= a.n[:, None] + b.n[None, :] - 2 * need)
+    out &= apart <= a.n[:, None] + b.n[None, :] - 2 * need
+    if out.any():  # and none that are met at an earlier list
+        x, y = ([np.sort(e) for e in side.early] for side in (a, b))
+        out &= _common_counts(x, y, _in_both(x, y, same)) == 0
+    return out
 
 
 def _members_of(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
@@ -255,6 +268,15 @@ def _common_counts(x: list[np.ndarray], y: list[np.ndarray], columns: np.ndarray
     return total
 
 
+def _in_both(x: list[np.ndarray], y: list[np.ndarray], same: bool) -> np.ndarray:
+    """What two of the sets can have in common, ascending."""
+    flat = np.concatenate(x)
+    if not same:
+        return np.intersect1d(flat, np.concatenate(y))
+    v, c = np.unique(flat, return_counts=True)
+    return v[c > 1]
+
+
 def _shared_before(a: Side, b: Side, same: bool, ranks: np.ndarray, first: int) -> np.ndarray:
     """Pairs that share a shingle before ``first`` in the global order: they are met at that shingle's list."""
     value = np.uint64(first % (1 << 64))
@@ -269,13 +291,7 @@ def _shared_before(a: Side, b: Side, same: bool, ranks: np.ndarray, first: int)
 
     x = before(a.sets)
     y = x if same else before(b.sets)
-    flat = np.concatenate([*x, np.zeros(0, np.uint64)])
-    if same:
-        v, c = np.unique(flat, return_counts=True)
-        columns = v[c > 1]
-    else:
-        columns = np.intersect1d(flat, np.concatenate([*y, np.zeros(0, np.uint64)]))
-    return _common_counts(x, y, columns) > 0
+    return _common_counts(x, y, _in_both(x, y, same)) > 0
 
 
 def links(a: Side, b: Side, same: bool, ranks: np.ndarray, first: int) -> np.ndarray:
@@ -385,12 +401,16 @@ def _answers(found: np.ndarray, a: Side, b: Side, same: bool) -> Iterator[tuple]
 
 def linked_sets(documents: DataFrame, sets: DataFrame, ranks: Broadcast, shingle: int = SHINGLE, rows: int = ROWS, shingles: int = SHINGLES) -> DataFrame:
     """``(set, root, links)`` rows, some sets having several: which sets' links connect them, and how many rows each links with."""
-    members, units = _blocks(_lists(sets, ranks), rows, shingles)
+    lists = _lists(sets, ranks)
+    members, units = _blocks(lists, rows, shingles)
+    # a set has at most as many lists as its prefix has shingles
+    early = F.slice(F.array_sort(F.collect_list(F.struct("place", "list"))), 1, EARLY)
+    early = materialise(lists.groupBy(F.col("set").alias("e")).agg(F.transform(early, lambda x: x["list"]).alias("early")), "early_lists")
     both = F.array(F.struct(F.col("a").alias("block"), F.lit(False).alias("later")), F.struct(F.col("b").alias("block"), F.lit(True).alias("later")))
     sides = units.select("unit", (F.col("a") == F.col("b")).alias("alone"), F.explode(both).alias("s")).where("NOT (alone AND s.later)")
     sides = sides.select("unit", "alone", F.col("s.later").alias("later"), F.col("s.block").alias("of"))
-    dealt = sides.join(members, F.col("of") == F.col("block")).select("unit", "alone", "later", "first", "set", "n", "rest")
-    sigs = sets.select(F.col("set").alias("k"), "sig", "copies")
+    dealt = sides.join(members, F.col("of") == F.col("block")).select("unit", "alone", "later", "list", "first", "set", "n", "rest")
+    sigs = materialise(early.join(sets, F.col("e") == F.col("set")).select(F.col("set").alias("k"), "sig", "copies", "early"), "signatures")
     likely = _units(dealt.join(sigs, F.col("set") == F.col("k")).drop("k"), _live, "unit long, set long", [pa.int64(), pa.int64()])
     likely = materialise(likely.distinct(), "live_sets")
     wanted = materialise(likely.select("set").distinct().join(sets.select(F.col("set").alias("k"), "k1", "k2"), F.col("set") == F.col("k")).select("set", "k1", "k2"), "wanted")

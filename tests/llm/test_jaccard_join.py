@@ -94,7 +94,7 @@ def test_skipping_loses_no_link():
         s = s[rng.random(len(s)) > rng.choice([0, 0.01, 0.04, 0.08])]
         sets.append(np.unique(np.concatenate([s, rng.integers(1 << 62, size=rng.integers(0, 12), dtype=np.uint64)])))
     first = int(min(s[0] for s in sets)) - 1  # nothing stands before it
-    side = lambda some: Side([{"set": k, "n": len(s), "rest": len(s), "sig": signature(s).tobytes(), "hashes": s.tobytes()} for k, s in enumerate(some)])
+    side = lambda some: Side([{"set": k, "n": len(s), "rest": len(s), "sig": signature(s).tobytes(), "early": [], "list": 0, "hashes": s.tobytes()} for k, s in enumerate(some)])
     for a, b, same in ((sets, sets, True), (sets[:50], sets[50:], False)):
         got = links(side(a), side(b), same, ranks, first)
         want = np.zeros_like(got)
@@ -108,7 +108,7 @@ def test_skipping_loses_no_link():
 
 def test_hot_list_is_cut_into_blocks(spark):
     """A list that a third of all sets share is dealt to blocks of a bounded size, and late positions are skipped."""
-    lists = spark.range(3000).select(F.lit(0).cast("long").alias("list"), F.lit(5).cast("long").alias("first"), F.col("id").alias("set"), F.lit(100).cast("long").alias("n"), (100 - F.col("id") % 11).alias("rest"))
+    lists = spark.range(3000).select(F.lit(0).cast("long").alias("list"), F.lit(5).cast("long").alias("first"), F.lit(0).alias("place"), F.col("id").alias("set"), F.lit(100).cast("long").alias("n"), (100 - F.col("id") % 11).alias("rest"))
     members, units = jaccard_join._blocks(lists, 100, 1 << 20)
     assert members.groupBy("block").count().agg(F.max("count")).first()[0] < 200
     stats = members.groupBy("block").agg(F.max("rest").alias("rest")).toPandas().set_index("block")["rest"]
