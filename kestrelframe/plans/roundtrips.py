@@ -10,7 +10,7 @@ from ..functions import geometry as Q
 from ..functions import motion as M
 from ..operators import components, mesh, raster, rules
 from ..sources import files, sinks
-from ..storage import scratch, table
+from ..storage import materialise, scratch, table
 from ..streaming import progress
 from .binding import emb, ev, frames, pts, query
 
@@ -265,10 +265,32 @@ def w17(spark, d):
     return f.join(n, F.col("idx") == F.col("at"), "left").groupBy("idx").agg(F.count_if(F.col("s") > F.col("sharpness")).alias("ahead"))
 
 
-@query("r7_bare_surface", None)
+_BARE = """, box AS (SELECT min(x) AS x0, max(y) AS y1, ceil(max(y) - min(y)) AS h, ceil(max(x) - min(x)) AS w FROM pts_ ),
+c AS (SELECT least(floor(y1 - y), h - 1)::BIGINT AS r, least(floor(x - x0), w - 1)::BIGINT AS c, min(z) AS z FROM pts_, box GROUP BY 1, 2),
+g AS (SELECT r, c FROM (SELECT unnest(range(0, h::BIGINT)) AS r FROM box), (SELECT unnest(range(0, w::BIGINT)) AS c FROM box)),
+f AS (SELECT g.r, g.c, (min({'d': (g.r - k.r) ** 2 + (g.c - k.c) ** 2, 'r': k.r, 'c': k.c, 'z': k.z})).z AS z FROM g, c k GROUP BY g.r, g.c),
+s AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j)),
+e AS (SELECT g.r, g.c, min(f.z) AS z FROM g, s, box, f WHERE f.r = greatest(0, least(h - 1, g.r + i)) AND f.c = greatest(0, least(w - 1, g.c + j)) GROUP BY g.r, g.c),
+o AS (SELECT g.r, g.c, max(e.z) AS z FROM g, s, box, e WHERE e.r = greatest(0, least(h - 1, g.r + i)) AND e.c = greatest(0, least(w - 1, g.c + j)) GROUP BY g.r, g.c),
+q AS (SELECT f.r, f.c, CASE WHEN f.z - o.z > 0.75 THEN o.z ELSE f.z END AS bare FROM f JOIN o USING (r, c)) """
+
+
+@query("r7_bare_surface", f"""{_BARE} SELECT r AS "row", c AS col, round(bare, 6) AS bare FROM q""")
 def r7(spark, d):
-    """Bare surface of one cloud's raster, tile by tile."""
-    return raster.terrain_tiled(pts(spark, d).select("x", "y", "z"), 1.0, 25.0, 10.0, 1.0, 0.0, 51.0, (3.0,)).select("row", "col", F.round("dtm", 6).alias("bare"))
+    """The opened surface of a cloud's raster, in every cell, tile by tile."""
+    p = pts(spark, d).select("x", "y", "z")
+    grid = raster.grid_of(p, 1.0)
+    bare = raster.bare_earth(raster.surface_cells(p, grid), grid, (3.0,), near=60.0, tile=25)
+    return bare.select("row", "col", F.round("bare", 6).alias("bare"))
+
+
+@query("r8_ground_of_bare_earth", f"""{_BARE} SELECT id FROM pts_, box, q WHERE least(floor(y1 - y), h - 1) = q.r AND least(floor(x - x0), w - 1) = q.c AND z <= bare + 0.5""")
+def r8_bare(spark, d):
+    """Points that pass the ground test against the opened surface."""
+    p = pts(spark, d)
+    grid = raster.grid_of(p, 1.0)
+    bare = materialise(raster.bare_earth(raster.surface_cells(p, grid), grid, (3.0,), tile=25), "bare_earth")
+    return raster.ground(p.select("id", "x", "y", "z"), bare, grid).where("ground").select("id")
 
 
 @query("p12_path_guard", """SELECT page_id, NOT contains(url, '..') AS safe FROM pages""")

@@ -188,7 +188,7 @@ def f18(spark, d):
 @query("r10_tiled_terrain", None)
 def r10(spark, d):
     p = pts(spark, d).select("x", "y", "z")
-    return raster.terrain_tiled(p, 1.0, 20.0, 12.0, 3.0, 0.0, 51.0, (3.0, 6.0))
+    return raster.terrain(p, 1.0, 3.0, (3.0, 6.0), tile=20)
 
 
 @query("r9_terrain_coverage", None)

@@ -246,29 +246,6 @@ def grid(n, top=()):
     return pd.DataFrame({"x": x.ravel(), "y": y.ravel(), "z": z.ravel()})
 
 
-def test_terrain_removes_a_building():
-    block = [(r, c) for r in range(3, 7) for c in range(3, 7)]
-    got = raster.terrain(grid(10, block), 0.0, 10.0, 1.0, 5.0, (3.0, 10.0))
-    assert got["dsm"].max() == 10 and got["dtm"].max() == 0 and (got["coverage"] == raster.INTERPOLATED).sum() == 16
-
-
-def test_terrain_tiles_equal_the_whole(spark):
-    p = grid(30, [(4, 4), (17, 22)])
-    p["z"] += p["x"] * 0.01
-    cols = ["row", "col", "dsm", "dtm", "coverage"]
-    got = raster.terrain_tiled(spark.createDataFrame(p), 1.0, 10.0, 5.0, 2.0, 0.0, 30.0, (3.0,)).toPandas()[cols]
-    want = raster.terrain(p, 0.0, 30.0, 1.0, 2.0, (3.0,))
-    key = ["row", "col"]
-    pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True))
-
-
-def test_terrain_coverage_states():
-    p = pd.DataFrame({"x": [0.5, 5.5, 10.5], "y": [0.5, 5.5, 10.5], "z": [0.0, 0.0, 0.0]})
-    got = raster.terrain(p, 0.0, 11.0, 1.0, 3.0, (3.0,))
-    assert set(got["coverage"]) == {raster.OBSERVED, raster.INTERPOLATED} and len(got) < 121
-    assert raster.terrain(p.iloc[:0], 0.0, 1.0, 1.0, 1.0).empty
-
-
 def test_surface_matches_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     v, q = rng.random((30, 3)) * 4, rng.random((12, 3)) * 4
