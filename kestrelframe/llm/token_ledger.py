@@ -11,8 +11,10 @@ sums are removed; an attempt that dies leaves no marker and counts for nothing.
 
 ``compact`` folds the committed batches into the totals, and ``totals`` adds only what
 was committed since: the work of a reader follows the new batches, not the history. A
-fold becomes visible by its own marker. What a fold replaced is removed by the next
-one, so a reader that began before a fold still finds its files.
+fold becomes visible by its own marker, and takes up exactly the batches whose ids it
+records: they are listed once. What a fold replaced (batches and the fold before) is
+removed by the next one, so a reader that began before a fold still finds its files.
+A batch id that a fold has counts for nothing when a late writer marks it again.
 
 Edge cases: null sources, languages and versions are keys of their own; null counts
 add nothing to tokens; repeated changes count repeatedly (one batch is a bag of
@@ -89,13 +91,24 @@ class Ledger:
         attempt = f"{batch_id}-{uuid.uuid4().hex}"
         sums.write.parquet(f"{self.path}/data/{attempt}")
         won = create_text(self.spark, self._marker(batch_id), attempt)
+        if won and self._among(self._fold()[1], [batch_id]):  # folded, and its marker removed, since the look above
+            remove(self.spark, self._marker(batch_id))
+            won = False
         if not won:
             remove(self.spark, f"{self.path}/data/{attempt}")
         return won
 
+    def _among(self, fold: str | None, ids: list[str]) -> set[str]:
+        """Which of the ids a fold has: one job."""
+        if not fold or not ids:
+            return set()
+        asked = self.spark.createDataFrame([(i,) for i in ids], "id string")
+        return {r["id"] for r in asked.join(self._folded(fold), "id", "left_semi").collect()}
+
     def _since(self, fold: str | None) -> dict[str, str]:
         """Folder of each batch that was committed and is not in ``fold``."""
-        have = {r["id"] for r in self._folded(fold).where(F.col("id").isin(ids)).collect()} if (ids := names(self.spark, f"{self.path}/commits")) and fold else set()
+        ids = names(self.spark, f"{self.path}/commits")
+        have = self._among(fold, ids)
         return {i: read_text(self.spark, f"{self.path}/commits/{i}") for i in ids if i not in have}
 
     def batches(self) -> list[str]:
@@ -105,7 +118,10 @@ class Ledger:
     def totals(self) -> DataFrame:
         """Documents and tokens by key: the latest fold, and the batches since."""
         _, fold = self._fold()
-        folders = [f"{self.path}/data/{fold}/totals"] * bool(fold) + [f"{self.path}/data/{at}" for at in self._since(fold).values()]
+        return self._sums(fold, self._since(fold))
+
+    def _sums(self, fold: str | None, since: dict[str, str]) -> DataFrame:
+        folders = [f"{self.path}/data/{fold}/totals"] * bool(fold) + [f"{self.path}/data/{at}" for at in since.values()]
         if not folders:
             return self.spark.createDataFrame([], _SCHEMA)
         sums = self.spark.read.schema(_SCHEMA).parquet(*folders).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -115,16 +131,19 @@ class Ledger:
         """Fold all batches so far into the totals; False if another writer did so meanwhile."""
         number, fold = self._fold()
         since, name = self._since(fold), f"fold-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{self.path}/data/{name}/totals")
+        self._sums(fold, since).write.parquet(f"{self.path}/data/{name}/totals")
         new = self.spark.createDataFrame([(i,) for i in since], "id string")
         self._folded(fold).unionByName(new).write.parquet(f"{self.path}/data/{name}/ids")
         if not create_text(self.spark, f"{self.path}/folds/{number + 1}", name):
             remove(self.spark, f"{self.path}/data/{name}")
             return False
-        for i in set(names(self.spark, f"{self.path}/commits")) - set(since) if fold else ():  # what the fold before took up
-            if not self._folded(fold).where(F.col("id") == i).isEmpty():
-                remove(self.spark, f"{self.path}/data/{read_text(self.spark, self._marker(i))}")
-                remove(self.spark, self._marker(i))
+        for i in self._among(fold, names(self.spark, f"{self.path}/commits")):  # what the fold before took up
+            remove(self.spark, f"{self.path}/data/{read_text(self.spark, self._marker(i))}")
+            remove(self.spark, self._marker(i))
+        for n in names(self.spark, f"{self.path}/folds"):  # and the folds before that one
+            if int(n) < number:
+                remove(self.spark, f"{self.path}/data/{read_text(self.spark, f'{self.path}/folds/{n}')}")
+                remove(self.spark, f"{self.path}/folds/{n}")
         return True
 
     def drop(self) -> None:
