@@ -153,54 +153,60 @@ def _lists(sets: DataFrame, ranks: Broadcast) -> DataFrame:
 
     ``first`` is the list's first shingle in the global order, ``place`` its place there, ``rest`` the number of the set's shingles from it on.
     """
+    shared = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
+    slots = sets.sparkSession.sparkContext.broadcast(_slots(shared))  # a few shingles of one set share a slot; their lists hold no pair
 
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token = batch.column("token").to_numpy().view(np.uint64)
-            yield batch.append_column("rank", pa.array(ranks.value[(token % np.uint64(SLOTS)).astype(np.int64)].astype(np.int32)))
-
-    entries = sets.select("set", "n", F.posexplode("prefix").alias("pos", "token"))
-    # written tables on both sides of a join let a hot key's partition be split
-    shared = materialise(entries.groupBy("token").count().where("count > 1").select(F.col("token").alias("t")), "shared")
-    entries = materialise(entries.join(shared, F.col("token") == F.col("t")).drop("t"), "entries")
+            lists = batch.column("prefix")
+            flat, off = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), np.diff(off))
+            at = np.flatnonzero(_in_slots(slots.value, flat))
+            rank = ranks.value[(flat[at].view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)].astype(np.int32)
+            n = batch.column("n").to_numpy()[row[at]]
+            columns = (flat[at], rank, batch.column("set").to_numpy()[row[at]], n, n - (at - off[row[at]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "rank", "set", "n", "rest"])
+
+    entries = materialise(sets.select("set", "n", "prefix").mapInArrow(listed, "token long, rank int, set long, n long, rest long"), "entries")
     name = F.xxhash64("set")
-    tokens = entries.groupBy("token").agg(F.count("*").alias("m"), F.sum(name % (1 << 40)).alias("s"), F.bit_xor(name).alias("x"))
-    tokens = tokens.mapInArrow(ranked, "token long, m long, s long, x long, rank int")
+    tokens = entries.groupBy("token").agg(F.first("rank").alias("rank"), F.count("*").alias("m"), F.sum(name % (1 << 40)).alias("s"), F.bit_xor(name).alias("x")).where("m > 1")
     # stored order is by unsigned value: the sign bit is turned
-    place = F.struct("rank", F.col("token").bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("value"))
-    tokens = materialise(tokens.select("token", "m", "s", "x", place.alias("place")), "tokens")
-    lists = tokens.groupBy("m", "s", "x").agg(F.min("place").alias("place"))
-    lists = materialise(lists.withColumn("list", F.monotonically_increasing_id()), "lists")
-    # the list's first shingle stands for all its shingles
-    firsts = lists.select("list", "place", F.col("place.value").bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("first"))
-    met = entries.join(firsts, F.col("token") == F.col("first"))
-    return materialise(met.select("list", "first", "place", "set", "n", (F.col("n") - F.col("pos")).alias("rest")), "list_members")
+    turned = lambda c: c.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    lists = tokens.groupBy("m", "s", "x").agg(F.min(F.struct("rank", turned(F.col("token")).alias("value"))).alias("place"))
+    # the list's first shingle stands for all its shingles; written tables on both sides let a hot one's partition be split
+    lists = materialise(lists.select("place", turned(F.col("place.value")).alias("first")).withColumn("list", F.monotonically_increasing_id()), "lists")
+    met = entries.join(lists, F.col("token") == F.col("first"))
+    return materialise(met.select("list", "first", "place", "set", "n", "rest"), "list_members")
 
 
 def _blocks(lists: DataFrame, rows: int, shingles: int) -> tuple[DataFrame, DataFrame]:
-    """Members ``(block, list, first, set, n, rest)`` and the pairs of blocks ``(unit, a, b)`` that can hold a link."""
-    size = F.floor(F.log("n") / float(np.log(DEN / NUM)))
-    place = F.floor((F.col("n") - F.col("rest")) * (PLACES * DEN) / (F.col("n") * (DEN - NUM)))
-    whole = materialise(lists.groupBy(F.col("list").alias("l")).agg(F.count("*").alias("count"), F.sum("n").alias("total")), "list_sizes")
-    # a list that fits is one block; another is cut by size, by position, and then by hash
-    fits = (F.col("count") <= rows) & (F.col("total") <= shingles)
-    classed = lists.join(whole, F.col("list") == F.col("l")).select("list", "first", "set", "n", "rest", F.when(fits, -1).otherwise(size).alias("size"), F.when(fits, -1).otherwise(place).alias("place"))
-    classed = materialise(classed, "classed")
-    cells = classed.groupBy(F.col("list").alias("l"), F.col("size").alias("s"), F.col("place").alias("p")).agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / shingles)).alias("parts"))
-    cells = materialise(cells, "cells")
-    met = classed.join(cells, (F.col("list") == F.col("l")) & (F.col("size") == F.col("s")) & (F.col("place") == F.col("p")))
-    key = ["list", "size", "place", "part"]
-    members = materialise(met.select("list", "first", "set", "n", "rest", "size", "place", F.pmod(F.xxhash64("set"), F.col("parts")).alias("part")), "members")
-    blocks = members.groupBy(*key).agg(F.count("*").alias("count"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-    blocks = materialise(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    a, b = blocks.alias("a"), blocks.alias("b")
-    # overlap >= t / (1 + t) of both sizes, whatever two sets the blocks hold
+    """Members ``(list, size, place, part, first, set, n, rest)`` of blocks, and the pairs of blocks that can hold a link.
+
+    Pairs are ``(unit, alone, list, a, b)`` with ``a`` and ``b`` being ``(size, place, part)``. A list is cut
+    by size and by position; cells of more than ``rows`` sets or ``shingles`` shingles are dealt by hash.
+    """
+    size = F.floor(F.log("n") / float(np.log(DEN / NUM))).cast("int")
+    place = F.floor((F.col("n") - F.col("rest")) * (PLACES * DEN) / (F.col("n") * (DEN - NUM))).cast("int")
+    classed = lists.select("list", "first", "set", "n", "rest", size.alias("size"), place.alias("place"))
+    key = ["list", "size", "place"]
+    cells = classed.groupBy(*key).agg(F.count("*").alias("count"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    cells = materialise(cells.withColumn("parts", F.greatest(F.ceil(F.col("count") / rows), F.ceil(F.col("total") / shingles))), "cells")
+    a, b = cells.alias("a"), cells.alias("b")
+    # overlap >= t / (1 + t) of both sizes, whatever two sets the cells hold
     live = f"{NUM + DEN} * least(a.rest, b.rest, a.most, b.most) >= {NUM} * (a.least + b.least)"
-    pairs = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.block") <= F.col("b.block"))).where(f"{live} AND (a.block <> b.block OR a.count > 1)")
-    units = materialise(pairs.select(F.monotonically_increasing_id().alias("unit"), F.col("a.block").alias("a"), F.col("b.block").alias("b")), "units")
-    named = blocks.select("block", *[F.col(k).alias(f"_{k}") for k in key])
-    of = [F.col(k) == F.col(f"_{k}") for k in key]
-    return materialise(members.join(named, of).select("block", "list", "first", "set", "n", "rest"), "block_members"), units
+    once = "(a.size < b.size OR (a.size = b.size AND (a.place < b.place OR (a.place = b.place AND a.count > 1))))"
+    pairs = a.join(b, F.col("a.list") == F.col("b.list")).where(f"{live} AND {once}")
+    pairs = materialise(pairs.select(F.col("a.list").alias("list"), *(F.struct(*(F.col(f"{c}.{k}").alias(k) for k in ("size", "place", "parts"))).alias(c) for c in "ab")), "cell_pairs")
+    each = lambda c: F.sequence(F.lit(0).cast("long"), F.col(f"{c}.parts") - 1)
+    block = lambda c, part: F.struct(F.col(f"{c}.size").alias("size"), F.col(f"{c}.place").alias("place"), F.col(part).alias("part"))
+    same = (F.col("a.size") == F.col("b.size")) & (F.col("a.place") == F.col("b.place"))
+    units = pairs.withColumn("i", F.explode(each("a"))).withColumn("j", F.explode(each("b"))).where(~same | (F.col("i") <= F.col("j")))
+    units = units.select((same & (F.col("i") == F.col("j"))).alias("alone"), "list", block("a", "i").alias("a"), block("b", "j").alias("b"))
+    units = materialise(units.withColumn("unit", F.monotonically_increasing_id()), "units")
+    kept = pairs.select("list", F.explode(F.array("a", "b")).alias("c")).select(F.col("list").alias("l"), F.col("c.size").alias("s"), F.col("c.place").alias("p"), F.col("c.parts").alias("parts")).distinct()
+    kept = materialise(kept, "live_cells")
+    met = classed.join(kept, (F.col("list") == F.col("l")) & (F.col("size") == F.col("s")) & (F.col("place") == F.col("p")))
+    return materialise(met.select(*key, F.pmod(F.xxhash64("set"), F.col("parts")).alias("part"), "first", "set", "n", "rest"), "members"), units
 
 
 # ---- units of work ----
@@ -403,21 +409,22 @@ def linked_sets(documents: DataFrame, sets: DataFrame, ranks: Broadcast, shingle
     """``(set, root, links)`` rows, some sets having several: which sets' links connect them, and how many rows each links with."""
     lists = _lists(sets, ranks)
     members, units = _blocks(lists, rows, shingles)
+    both = F.array(F.struct(F.col("a").alias("block"), F.lit(False).alias("later")), F.struct(F.col("b").alias("block"), F.lit(True).alias("later")))
+    sides = units.select("unit", "alone", F.col("list").alias("l"), F.explode(both).alias("s")).where("NOT (alone AND s.later)")
+    sides = sides.select("unit", "alone", "l", "s.later", *(F.col(f"s.block.{c}").alias(f"_{c}") for c in ("size", "place", "part")))
+    here = (F.col("list") == F.col("l")) & (F.col("size") == F.col("_size")) & (F.col("place") == F.col("_place")) & (F.col("part") == F.col("_part"))
+    dealt = materialise(sides.join(members, here).select("unit", "alone", "later", "list", "first", "set", "n", "rest"), "dealt")
     # a set has at most as many lists as its prefix has shingles
     early = F.slice(F.array_sort(F.collect_list(F.struct("place", "list"))), 1, EARLY)
-    early = materialise(lists.groupBy(F.col("set").alias("e")).agg(F.transform(early, lambda x: x["list"]).alias("early")), "early_lists")
-    both = F.array(F.struct(F.col("a").alias("block"), F.lit(False).alias("later")), F.struct(F.col("b").alias("block"), F.lit(True).alias("later")))
-    sides = units.select("unit", (F.col("a") == F.col("b")).alias("alone"), F.explode(both).alias("s")).where("NOT (alone AND s.later)")
-    sides = sides.select("unit", "alone", F.col("s.later").alias("later"), F.col("s.block").alias("of"))
-    dealt = sides.join(members, F.col("of") == F.col("block")).select("unit", "alone", "later", "list", "first", "set", "n", "rest")
-    sigs = materialise(early.join(sets, F.col("e") == F.col("set")).select(F.col("set").alias("k"), "sig", "copies", "early"), "signatures")
-    likely = _units(dealt.join(sigs, F.col("set") == F.col("k")).drop("k"), _live, "unit long, set long", [pa.int64(), pa.int64()])
+    asked = dealt.select(F.col("set").alias("d")).distinct()
+    early = lists.join(asked, F.col("set") == F.col("d"), "left_semi").groupBy(F.col("set").alias("e")).agg(F.transform(early, lambda x: x["list"]).alias("early"))
+    signs = materialise(early.join(sets, F.col("e") == F.col("set")).select(F.col("set").alias("k"), "k1", "k2", "sig", "copies", "early"), "signatures")
+    likely = _units(dealt.join(signs.drop("k1", "k2"), F.col("set") == F.col("k")).drop("k"), _live, "unit long, set long", [pa.int64(), pa.int64()])
     likely = materialise(likely.distinct(), "live_sets")
-    wanted = materialise(likely.select("set").distinct().join(sets.select(F.col("set").alias("k"), "k1", "k2"), F.col("set") == F.col("k")).select("set", "k1", "k2"), "wanted")
-    whole = _whole(documents, wanted, shingle)
     live = likely.select(F.col("unit").alias("u"), F.col("set").alias("v"))
     sent = dealt.join(live, (F.col("unit") == F.col("u")) & (F.col("set") == F.col("v"))).drop("u", "v")
-    sent = sent.join(sigs, F.col("set") == F.col("k")).drop("k").join(whole, F.col("set") == F.col("w")).drop("w")
+    sent = materialise(sent.join(signs, F.col("set") == F.col("k")).drop("k"), "sent")
+    sent = sent.join(_whole(documents, sent.select("k1"), shingle), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).drop("k1", "k2", "w1", "w2")
 
     def work(a: Side, b: Side, same: bool, first: int) -> Iterator[tuple]:
         return _answers(links(a, b, same, ranks.value, first), a, b, same)
@@ -425,20 +432,19 @@ def linked_sets(documents: DataFrame, sets: DataFrame, ranks: Broadcast, shingle
     return materialise(_units(sent, work, "unit long, set long, root long, links long", [pa.int64()] * 4), "links")
 
 
-def _whole(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(w, hashes)`` of the ``wanted(set, k1, k2)`` sets, from the texts."""
-    slots = documents.sparkSession.sparkContext.broadcast(_slots(wanted.select("k1")))
+def _whole(documents: DataFrame, names: DataFrame, shingle: int) -> DataFrame:
+    """``(w1, w2, hashes)`` of all sets with a first name of ``names(k1)`` (and a few others), from the texts."""
+    slots = documents.sparkSession.sparkContext.broadcast(_slots(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(*_name(s), s.tobytes()) for s in shingle_sets(batch.column("text"), shingle)]
             some = np.flatnonzero(_in_slots(slots.value, np.array([f[0] for f in found], np.int64))) if found else []
             found = [found[k] for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["a", "b", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["w1", "w2", "hashes"])
 
-    texts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "a long, b long, hashes binary")
-    once = texts.groupBy("a", "b").agg(F.first("hashes").alias("hashes"))
-    return materialise(wanted.join(once, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).select(F.col("set").alias("w"), "hashes"), "whole_sets")
+    texts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "w1 long, w2 long, hashes binary")
+    return texts.groupBy("w1", "w2").agg(F.first("hashes").alias("hashes"))
 
 
 def join(documents: DataFrame, shingle: int = SHINGLE, rows: int = ROWS, shingles: int = SHINGLES) -> DataFrame:

@@ -110,8 +110,11 @@ def test_hot_list_is_cut_into_blocks(spark):
     """A list that a third of all sets share is dealt to blocks of a bounded size, and late positions are skipped."""
     lists = spark.range(3000).select(F.lit(0).cast("long").alias("list"), F.lit(5).cast("long").alias("first"), F.lit(0).alias("place"), F.col("id").alias("set"), F.lit(100).cast("long").alias("n"), (100 - F.col("id") % 11).alias("rest"))
     members, units = jaccard_join._blocks(lists, 100, 1 << 20)
-    assert members.groupBy("block").count().agg(F.max("count")).first()[0] < 200
-    stats = members.groupBy("block").agg(F.max("rest").alias("rest")).toPandas().set_index("block")["rest"]
-    pairs = units.toPandas()
-    assert len(pairs) and (np.minimum(stats[pairs.a].to_numpy(), stats[pairs.b].to_numpy()) >= 95).all()
-    assert members.count() == 3000
+    key = ["size", "place", "part"]
+    stats = {tuple(r)[:3]: (r["n"], r["rest"]) for r in members.groupBy(*key).agg(F.count("*").alias("n"), F.max("rest").alias("rest")).collect()}
+    assert max(n for n, _ in stats.values()) < 200
+    pairs = [(tuple(r.a), tuple(r.b)) for r in units.collect()]
+    assert pairs and len(set(pairs)) == len(pairs) and all(min(stats[a][1], stats[b][1]) >= 95 for a, b in pairs)
+    kept = members.select("set", "rest").collect()
+    # whoever can link is dealt to a block, and no one else's block is opened
+    assert {r["set"] for r in kept} >= {k for k in range(3000) if 100 - k % 11 >= 95} and len(kept) < 3000
