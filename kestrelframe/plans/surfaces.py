@@ -10,7 +10,8 @@ from ..functions import geometry as G
 from ..functions import motion as M
 from ..operators import mesh, raster, rules, transform
 from ..operators.orderstats import with_quantiles
-from ..storage import table
+from ..operators.visibility import View, unoccluded
+from ..storage import materialise, table
 from .binding import emb, pts, query, rounded
 
 _MESH = ", vt AS (SELECT id AS vid, x, y, z FROM emb_), fc AS (SELECT l_orderkey * 8 + l_linenumber AS fid, l_partkey % 500 AS v0, (l_partkey + l_linenumber) % 500 AS v1, (l_partkey + 7 * l_linenumber) % 500 AS v2 FROM lineitem)"
@@ -208,3 +209,32 @@ def a20(spark, d):
 def g4(spark, d):
     """Labels as they are: the operator is defined as the identity."""
     return emb(spark, d).select("id", "label")
+
+
+_RELIEF = """WITH hv AS (SELECT CAST(l_quantity AS BIGINT) AS i, l_suppkey % 50 AS j, max(l_extendedprice) / 2000 + min(l_extendedprice) / 500 AS z FROM lineitem GROUP BY 1, 2),
+q AS (SELECT a.i, a.j, a.z AS za, b.z AS zb, c.z AS zc, d.z AS zd FROM hv a JOIN hv b ON b.i = a.i + 1 AND b.j = a.j JOIN hv c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN hv d ON d.i = a.i AND d.j = a.j + 1),
+fc AS (SELECT (i * 50 + j) * 2 AS fid, i AS x0, j AS y0, za AS z0, i + 1 AS x1, j AS y1, zb AS z1, i + 1 AS x2, j + 1 AS y2, zc AS z2 FROM q
+  UNION ALL SELECT (i * 50 + j) * 2 + 1, i, j, za, i + 1, j + 1, zc, i, j + 1, zd FROM q),
+vw AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, -25.2::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, -1.0::DOUBLE, 60.3::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 70.4::DOUBLE), (1, 1.0, 0.0, 0.0, -25.3, 0.0, -1.0, 0.0, 24.9, 0.0, 0.0, -1.0, 300.1)) t(view, r00, r01, r02, t0, r10, r11, r12, t1, r20, r21, r22, t2)),
+p AS (SELECT fid, view, """ + ", ".join(f"r{a}0 * x{k} + r{a}1 * y{k} + r{a}2 * z{k} + t{a} AS p{k}{n}" for k in range(3) for a, n in enumerate("xyz")) + """ FROM fc, vw),
+t AS (SELECT fid, view, """ + ", ".join(f"(p0{n} + p1{n} + p2{n}) / 3 AS d{n}" for n in "xyz") + """ FROM p WHERE """ + " AND ".join(f"p{k}z > 1e-9 AND 500 * p{k}x / p{k}z + 320 BETWEEN 1 AND 638 AND 500 * p{k}y / p{k}z + 240 BETWEEN 1 AND 478" for k in range(3)) + """),
+m AS (SELECT t.fid, t.view, """ + ", ".join(f"dx * (p{a}y * p{b}z - p{a}z * p{b}y) + dy * (p{a}z * p{b}x - p{a}x * p{b}z) + dz * (p{a}x * p{b}y - p{a}y * p{b}x) AS s{a}" for a, b in ((0, 1), (1, 2), (2, 0))) + """,
+  (p1y - p0y) * (p2z - p0z) - (p1z - p0z) * (p2y - p0y) AS nx, (p1z - p0z) * (p2x - p0x) - (p1x - p0x) * (p2z - p0z) AS ny, (p1x - p0x) * (p2y - p0y) - (p1y - p0y) * (p2x - p0x) AS nz, dx, dy, dz, p0x, p0y, p0z FROM t JOIN p ON t.view = p.view AND t.fid <> p.fid),
+h AS (SELECT DISTINCT fid, view FROM m WHERE (least(s0, s1, s2) >= 0 OR greatest(s0, s1, s2) <= 0) AND (p0x * nx + p0y * ny + p0z * nz) / nullif(dx * nx + dy * ny + dz * nz, 0) > 0 AND (p0x * nx + p0y * ny + p0z * nz) / nullif(dx * nx + dy * ny + dz * nz, 0) < 1 - 1e-9)
+SELECT fid, view FROM t WHERE (fid, view) NOT IN (SELECT (fid, view) FROM h)"""
+
+
+@query("x7_unoccluded_faces", _RELIEF)
+def x7(spark, d):
+    """Faces of a relief of all line items that two cameras see, one from the side and one from above."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("i"), (F.col("l_suppkey") % 50).alias("j"))
+    v = materialise(li.agg((F.max("l_extendedprice") / 2000 + F.min("l_extendedprice") / 500).alias("z")), "relief")
+    at = lambda di, dj, n: v.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("z").alias(n))
+    q = at(0, 0, "za").join(at(1, 0, "zb"), ["i", "j"]).join(at(1, 1, "zc"), ["i", "j"]).join(at(0, 1, "zd"), ["i", "j"])
+    x, y = F.col("i").cast("double"), F.col("j").cast("double")
+    corner = {"a": (x, y, F.col("za")), "b": (x + 1, y, F.col("zb")), "c": (x + 1, y + 1, F.col("zc")), "d": (x, y + 1, F.col("zd"))}
+    face = lambda n, names: F.struct(((F.col("i") * 50 + F.col("j")) * 2 + n).alias("fid"), *(c.alias(f"{a}{k}") for k, m in enumerate(names) for a, c in zip("xyz", corner[m], strict=True)))
+    faces = q.select(F.explode(F.array(face(0, "abc"), face(1, "acd"))).alias("f")).select("f.*")
+    side = View(0, ((0.0, 1.0, 0.0), (0.0, 0.0, -1.0), (1.0, 0.0, 0.0)), (-25.2, 60.3, 70.4), 500, 500, 320, 240, 640, 480)
+    above = View(1, ((1.0, 0.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, -1.0)), (-25.3, 24.9, 300.1), 500, 500, 320, 240, 640, 480)
+    return unoccluded(faces, [side, above])
