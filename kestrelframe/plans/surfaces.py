@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import motion as M
-from ..operators import mesh, raster, rules, transform
+from ..operators import groupfit, mesh, raster, rules, transform
 from ..operators.orderstats import with_quantiles
 from ..operators.visibility import View, unoccluded
 from ..storage import materialise, table
@@ -238,3 +238,22 @@ def x7(spark, d):
     side = View(0, ((0.0, 1.0, 0.0), (0.0, 0.0, -1.0), (1.0, 0.0, 0.0)), (-25.2, 60.3, 70.4), 500, 500, 320, 240, 640, 480)
     above = View(1, ((1.0, 0.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, -1.0)), (-25.3, 24.9, 300.1), 500, 500, 320, 240, 640, 480)
     return unoccluded(faces, [side, above])
+
+
+_MATCHES = """SELECT l_suppkey AS pair, l_orderkey * 8 + l_linenumber AS id, l_quantity * 10 AS x, l_discount * 5000 AS y, l_linenumber >= 4 AS bad, l_tax FROM lineitem"""
+
+
+def _matches(spark, d):
+    """Matches of an image pair for each supplier: a projective map of its own, broken in every line from the fourth on."""
+    x, y, g = F.col("l_quantity") * 10, F.col("l_discount") * 5000, F.col("l_suppkey")
+    w = 1 + 1e-4 * x - 5e-5 * y
+    off = F.when(F.col("l_linenumber") >= 4, 40 + F.col("l_tax") * 2000).otherwise(0.0)
+    u, v = (1.1 * x + 0.05 * y + g % 97) / w + off, (0.9 * y - 0.1 * x + g % 89) / w - off / 2
+    return table(spark, d, "lineitem").select(g.alias("pair"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+
+
+@query("x2_pair_homographies", f"""SELECT pair, count(*) AS n, count(*) FILTER (NOT bad) AS inliers FROM ({_MATCHES}) GROUP BY pair""")
+def x2(spark, d):
+    """The maps of all pairs at once; the SQL knows which matches were broken."""
+    fits, _ = groupfit.robust_fits(_matches(spark, d), ["pair"], ("x", "y"), ("u", "v"), groupfit.HOMOGRAPHY, 3.0)
+    return fits.select("pair", "n", "inliers")
