@@ -223,7 +223,7 @@ def _judged(rows: DataFrame, groups: DataFrame, models: DataFrame, model: Model,
     return rows.select("g", "part", "id", "a", "b").groupBy("g", "part").cogroup(theirs.groupBy("g", "part")).applyInArrow(work, schema)
 
 
-def robust_fits(rows: DataFrame, by: Sequence[str], source: Sequence[str], target: Sequence[str], model: Model, within: float, trials: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def robust_fits(rows: DataFrame, by: Sequence[str], source: Sequence[str], target: Sequence[str], model: Model, within: float, trials: int = 500, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """``(*by, n, inliers, model)`` of every group, and its rows ``(*by, id, residual, inlier)``.
 
     ``rows`` have an ``id`` that is unique in its group, and places ``source`` and

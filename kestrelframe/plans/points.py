@@ -377,11 +377,12 @@ def f38(spark, d):
     return table(spark, d, "embeddings").select("vec_id", l.alias("l")).select("vec_id", k.cast("long").alias("class"), F.round(p, 6).alias("confidence"))
 
 
-@query("g1_components", """, e AS (SELECT DISTINCT l_orderkey % 3000 AS a, l_partkey % 3000 + 0 AS b FROM lineitem WHERE l_quantity > 47), s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
-r(node, root) AS (SELECT u, u FROM s UNION SELECT s.v, r.root FROM r JOIN s ON s.u = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""".replace(", e AS", "WITH RECURSIVE e AS", 1))
+@query("g1_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -CAST(l_partkey * 1000 + l_quantity * 10 + l_linenumber AS BIGINT) AS b FROM lineitem), s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+r(node, root) AS (SELECT u, u FROM s UNION SELECT s.v, r.root FROM r JOIN s ON s.u = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def g1(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 47")
-    return components.components(li.select((F.col("l_orderkey") % 3000).alias("a"), (F.col("l_partkey") % 3000).alias("b")), "g1")
+    """Orders that have a part in one quantity on one line number, over all line items."""
+    item = (F.col("l_partkey") * 1000 + F.col("l_quantity") * 10 + F.col("l_linenumber")).cast("long")
+    return components.components(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (-item).alias("b")), "g1")
 
 
 @query("w16_nearest_frames", """, k AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.id - b.id), b.id) AS k FROM emb_ a JOIN emb_ b ON a.label = b.label AND a.id <> b.id) SELECT id, other FROM k WHERE k <= 4""")

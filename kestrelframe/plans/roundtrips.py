@@ -239,11 +239,11 @@ def f22(spark, d):
     return table(spark, d, "part").select("p_partkey", F.rint(F.col("p_size") / 2).alias("whole"))
 
 
-@query("f29_inverted_metrics", """SELECT unnest(['SURFACE_SUPPORT', 'RECONSTRUCTION_RISK', 'GEOMETRIC_ERROR', 'POINT_DENSITY', 'POTENTIAL_CAMERA_VISIBILITY']) AS metric, unnest([true, true, true, false, false]) AS invert""")
+@query("f29_inverted_metrics", """SELECT event_id, metric, metric IN ('SURFACE_SUPPORT', 'RECONSTRUCTION_RISK', 'GEOMETRIC_ERROR') AS invert FROM (SELECT event_id, (['SURFACE_SUPPORT', 'RECONSTRUCTION_RISK', 'GEOMETRIC_ERROR', 'POINT_DENSITY', 'POTENTIAL_CAMERA_VISIBILITY'])[event_id % 5 + 1] AS metric FROM events)""")
 def f29(spark, d):
-    names = ("SURFACE_SUPPORT", "RECONSTRUCTION_RISK", "GEOMETRIC_ERROR", "POINT_DENSITY", "POTENTIAL_CAMERA_VISIBILITY")
-    m = spark.createDataFrame([(n,) for n in names], "metric string")
-    return m.select("metric", F.col("metric").isin("SURFACE_SUPPORT", "RECONSTRUCTION_RISK", "GEOMETRIC_ERROR").alias("invert"))
+    names = F.array(*(F.lit(n) for n in ("SURFACE_SUPPORT", "RECONSTRUCTION_RISK", "GEOMETRIC_ERROR", "POINT_DENSITY", "POTENTIAL_CAMERA_VISIBILITY")))
+    m = table(spark, d, "events").select("event_id", F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("metric"))
+    return m.select("event_id", "metric", F.col("metric").isin("SURFACE_SUPPORT", "RECONSTRUCTION_RISK", "GEOMETRIC_ERROR").alias("invert"))
 
 
 @query("w2_backward_steps", """ SELECT user_id, count(*) FILTER (b) AS backward FROM (SELECT user_id, v < lag(v) OVER (PARTITION BY user_id ORDER BY seq) AS b FROM ev_ ) GROUP BY user_id""")

@@ -142,19 +142,26 @@ def a28(spark, d):
 @query("v8_control_geometry", None)
 def v8(spark, d):
     controls = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (22.9 + F.col("s_nationkey") / 1000).alias("latitude"), (72.3 + F.col("s_suppkey") / 1000).alias("longitude"), (F.col("s_acctbal") / 1000).alias("elevation"))
-    quality, reasons = transform.control_geometry(controls)
-    return spark.range(1).select(F.lit(quality).alias("quality"), F.lit("|".join(reasons)).alias("reasons"))
+    return transform.control_geometry(controls).select("quality", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("a27_control_spread", """, c AS (SELECT covar_samp(x, x) AS xx, covar_samp(y, y) AS yy, covar_samp(z, z) AS zz FROM emb_) SELECT round(xx + yy + zz, 6) AS trace FROM c""")
+@query("a27_control_spread", """, c AS (SELECT covar_samp(x, x) AS xx, covar_samp(y, y) AS yy, covar_samp(z, z) AS zz, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, z) AS yz FROM emb_)
+SELECT round(xx + yy + zz, 6) AS trace, round(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz), 6) AS product FROM c""")
 def a27(spark, d):
-    return spark.range(1).select(F.lit(round(float(transform.spread(emb(spark, d), ("x", "y", "z")).sum()), 6)).alias("trace"))
+    e = transform.spread(emb(spark, d), "xyz")
+    return e.select(F.round(F.col("e0") + F.col("e1") + F.col("e2"), 6).alias("trace"), F.round(F.col("e0") * F.col("e1") * F.col("e2"), 6).alias("product"))
 
 
-@query("v13_track_degeneracy", """SELECT false AS degenerate, true AS straight_is_degenerate""")
+_DEGENERATE = "sqrt({0} + {1}) < 0.5 OR sqrt(greatest({0} - {1}, 0)) < 0.015 * sqrt({0} + {1})".format("((xx + yy) / 2)", "sqrt(((xx - yy) / 2) ** 2 + xy * xy)")
+
+
+@query("v13_track_degeneracy", f""", t AS (SELECT label, x, y FROM emb_ UNION ALL SELECT -1, x, 2 * x + y / 1e4 FROM emb_), m AS (SELECT label, count(*) * covar_pop(x, x) AS xx, count(*) * covar_pop(y, y) AS yy, count(*) * covar_pop(x, y) AS xy FROM t GROUP BY label)
+SELECT bool_or(CASE WHEN label = -1 THEN {_DEGENERATE} END) AS straight_is_degenerate, bool_or(CASE WHEN label = 1 THEN {_DEGENERATE} END) AS degenerate FROM m""")
 def v13(spark, d):
     e = emb(spark, d)
-    return spark.range(1).select(F.lit(transform.is_degenerate(e)).alias("degenerate"), F.lit(transform.is_degenerate(e.select("x", (F.col("x") * 2).alias("y")))).alias("straight_is_degenerate"))
+    wide = transform.degenerate(e.where("label = 1"))
+    straight = transform.degenerate(e.select("x", (F.col("x") * 2 + F.col("y") / 1e4).alias("y"))).withColumnRenamed("degenerate", "straight_is_degenerate")
+    return wide.crossJoin(straight)  # one row each
 
 
 @query("p7_camera_centres", """, q AS (SELECT id, cos(2 * x) AS c, sin(2 * x) AS s, x + 2 * y + 2 * z AS along, x, y, z FROM emb_)

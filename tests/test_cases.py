@@ -151,7 +151,7 @@ def test_robust_fit_rejects_outliers(spark):
 
 
 def test_control_geometry(spark):
-    c = lambda rows: transform.control_geometry(spark.createDataFrame(rows, "id int, latitude double, longitude double, elevation double"))
+    c = lambda rows: transform.control_geometry(spark.createDataFrame(rows, "id int, latitude double, longitude double, elevation double")).first()
     assert c([(1, 0.0, 0.0, 0.0)])[0] == "INVALID"
     quality, why = c([(k, 0.001 * k, 0.001 * k, 1.0 * k) for k in range(4)])
     assert quality == "WEAK" and "collinear" in why[-1]
