@@ -20,7 +20,7 @@ Plan: equal sets are one class (named by 128 bits). Shingles are ordered by coun
 all documents in ``SLOTS`` counters, which decide the time and never the result.
 Lists with the same members become one. A block has at most about ``ROWS`` sets and
 ``SHINGLES`` shingles, larger lists being dealt by hash, and a unit of work is a pair
-of blocks: none holds more than two. Units first meet as 512-bit parity signatures,
+of blocks: none holds more than two. Units first meet as parity signatures of a bit or two a shingle,
 which bound the symmetric difference from below, and with each set's ``EARLY`` first
 lists: a pair that shares an earlier list is met there. Only sets with a possible
 partner left are sent whole. A unit returns a row for each of its sets: the least set it reaches
@@ -75,10 +75,17 @@ def _name(s: np.ndarray) -> tuple[int, int]:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Parities of the shingles in 64 * ``_WORDS`` slots: two signatures differ in no more bits than the sets in shingles."""
-    h = mix64(s)
-    bits = np.bincount((h % np.uint64(64 * _WORDS)).astype(np.int64), minlength=64 * _WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+    """Parities of the shingles in 64 * ``_WORDS`` slots, or one to two a shingle: two signatures differ in no more bits than the sets in shingles."""
+    bits = max(64 * _WORDS, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((mix64(s) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(words: np.ndarray, to: int) -> np.ndarray:
+    """The signature of ``to`` words: slots of a longer one fall together modulo its length."""
+    while len(words) > to:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
 
 
 # ---- the global order ----
@@ -219,7 +226,7 @@ class Side:
         self.rows = rows
         self.n = np.array([r["n"] for r in rows], np.int64)
         self.rest = np.array([r["rest"] for r in rows], np.int64)
-        self.sig = np.array([np.frombuffer(r["sig"], np.uint64) for r in rows]).reshape(-1, _WORDS)
+        self.sig = [np.frombuffer(r["sig"], np.uint64) for r in rows]
         self.early = [np.array(_until(r["early"], r["list"]), np.int64) for r in rows]
         if rows and rows[0].get("hashes") is not None:
             self.sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
@@ -241,9 +248,10 @@ def possible(a: Side, b: Side, same: bool) -> np.ndarray:
     out = np.minimum(np.minimum(a.n, a.rest)[:, None], np.minimum(b.n, b.rest)[None, :]) >= need
     if same:
         out &= np.arange(len(a.n))[:, None] < np.arange(len(b.n))[None, :]
-    apart = np.zeros(out.shape, np.int64)
-    for w in range(_WORDS):
-        apart += np.bitwise_count(a.sig[:, w, None] ^ b.sig[None, :, w])
+    apart, words = np.zeros(out.shape, np.int64), min(len(s) for s in a.sig + b.sig)
+    x, y = (np.array([_folded(s, words) for s in side.sig]) for side in (a, b))
+    for w in range(words):
+        apart += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
     out &= apart <= a.n[:, None] + b.n[None, :] - 2 * need
     if out.any():  # and none that are met at an earlier list
         x, y = ([np.sort(e) for e in side.early] for side in (a, b))
