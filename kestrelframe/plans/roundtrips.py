@@ -11,7 +11,7 @@ from ..functions import motion as M
 from ..operators import components, mesh, raster, rules
 from ..sources import files, sinks
 from ..storage import materialise, scratch, table
-from ..streaming import progress
+from ..streaming import progress, tail, watch
 from .binding import emb, ev, frames, pts, query
 
 
@@ -302,3 +302,35 @@ def p12(spark, d):
 def f31(spark, d):
     up = (F.lit(0.0), F.lit(0.0), F.lit(1.0))
     return pts(spark, d).select("id", F.round(Q.angle_between((F.col("x"), F.col("y"), F.col("z")), up), 5).alias("angle"))
+
+
+@query("s16_progress_tail", """SELECT CAST(o_orderkey AS VARCHAR) AS job_id, 'stage ' || o_orderpriority AS stage, CAST(o_orderkey % 100 AS DOUBLE) AS progress FROM orders""")
+def s16(spark, d):
+    """Progress lines of all orders, followed by byte position in two runs of one stream; the second reads what was added."""
+    log, out, ck = (scratch(spark, n) for n in ("s16log", "s16out", "s16ck"))
+    o = table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("job_id"), F.concat(F.lit("stage "), "o_orderpriority").alias("stage"), (F.col("o_orderkey") % 100).cast("double").alias("progress"))).alias("value"), F.col("o_orderkey").alias("k"))
+    spark.dataSource.register(tail.LineTail)
+    for part in (0, 1):
+        o.where(F.col("k") % 2 == part).select("value").write.mode("append").text(log)
+        lines = spark.readStream.format("line_tail").option("path", log).option("suffix", ".txt").load()
+        progress.follow(lines, ck, out, once=True).awaitTermination()
+    event = F.from_json("line", "job_id string, stage string, progress double")
+    return spark.read.schema(tail.SCHEMA).parquet(out).select(event.alias("e")).select("e.*")
+
+
+_LAST = "(SELECT max(ts) - INTERVAL 10 SECOND FROM events)"
+
+
+@query("t3_heartbeat_watch", f"""WITH b AS (SELECT user_id, ts, event_type = 'purchase' AS ended, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+e AS (SELECT user_id, p + INTERVAL 24 HOUR AS moment, 'stale' AS event, ts FROM b WHERE ts - p > INTERVAL 24 HOUR UNION ALL SELECT user_id, ts, 'completed', ts FROM b WHERE ended UNION ALL SELECT user_id, ts + INTERVAL 24 HOUR, 'stale', ts + INTERVAL 1000 YEAR FROM b WHERE n IS NULL AND ts + INTERVAL 24 HOUR < {_LAST}),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event DESC) AS k FROM e) SELECT CAST(user_id AS VARCHAR) AS job_id, event, strftime(moment, '%Y-%m-%d %H:%M:%S') AS moment FROM k WHERE k = 1""")
+def t3_watch(spark, d):
+    """Users as jobs: a purchase completes one, and a day without an event makes it stale."""
+    src, out, ck = (scratch(spark, n) for n in ("t3in", "t3out", "t3ck"))
+    e = table(spark, d, "events")
+    e.select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "purchase", "completed").otherwise("running").alias("status")).write.parquet(src)
+    watch.configure(spark)
+    beats = spark.readStream.schema("job_id string, ts timestamp, status string").parquet(src)
+    progress.follow(watch.watch(beats, 24 * 3600.0, "10 seconds"), ck, out, once=True).awaitTermination()
+    found = spark.read.schema(watch.SCHEMA).parquet(out)
+    return found.select("job_id", "event", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("moment"))
