@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as Q
 from ..functions import labels as L
 from ..operators import clouds, missions, rules, streams
+from ..operators.overlap import shared_points
 from ..storage import table
 from .binding import epoch, frames, jobs, projects, query, rounded
 
@@ -40,19 +41,14 @@ def o3(spark, d):
     return s.withColumn("k", F.row_number().over(w)).where("k <= 5").drop("k")
 
 
-def _shared(spark, d):
-    p = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("img")).distinct()
-    both = p.join(p.withColumnRenamed("img", "other"), "l_partkey").where("img <> other")
-    return both.groupBy("img", "other").agg(F.count("*").alias("shared"))
+def _shared(spark, d, with_none=False):
+    return shared_points(table(spark, d, "lineitem").select(F.col("l_partkey").alias("point"), F.col("l_suppkey").alias("img")), with_none)
 
 
-@query("j13_shared_points", """, i AS (SELECT DISTINCT l_suppkey AS img FROM lineitem), s AS (SELECT a.l_suppkey AS img, b.l_suppkey AS other, count(DISTINCT a.l_partkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL)
-SELECT a.img, b.img AS other, coalesce(shared, 0) AS shared FROM i a JOIN i b ON a.img <> b.img AND abs(a.img - b.img) <= 3 LEFT JOIN s ON s.img = a.img AND s.other = b.img""")
+@query("j13_shared_points", """, i AS (SELECT DISTINCT l_suppkey AS img FROM lineitem), p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), s AS (SELECT a.l_suppkey AS img, b.l_suppkey AS other, count(*) AS shared FROM p a JOIN p b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL)
+SELECT a.img, b.img AS other, coalesce(shared, 0) AS shared FROM i a JOIN i b ON a.img <> b.img LEFT JOIN s ON s.img = a.img AND s.other = b.img""")
 def j13(spark, d):
-    i = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("img")).distinct()
-    near = F.array(*(F.lit(k) for k in (-3, -2, -1, 1, 2, 3)))
-    pairs = i.select("img", F.explode(F.transform(near, lambda k: F.col("img") + k)).alias("other")).join(i.withColumnRenamed("img", "other"), "other", "left_semi")
-    return pairs.join(_shared(spark, d), ["img", "other"], "left").select("img", "other", F.coalesce("shared", F.lit(0)).alias("shared"))
+    return _shared(spark, d, with_none=True)
 
 
 @query("j10_band_pairs", """ SELECT a.idx AS a, b.idx AS b FROM frames_ a JOIN frames_ b ON a.idx < b.idx AND b.idx <= a.idx + 3""")
