@@ -159,11 +159,11 @@ def _search(tree: Octree, guests: DataFrame, k: int) -> DataFrame:
     size = materialise(size, "guest_counts")
     here = (F.col("cell") == F.col("_c")) & (F.col("part") == F.col("_p"))
     ours = guests.join(size, here).select("cell", "part", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), "id", *_AXES, "reach")
-    theirs = tree.points.join(size, here).select("cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("id").alias("point_id"), *(F.col(c).alias(f"p{c}") for c in _AXES), *tree.keep)
+    theirs = tree.points.join(size, here).select("cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("id").alias("point_id"), *(F.col(c).alias(f"_point_{c}") for c in _AXES), *tree.keep)
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.take(pc.sort_indices(right.column("point_id")))
-        q, p = (np.stack([t.column(f"{b}{c}").to_numpy() for c in _AXES]) for t, b in ((left, ""), (right, "p")))
+        q, p = (np.stack([t.column(f"{b}{c}").to_numpy() for c in _AXES]) for t, b in ((left, ""), (right, "_point_")))
         reach = left.column("reach").to_numpy()
         rows, cols, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         step = max(1, _BLOCK // max(1, p.shape[1]))

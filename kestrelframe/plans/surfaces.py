@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import motion as M
-from ..operators import groupfit, mesh, raster, rules, transform
+from ..operators import groupfit, mesh, raster, registration, rules, transform
 from ..operators.orderstats import with_quantiles
 from ..operators.visibility import View, unoccluded
 from ..storage import materialise, table
@@ -264,3 +264,11 @@ def x2(spark, d):
     """The maps of all pairs at once; the SQL knows which matches were broken."""
     fits, _ = groupfit.robust_fits(_matches(spark, d), ["pair"], ("x", "y"), ("u", "v"), groupfit.HOMOGRAPHY, 3.0)
     return fits.select("pair", "n", "inliers")
+
+
+@query("x6_oriented_normals", None)
+def x6(spark, d):
+    """Normals of the relief's corners, all on one side, rounded."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("double").alias("x"), (F.col("l_suppkey") % 50).cast("double").alias("y"))
+    p = li.agg((F.avg("l_extendedprice") / 20000).alias("z")).withColumn("id", (F.col("x") * 50 + F.col("y")).cast("long"))
+    return rounded(registration.normals(p, 8), 6, "nx", "ny", "nz").select("id", "nx", "ny", "nz")
