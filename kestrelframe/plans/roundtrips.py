@@ -9,10 +9,10 @@ from ..functions import geodesy as G
 from ..functions import geometry as Q
 from ..functions import motion as M
 from ..operators import components, mesh, raster, rules
-from ..sources import files, sinks
+from ..sources import files, records, sinks
 from ..storage import materialise, scratch, table
 from ..streaming import progress, tail, watch
-from .binding import emb, ev, frames, pts, query
+from .binding import emb, ev, frames, pts, query, rounded
 
 
 def _csv(df, label):
@@ -334,3 +334,14 @@ def t3_watch(spark, d):
     progress.follow(watch.watch(beats, 24 * 3600.0, "10 seconds"), ck, out, once=True).awaitTermination()
     found = spark.read.schema(watch.SCHEMA).parquet(out)
     return found.select("job_id", "event", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
+@query("s13_las_round_trip", """SELECT round(l_quantity, 5) AS x, round(l_discount * 500, 5) AS y, round(l_extendedprice / 1000, 5) AS z, CAST(l_suppkey % 1000 AS INTEGER) AS intensity, CAST(l_linenumber AS INTEGER) AS classification FROM lineitem""")
+def s13(spark, d):
+    """All line items as LAS files, a file a task, read back in ranges of records."""
+    path = scratch(spark, "s13")
+    spark.dataSource.register(records.PointRecords)
+    p = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount") * 500).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"), (F.col("l_suppkey") % 1000).cast("int").alias("intensity"), F.col("l_linenumber").cast("int").alias("classification"))
+    p.write.format("point_records").option("path", path).option("scale", 0.00001).mode("append").save()
+    back = spark.read.format("point_records").option("path", path).option("records", 20_000).load()
+    return rounded(back, 5, "x", "y", "z").select("x", "y", "z", "intensity", "classification")

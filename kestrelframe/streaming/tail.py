@@ -23,18 +23,14 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..sources.stores import opened
+
 SCHEMA = "file string, at long, line string"
 CHUNK = 16 << 20
 _BLOCK = 1 << 16
 _ROWS = 4096
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):  # one slash or three
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def whole_until(store: fs.FileSystem, path: str, start: int, size: int) -> int:
     """The position after the last line end in ``[start, size)``; ``start`` if there is none."""
     end = size
@@ -70,7 +66,7 @@ class TailReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         out = dict(self.seen)
         for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
             if info.type != fs.FileType.File or not info.path.endswith(self.suffix) or info.base_name.startswith((".", "_")):
@@ -90,7 +86,7 @@ class TailReader(DataSourceStreamReader):
         return out
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         with store.open_input_file(f"{root}/{partition.file}") as f:
             at = partition.start
             if at > partition.first:  # a line that begins at the chunk's first byte is the chunk's own
