@@ -340,7 +340,27 @@ def _triangles(spark, d):
     return e.select("id", "label", *cols).where("x2 IS NOT NULL")
 
 
-@query("f19_closest_on_triangle", None)
+def _edge_share(a: int, b: int) -> str:
+    """Where along an edge the point (0.5, -0.5, 1) is closest, from 0 to 1."""
+    dot = " + ".join(f"({p} - {c}{a}) * ({c}{b} - {c}{a})" for p, c in (("0.5", "x"), ("-0.5", "y"), ("1", "z")))
+    return f"least(1, greatest(0, coalesce(({dot}) / nullif((x{b} - x{a}) ** 2 + (y{b} - y{a}) ** 2 + (z{b} - z{a}) ** 2, 0), 0)))"
+
+
+def _inner_side(a: int, b: int) -> str:
+    return f"((y{b} - y{a}) * (pz - z{a}) - (z{b} - z{a}) * (py - y{a})) * nx + ((z{b} - z{a}) * (px - x{a}) - (x{b} - x{a}) * (pz - z{a})) * ny + ((x{b} - x{a}) * (py - y{a}) - (y{b} - y{a}) * (px - x{a})) * nz >= 0"
+
+
+#: The closest of the edges' closest points and of the foot on the plane, if that is inside.
+_CLOSEST = f""", t AS (SELECT id, x AS x0, y AS y0, z AS z0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2, lead(z, 2) OVER w AS z2 FROM emb_ WINDOW w AS (PARTITION BY label ORDER BY id)),
+e AS (SELECT *, {_edge_share(0, 1)} AS s01, {_edge_share(1, 2)} AS s12, {_edge_share(2, 0)} AS s20, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS nx, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS ny, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS nz FROM t WHERE x2 IS NOT NULL),
+f AS (SELECT *, ((0.5 - x0) * nx + (-0.5 - y0) * ny + (1 - z0) * nz) / nullif(nx * nx + ny * ny + nz * nz, 0) AS h FROM e),
+q AS (SELECT id, x0 + s01 * (x1 - x0) AS qx, y0 + s01 * (y1 - y0) AS qy, z0 + s01 * (z1 - z0) AS qz FROM f UNION ALL SELECT id, x1 + s12 * (x2 - x1), y1 + s12 * (y2 - y1), z1 + s12 * (z2 - z1) FROM f UNION ALL SELECT id, x2 + s20 * (x0 - x2), y2 + s20 * (y0 - y2), z2 + s20 * (z0 - z2) FROM f
+  UNION ALL SELECT id, px, py, pz FROM (SELECT *, 0.5 - h * nx AS px, -0.5 - h * ny AS py, 1 - h * nz AS pz FROM f) WHERE {' AND '.join(_inner_side(*s) for s in ((0, 1), (1, 2), (2, 0)))}),
+k AS (SELECT id, qx, qy, qz, sqrt((qx - 0.5) ** 2 + (qy + 0.5) ** 2 + (qz - 1) ** 2) AS d FROM q), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM k)
+SELECT id, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz, round(d, 6) AS distance FROM b WHERE k = 1"""
+
+
+@query("f19_closest_on_triangle", _CLOSEST)
 def f19(spark, d):
     (qx, qy, qz), dist = Q.closest_on_triangle((F.lit(0.5), F.lit(-0.5), F.lit(1.0)), *_corners())
     return _triangles(spark, d).select("id", F.round(qx, 6).alias("qx"), F.round(qy, 6).alias("qy"), F.round(qz, 6).alias("qz"), F.round(dist, 6).alias("distance"))

@@ -154,7 +154,9 @@ def a9(spark, d):
     return table(spark, d, "supplier").select(k.alias("id"), F.round(rules.full_score((k % 10) / 10, 1 - (k % 5) / 5, F.lit(0.1), F.lit(False)), 6).alias("score"))
 
 
-@query("o6_largest_component", None)
+@query("o6_largest_component", """WITH c AS (SELECT conv_id * 1000 + turn AS k, bool_or(coalesce(length(text) % 3 > 0, false)) AS linked FROM conversations GROUP BY 1), p AS (SELECT a.k, coalesce(b.linked, false) AS joined FROM c a LEFT JOIN c b ON b.k = a.k - 1),
+g AS (SELECT sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (ORDER BY k) AS run FROM p), n AS (SELECT count(*) AS n FROM g GROUP BY run)
+SELECT max(n) AS largest, count(*) FILTER (n = 1) AS isolated, CAST(sum(n) AS BIGINT) AS frames, count(*) AS components FROM n""")
 def o6(spark, d):
     """Largest and lone components' shares of all frames (turns), links being to the next turn."""
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), (F.length("text") % 3 > 0).alias("linked"))

@@ -39,17 +39,28 @@ def j21(spark, d):
     return mesh.adjacency(_mesh(spark, d)[0])
 
 
-@query("g2_face_components", None)
+def _clusters(chosen: str = "true") -> str:
+    """SQL for the components of some faces: labels that fall along shared edges until none does."""
+    return f"""WITH RECURSIVE vt AS (SELECT vec_id AS vid, CAST(embedding[1] AS DOUBLE) * 10 AS x, CAST(embedding[2] AS DOUBLE) * 10 AS y, CAST(embedding[3] AS DOUBLE) * 10 AS z FROM embeddings),
+al AS (SELECT l_orderkey * 8 + l_linenumber AS fid, l_partkey % 500 AS v0, (l_partkey + l_linenumber) % 500 AS v1, (l_partkey + 7 * l_linenumber) % 500 AS v2 FROM lineitem), fc AS (SELECT * FROM al WHERE {chosen}),
+e AS (SELECT fid, least(v0, v1) AS a, greatest(v0, v1) AS b FROM fc UNION ALL SELECT fid, least(v1, v2), greatest(v1, v2) FROM fc UNION ALL SELECT fid, least(v0, v2), greatest(v0, v2) FROM fc),
+m AS (SELECT DISTINCT k.f, e.fid AS g FROM e JOIN (SELECT a, b, min(fid) AS f FROM e GROUP BY ALL) k ON e.a = k.a AND e.b = k.b WHERE e.fid <> k.f), u AS (SELECT f, g FROM m UNION ALL SELECT g, f FROM m),
+r(fid, cluster) USING KEY (fid) AS (SELECT DISTINCT f, f FROM u UNION SELECT u.g, min(r.cluster) FROM r JOIN u ON u.f = r.fid JOIN recurring.r AS old ON old.fid = u.g WHERE r.cluster < old.cluster GROUP BY u.g)"""
+
+
+@query("g2_face_components", f"{_clusters()} SELECT fid, cluster FROM r")
 def g2(spark, d):
     return mesh.clusters(_mesh(spark, d)[0])
 
 
-@query("g3_large_clusters", None)
+@query("g3_large_clusters", f"""{_clusters()}, c AS (SELECT fc.fid, coalesce(cluster, fc.fid) AS cluster FROM fc LEFT JOIN r ON r.fid = fc.fid), n AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1)
+SELECT fid FROM c JOIN n USING (cluster) WHERE n >= 25 AND n >= 0.002 * (SELECT count(*) FROM fc)""")
 def g3(spark, d):
     return mesh.large_clusters(_mesh(spark, d)[0]).select("fid")
 
 
-@query("a18_region_heights", None)
+@query("a18_region_heights", f"""{_clusters("fid % 3 = 0")}, h AS (SELECT cluster, greatest(a.z, b.z, c.z) AS hi, least(a.z, b.z, c.z) AS lo FROM fc JOIN r USING (fid) JOIN vt a ON v0 = a.vid JOIN vt b ON v1 = b.vid JOIN vt c ON v2 = c.vid)
+SELECT cluster, round(max(hi) - min(lo), 6) AS height, count(*) AS faces FROM h GROUP BY cluster HAVING max(hi) - min(lo) > 2.0""")
 def a18(spark, d):
     f, v = _mesh(spark, d)
     return rounded(mesh.heights(f, v, F.col("fid") % 3 == 0), 6, "height")
@@ -186,7 +197,8 @@ def p17(spark, d):
     return emb(spark, d).where((a > 0.7) & (a < 80) & (z > 0) & (z + 1 > 0) & (F.abs(e) < 2.5) & G.is_finite(z)).select("id")
 
 
-@query("f18_camera_parameters", None)
+@query("f18_camera_parameters", """WITH p AS (SELECT p_partkey, p_size % 5 AS m, CAST(CAST(p_retailprice AS DOUBLE) AS VARCHAR) AS fx, CAST(CAST(p_retailprice AS DOUBLE) + 1 AS VARCHAR) AS fy FROM part)
+SELECT p_partkey, CASE m WHEN 0 THEN concat_ws(',', fx, '960.0', '540.0') WHEN 1 THEN concat_ws(',', fx, fy, '960.0', '540.0') WHEN 2 THEN concat_ws(',', fx, '960.0', '540.0', '0.1') WHEN 3 THEN concat_ws(',', fx, '960.0', '540.0', '0.1', '0.01') ELSE concat_ws(',', fx, fy, '960.0', '540.0', '0.1', '0.01', '0.0', '0.0') END AS parameters FROM p""")
 def f18(spark, d):
     r = F.col("p_retailprice")
     model = F.element_at(F.array(*(F.lit(m) for m in ("SIMPLE_PINHOLE", "PINHOLE", "SIMPLE_RADIAL", "RADIAL", "OPENCV"))), (F.col("p_size") % 5 + 1).cast("int"))
