@@ -191,14 +191,22 @@ def f9(spark, d):
     return pts(spark, d).select("id", M.weight(F.abs("x") * 30 + 0.001).alias("weight"))
 
 
-@query("k12_viewer_artifacts", """, v AS (SELECT DISTINCT floor(x / 5) AS a, floor(y / 5) AS b, floor(z / 5) AS c FROM pts_)
-SELECT 'sparse' AS artifact, true AS available, count(*) AS n FROM emb_ UNION ALL SELECT 'cameras', true, count(*) FROM emb_ UNION ALL SELECT 'dense_display', true, count(*) FROM v UNION ALL SELECT 'support', false, 0""")
+@query("k12_viewer_artifacts", """, v AS (SELECT x, row_number() OVER (PARTITION BY floor(x / 10), floor(y / 10), floor(z / 10) ORDER BY id) AS k FROM pts_)
+SELECT 'sparse' AS artifact, true AS available, count(*) AS n, round(sum(x), 4) AS total FROM emb_ UNION ALL SELECT 'cameras', true, count(*), round(sum(-y), 4) FROM emb_
+UNION ALL SELECT 'dense_display', true, count(*), round(sum(x), 4) FROM v WHERE k = 1 UNION ALL SELECT 'support', true, count(*), CAST(sum(n) AS DOUBLE) FROM (SELECT abs(x) > 1 AS s, count(*) AS n FROM emb_ GROUP BY 1)""")
 def k12(spark, d):
-    """What is counted is read back from the written files; there are no faces, so the support summary is not available."""
+    """What is counted and summed is read back from the written files; the dense cloud is above its bound of 600 points and is thinned."""
     e, path = emb(spark, d), scratch(spark, "k12")
-    poses = e.select(F.array(*(F.lit(v) for v in (1.0, 0.0, 0.0))).alias("q"), F.array("x", "y", "z").alias("c"))
-    made = sinks.viewer_artifacts(e.select("id", "x", "y", "z"), poses, pts(spark, d).select("id", "x", "y", "z"), spark.createDataFrame([], "fid long, support string"), path, 5.0)
-    return made.select("artifact", "available", "n")
+    turned = F.array(*(F.lit(float(v)) for v in (0, -1, 0, 1, 0, 0, 0, 0, 1)))
+    poses = e.select(turned.alias("r"), F.array("x", "y", "z").alias("t"))
+    faces = e.select(F.col("id").alias("fid"), F.when(F.abs("x") > 1, "WEAK").otherwise("SUPPORTED").alias("support"))
+    made = sinks.viewer_artifacts(e.select("id", "x", "y", "z"), poses, pts(spark, d).select("id", "x", "y", "z"), faces, path, 10.0, max_points=600)
+    points = spark.read.schema("x double").parquet(f"{path}/sparse"), spark.read.schema("x double").json(f"{path}/cameras"), spark.read.schema("x double").parquet(f"{path}/dense_display"), spark.read.schema("faces long").json(f"{path}/support").select(F.col("faces").cast("double").alias("x"))
+    total = None
+    for name, df in zip(("sparse", "cameras", "dense_display", "support"), points, strict=True):
+        one = df.agg(F.lit(name).alias("artifact"), F.round(F.sum("x"), 4).alias("total"))
+        total = one if total is None else total.unionByName(one)
+    return made.join(total, "artifact").select("artifact", "available", "n", "total")
 
 
 @query("j20_surface_matches", None)

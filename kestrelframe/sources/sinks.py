@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import camera_centre
 from ..functions.messages import EMPTY_DENSE, EMPTY_SPARSE
 from ..operators import clouds
+from ..storage import materialise
 
 
 def finite(df: DataFrame) -> DataFrame:
@@ -84,19 +86,34 @@ def conversion_report(spark: SparkSession, dataset: str, sequence: str, inputs:
     return head.crossJoin(files(inputs, "input_files")).crossJoin(files(outputs, "output_files")).withColumn("rows_converted", F.lit(rows).cast("long"))
 
 
+def thinned(points: DataFrame, size: float, max_points: int) -> DataFrame:
+    """The cloud itself if it has at most ``max_points``; else the first point of each voxel, voxels doubling from ``size`` until there are so few.
+
+    The points are read once for their voxels; larger voxels are counted from the smaller ones that they hold.
+    """
+    if points.count() <= max_points:
+        return points
+    cells = materialise(points.select(*clouds.voxel(size)).distinct(), "voxels")
+    while cells.count() > max_points:
+        size *= 2
+        cells = materialise(cells.select(*(F.floor(F.col(f"v{c}") / 2).alias(f"v{c}") for c in "xyz")).distinct(), "voxels")
+    return clouds.voxel_first(points, size)
+
+
 def viewer_artifacts(sparse: DataFrame, cameras: DataFrame, dense: DataFrame, faces: DataFrame, path: str, size: float, max_points: int = 2_000_000) -> DataFrame:
     """Files for a browser below ``path``, and a row ``(artifact, available, reason, n)`` for each.
 
-    ``sparse`` points and ``cameras`` go out as they are (Parquet, JSON lines); ``dense`` goes as the first point of
-    each voxel, voxels doubling from ``size`` until there are at most ``max_points``; of ``faces`` with a ``support``
-    class a count by class goes out. An empty input writes nothing and is not available.
+    ``sparse`` points go out as they are (Parquet), of ``cameras(r, t)`` (rotations by rows, translations) the centres (JSON
+    lines; poses that are not three by four drop); ``dense`` goes :func:`thinned`; of ``faces`` with a ``support`` class a
+    count by class goes out. An empty input writes nothing and is not available.
     """
     spark = sparse.sparkSession
-    while dense.select(*clouds.voxel(size)).distinct().count() > max_points:
-        size *= 2
+    whole = cameras.where((F.size("r") == 9) & (F.size("t") == 3))
+    r = [[F.get("r", F.lit(3 * i + j)) for j in range(3)] for i in range(3)]
+    centres = whole.select(*(c.alias(n) for c, n in zip(camera_centre(r, tuple(F.get("t", F.lit(i)) for i in range(3))), "xyz", strict=True)))
     parts = [
-        ("sparse", sparse, "parquet", EMPTY_SPARSE), ("cameras", cameras, "json", "No cameras"),
-        ("dense_display", clouds.voxel_first(dense, size), "parquet", EMPTY_DENSE), ("support", faces.groupBy("support").agg(F.count("*").alias("faces")), "json", "No faces"),
+        ("sparse", sparse, "parquet", EMPTY_SPARSE), ("cameras", centres, "json", "No cameras"),
+        ("dense_display", thinned(dense, size, max_points), "parquet", EMPTY_DENSE), ("support", faces.groupBy("support").agg(F.count("*").alias("faces")), "json", "No faces"),
     ]
     rows = []
     for name, df, kind, reason in parts:

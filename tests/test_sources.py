@@ -148,11 +148,19 @@ def test_sensor_zip(spark, tmp_path):
 def test_viewer_artifacts(spark, tmp_path):
     points = spark.range(40).select("id", (F.col("id") * 1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     faces = spark.createDataFrame([(1, "WEAK"), (2, "WEAK"), (3, None)], "fid long, support string")
-    made = {r.artifact: r for r in sinks.viewer_artifacts(points, points.limit(0), points, faces, str(tmp_path), 1.0, max_points=10).collect()}
+    made = {r.artifact: r for r in sinks.viewer_artifacts(points, spark.createDataFrame([], "r array<double>, t array<double>"), points, faces, str(tmp_path), 1.0, max_points=10).collect()}
     assert (made["sparse"].n, made["dense_display"].n, made["support"].n) == (40, 10, 2)
     assert not made["cameras"].available and made["cameras"].reason == "No cameras" and not (tmp_path / "cameras").exists()
 
 
+def test_viewer_keeps_small_clouds_and_writes_camera_centres(spark, tmp_path):
+    points = spark.range(40).select("id", F.lit(0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))  # all in one voxel
+    poses = spark.createDataFrame([([0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0], [1.0, 2.0, 3.0]), ([1.0], [1.0]), (None, None)], "r array<double>, t array<double>")
+    made = {r.artifact: r.n for r in sinks.viewer_artifacts(points, poses, points, spark.createDataFrame([], "fid long, support string"), str(tmp_path), 1.0, max_points=40).collect()}
+    assert made == {"sparse": 40, "cameras": 1, "dense_display": 40, "support": 0}
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "cameras")).select("x", "y", "z").collect()] == [(-2.0, 1.0, -3.0)]
+
+
 def test_frame_times(spark):
     frames = spark.createDataFrame([("a/1.jpg",), ("2.jpg",), (None,)], "path string")
     times = spark.createDataFrame([("1.jpg", "3.5"), ("1.jpg", "4.5"), ("9.jpg", "1")], "filename string, timestamp string")
