@@ -17,17 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def bracket(probes: DataFrame, samples: DataFrame, by: Sequence[str], time: str, values: Sequence[str], width: float | None = None) -> DataFrame:
-    """Each probe with ``prev`` and ``next``: the sample at or before it and the one at or after it (structs of time and values, or null)."""
+def bracket(probes: DataFrame, samples: DataFrame, by: Sequence[str], time: str, values: Sequence[str], width: float | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Each probe with ``prev`` and ``next``: the sample at or before it and the one at or after it (structs of time, ``ties`` and values, or null).
+
+    Of samples at one time, ``prev`` is the last and ``next`` the first in the order of ``ties``, then of the values.
+    """
     by = list(by)
-    sample = F.struct(F.col(time), *(F.col(v) for v in values))
+    sample = F.struct(F.col(time), *(F.col(v) for v in dict.fromkeys([*ties, *values])))
     rows = probes.withColumn("_probe", F.lit(True)).unionByName(samples.select(*by, time, sample.alias("_s")).withColumn("_probe", F.lit(False)), allowMissingColumns=True)
     keys = by
     if width is not None:
         rows, keys = rows.withColumn("_bucket", F.floor(F.col(time) / width)), [*by, "_bucket"]
     at = Window.partitionBy(*keys)
-    up = at.orderBy(F.col(time)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = at.orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # a time's samples stand before its probes both ways
+    up = at.orderBy(F.col(time), "_probe", "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = at.orderBy(F.col(time).desc(), "_probe", F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumns({"prev": F.last("_s", ignorenulls=True).over(up), "next": F.last("_s", ignorenulls=True).over(down)}).where("_probe").drop("_probe", "_s")
     if width is None:
         return out

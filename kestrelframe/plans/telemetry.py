@@ -18,7 +18,7 @@ b AS (SELECT a.*, s.t AS t2, s.v AS v2 FROM a ASOF LEFT JOIN s ON a.user_id = s.
 
 def _brackets(spark, d, width=86400.0 * 4):
     e = ev(spark, d)
-    return asof.bracket(e.where("stream = 'view'").select("seq", "user_id", "t"), e.where("stream = 'click'").select("user_id", "t", "v"), ["user_id"], "t", ["v"], width)
+    return asof.bracket(e.where("stream = 'view'").select("seq", "user_id", "t"), e.where("stream = 'click'").select("user_id", "seq", "t", "v"), ["user_id"], "t", ["v"], width, ["seq"])
 
 
 @query("j1_asof_interpolate", f""", {_ASOF}
@@ -43,7 +43,7 @@ def j2(spark, d):
     e = ev(spark, d)
     gaps = {"click": 600.0, "error": 1200.0, "signup": 3600.0}
     probes = e.where("stream = 'purchase'").select("seq", "t", F.explode(F.array(*(F.lit(s) for s in gaps))).alias("stream"))
-    b = asof.bracket(probes, e.where(F.col("stream").isin(*gaps)).select("stream", "t", "v"), ["stream"], "t", ["v"], 86400.0)
+    b = asof.bracket(probes, e.where(F.col("stream").isin(*gaps)).select("stream", "seq", "t", "v"), ["stream"], "t", ["v"], 86400.0, ["seq"])
     out = None
     for s, g in gaps.items():
         part = asof.interpolate(b.where(F.col("stream") == s), "t", "v", g)
