@@ -1,11 +1,14 @@
 """Robust model fits for thousands of groups at once: one plan, no loop over groups.
 
 Every group draws ``trials`` samples; a model comes in closed form from *moments*
-(sums over rows), of a sample, and in the end of all inliers. So hypotheses are sums
-by ``(group, trial)``, and refits are sums by group. Inliers are counted by
-``(group, trial)``: groups are dealt into parts of at most ``ROWS`` rows, a task holds
-one part and the group's hypotheses, and part counts are added. A group of a third of
-all rows is many parts.
+(sums over rows), of a sample, and in the end of all inliers. A group of at most
+``ROWS`` rows is drawn, judged and refitted where its rows meet, after one shuffle of
+the rows; nothing is written for its hypotheses.
+
+Of a larger group, hypotheses are sums by ``(group, trial)``, and refits are sums by
+group. Inliers are counted by ``(group, trial)``: it is dealt into parts of at most
+``ROWS`` rows, a task holds one part and the group's hypotheses, and part counts are
+added. There are few such groups, so their tables are small beside the rows.
 
 Draws are by rank in a seeded order of the group's rows: rank ``(r + s * step) mod n``
 for slot ``s``, which are different rows, the same on any partitioning. Coordinates
@@ -69,10 +72,17 @@ def _plane_moments(a: Array, b: Array) -> Array:
 
 
 def _plane_residual(model: Array, a: Array, b: Array) -> Array:
-    p = np.einsum("mij,nj->mni", model, _homogeneous(a))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        d = np.hypot(p[..., 0] / p[..., 2] - b[None, :, 0], p[..., 1] / p[..., 2] - b[None, :, 1])
-    return np.where(np.isfinite(d), d, np.inf)
+    p = (model.reshape(-1, 3) @ _homogeneous(a).T).reshape(len(model), 3, -1)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        u, v = p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
+        u -= b[:, 0]
+        v -= b[:, 1]
+        u *= u
+        v *= v
+        u += v
+        d = np.sqrt(u, out=u)
+    d[~np.isfinite(d)] = np.inf
+    return d
 
 
 def _centring(shift: Array, size: float) -> Array:
@@ -223,17 +233,83 @@ def _judged(rows: DataFrame, groups: DataFrame, models: DataFrame, model: Model,
     return rows.select("g", "part", "id", "a", "b").groupBy("g", "part").cogroup(theirs.groupBy("g", "part")).applyInArrow(work, schema)
 
 
+def _whole(rows: DataFrame, keys: list[str], model: Model, within: float, trials: int, seed: int) -> DataFrame:
+    """``(*keys, n, inliers, model, ids, residuals)`` of groups whose rows fit in a task."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"n long, inliers long, model array<double>, ids array<{kinds['id']}>, residuals array<double>"])
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("o", "ascending"), ("id", "ascending")])
+        (a, a0, a1), (b, b0, b1) = (_placed(table.column(v).combine_chunks()) for v in "ab")
+        n, s, best = len(a), model.sample, None
+        if n >= s:
+            start, step = np.random.default_rng(seed).random((2, trials, 1))
+            drawn = ((start * n).astype(int) + (1 + (step * max(1, (n - 1) // (s - 1))).astype(int)) * np.arange(s)) % n
+            if n <= drawn.size:
+                sums = model.moments(a, b)[drawn].sum(1)
+            else:
+                sums = model.moments(a[drawn.ravel()], b[drawn.ravel()]).reshape(trials, s, -1).sum(1)
+            guesses = model.solve(sums)
+            guesses = guesses[np.isfinite(guesses).all(axis=(1, 2))]
+            size = max(1, (1 << 16) // n)  # residuals that a core's cache holds
+            near = [(model.residual(guesses[k : k + size], a, b) * b1 <= within).sum(1) for k in range(0, len(guesses), size)]
+            if near:
+                best = guesses[np.concatenate(near).argmax()][None]
+                agreed = (model.residual(best, a, b) * b1 <= within)[0]
+                if agreed.sum() >= s:
+                    again = model.solve(model.moments(a[agreed], b[agreed]).sum(0, keepdims=True))
+                    best = again if np.isfinite(again).all() else best
+        far = [] if best is None else model.residual(best, a, b)[0] * b1
+        ids = table.column("id").combine_chunks()[: len(far)]
+        found = None if best is None else model.restore(best[0], a0, a1, b0, b1).ravel()
+        columns = {k: table.column(k)[:1] for k in keys} | {
+            "n": pa.array([n], pa.int64()),
+            "inliers": pa.array([int(np.sum(np.asarray(far) <= within))], pa.int64()),
+            "model": pa.array([found], pa.list_(pa.float64())),
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            "residuals": pa.array([far], pa.list_(pa.float64())),
+        }
+        return pa.table(columns)
+
+    return rows.withColumn("o", F.xxhash64(F.lit(seed), "id")).groupBy(*keys).applyInArrow(work, schema)
+
+
+def _placed(column: pa.Array) -> tuple[Array, Array, float]:
+    """Places about their mean and over their spread, with both."""
+    places = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    mean = places.mean(axis=0)
+    size = max(float(np.sqrt(places.var(axis=0).sum())), 1e-12)
+    return (places - mean) / size, mean, size
+
+
 def robust_fits(rows: DataFrame, by: Sequence[str], source: Sequence[str], target: Sequence[str], model: Model, within: float, trials: int = 500, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """``(*by, n, inliers, model)`` of every group, and its rows ``(*by, id, residual, inlier)``.
 
     ``rows`` have an ``id`` that is unique in its group, and places ``source`` and
     ``target``. The best trial's inliers are fitted again; ``inliers`` counts those of
     the final model. ``model`` is flat, by rows; null where nothing could be fitted.
+    The two tables are lazy: a caller who reads both has small groups fitted twice.
     """
     keys = [f"k{i}" for i in range(len(by))]
     vector = lambda names: F.array(*(F.col(c).cast("double") for c in names))
     data = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), "id", vector(source).alias("a"), vector(target).alias("b"))
     data = data.where(F.forall(F.concat("a", "b"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    # a row here for each ROWS rows of the input at most
+    large = materialise(data.groupBy(*keys).count().where(F.col("count") > ROWS).select(*(F.col(k).alias(f"_{k}") for k in keys)), "fit_large")
+    some = not large.isEmpty()
+    small = _whole(data.join(F.broadcast(large), _same(keys, "_"), "left_anti") if some else data, keys, model, within, trials, seed)
+    named = [F.col(k).alias(c) for k, c in zip(keys, by, strict=True)]
+    fits = small.select(*named, "n", "inliers", "model")
+    each = F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("residuals").alias("residual"))).alias("_r")
+    marked = small.select(*named, each).select(*by, "_r.id", "_r.residual", (F.col("_r.residual") <= within).alias("inlier"))
+    if not some:
+        return fits, marked
+    fits_, marked_ = _parted(data.join(F.broadcast(large), _same(keys, "_"), "left_semi"), keys, by, model, within, trials, seed)
+    return fits.unionByName(fits_), marked.unionByName(marked_)
+
+
+def _parted(data: DataFrame, keys: list[str], by: Sequence[str], model: Model, within: float, trials: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The same of groups that no task holds whole."""
     ranked, groups = _ranked(data, keys, seed)
     ranked = materialise(ranked, "fit_ranked")
     n, s = F.col("n"), model.sample

@@ -93,3 +93,17 @@ def test_similarities(spark, scale):
         assert r.inliers == 35 and abs(np.cbrt(np.linalg.det(m[:, :3])) - scale) < 1e-6
         np.testing.assert_allclose(m[:, 3], [1, 2, 3], atol=1e-5)
     assert marked.where("inlier AND id < 15").count() == 0
+
+
+def test_small_groups_write_nothing_for_their_hypotheses(spark, monkeypatch):
+    rows, _ = matches(4, {k: 30 for k in range(20)})
+    written = []
+
+    def keep(df, label):
+        written.append((label, df.count()))
+        return df
+
+    monkeypatch.setattr(groupfit, "materialise", keep)
+    df = spark.createDataFrame(rows, "pair long, id long, x double, y double, u double, v double")
+    fits, _ = robust_fits(df, ["pair"], ("x", "y"), ("u", "v"), HOMOGRAPHY, 2.0, trials=60)
+    assert fits.count() == 20 and sum(n for _, n in written) == 0
