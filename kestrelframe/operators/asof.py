@@ -90,15 +90,23 @@ def nearest(bracketed: DataFrame, time: str, value: str) -> DataFrame:
 def first_within(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, ordinal: str, tolerance: float, keep: Sequence[str]) -> DataFrame:
     """Each left row with the right row of least ``ordinal`` among those less than ``tolerance`` away; rows without one drop.
 
-    Times are dealt into buckets of the tolerance, so candidates stand in three of them. Equal left rows each
-    keep their match; null keys and times match nothing.
+    Times are dealt into buckets of the tolerance. A right row stands in its own bucket, whose left rows are all
+    near enough, and in those beside it, where running minima from the common edge reach as far as the tolerance:
+    work follows the rows, however many are near each other. Distances are compared as ``time`` plus or minus
+    the tolerance. Equal left rows each keep their match; of equal ordinals the earliest time wins; null keys and
+    times match nothing. ``keep`` columns have an order.
     """
     by = list(by)
-    # rows that are equal in every column are matched once and put back as often as they came
-    a = left.groupBy(*left.columns).agg(F.count("*").alias("_times"))
-    a = a.withColumn("_k", F.explode(F.array(*(F.floor(F.col(time) / tolerance) + d for d in (-1, 0, 1)))))
-    b = right.select(*by, F.col(time).alias("_t"), F.col(ordinal).alias("_o"), *(F.col(c).alias(f"m_{c}") for c in keep), F.floor(F.col(time) / tolerance).alias("_k"))
-    pairs = a.join(b, [*by, "_k"]).where(F.abs(F.col(time) - F.col("_t")) < tolerance)
-    best = pairs.groupBy(*left.columns, "_times").agg(F.min_by(F.struct("_t", *(f"m_{c}" for c in keep)), "_o").alias("_m"))
-    best = best.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    near = lambda df: df.where(reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in by), F.abs(F.col(time)) < float("inf")))
+    bucket = F.floor(F.col(time) / tolerance)
+    a = near(left).withColumns({"_k": bucket, "_low": F.col(time) - tolerance, "_high": F.col(time) + tolerance, "_sample": F.lit(False)})
+    found = F.struct(F.col(ordinal).alias("_o"), F.col(time).alias("_t"), *(F.col(c).alias(f"m_{c}") for c in keep))
+    sides = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), (bucket + d).alias("k")) for d in (-1, 0, 1))))
+    b = near(right).select(*by, F.col(time).alias("_low"), F.col(time).alias("_high"), found.alias("_f"), sides.alias("_s"))
+    b = b.select(*by, "_low", "_high", F.col("_s.k").alias("_k"), F.lit(True).alias("_sample"), *(F.when(F.col("_s.d") == d, F.col("_f")).alias(n) for d, n in ((1, "_before"), (0, "_own"), (-1, "_after"))))
+    at = Window.partitionBy(*by, "_k")
+    # a left row stands before the right rows at just the tolerance
+    down, up = (at.orderBy(*o, "_sample").rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in ([F.col("_low").desc()], [F.col("_high")]))
+    rows = a.unionByName(b, allowMissingColumns=True)
+    best = rows.withColumn("_m", F.least(F.min("_before").over(down), F.min("_own").over(at), F.min("_after").over(up))).where(~F.col("_sample") & F.col("_m").isNotNull())
     return best.select(*left.columns, F.col("_m._t").alias("match_t"), *(F.col(f"_m.m_{c}").alias(f"m_{c}") for c in keep))

@@ -1,9 +1,12 @@
 """What larger tables have and the smallest ones lack: equal times, many images, leaves, crowded times."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from kestrelframe.operators import asof
 
 
 def events(spark, path, rows):
@@ -30,3 +33,13 @@ def test_scan_with_equal_times(spark, tmp_path):
     d = events(spark, tmp_path, [(1, 5.0, "click", 9.0), (2, 5.0, "click", 1.0), (3, 6.0, "click", 1000.0)])
     got = sorted(tuple(r) for r in entry.queries()["s1_telemetry_scan"](spark, d).select("frame", "time", "latitude", "errors").collect())
     assert got == sql("s1_telemetry_scan", d) and [r[3] for r in got] == [0, 0, 1]
+
+
+def test_first_within_crowded_times_makes_no_pairs(spark):
+    rng = random.Random(5)
+    left = [(rng.choice("ab"), rng.randint(0, 400) / 8) for _ in range(300)]
+    right = [(rng.choice("abc"), rng.randint(0, 400) / 8, o) for o in rng.sample(range(1000), 120)]
+    got = asof.first_within(spark.createDataFrame(left, "k string, t double").repartition(3), spark.createDataFrame(right, "k string, t double, o int"), ["k"], "t", "o", 0.5, ["o"])
+    want = [(k, t, min(near)[1], min(near)[0]) for k, t in left if (near := [(o, s) for j, s, o in right if j == k and abs(t - s) < 0.5])]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and 0 < len(want) < 300
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
