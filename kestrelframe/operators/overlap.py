@@ -1,13 +1,17 @@
 """How many points each pair of images shares, whatever number of images sees a point.
 
-A point's images are dealt into parts of about ``BLOCK``; a pair of parts is one join
-key, so a point that all images see is a grid of keys of at most ``BLOCK ** 2`` pairs
-each, and partial counts are summed. A pair's two images meet in just one cell of
-each point's grid.
+Each image is sent the lists of the images that its points are seen by: a row and a
+list for each point of the image, not a row for each pair. They come in the order of
+images, so a task counts batch by batch and holds the counts of one image besides. A point that more than ``BLOCK`` images see is
+dealt into parts of about that many, and each part's images are sent each part's list.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,31 +20,67 @@ from ..storage import materialise
 BLOCK = 512
 
 
-def _met(seen: DataFrame, block: int) -> DataFrame:
-    """``(img, other, n)`` with img < other, from distinct rows ``(point, img)``; a point that is null joins as any other."""
-    size = seen.groupBy(F.col("point").alias("_p")).agg(F.ceil(F.count("*") / block).alias("parts"))
-    size = materialise(size, "point_parts")
-    dealt = seen.join(size, F.col("point").eqNullSafe(F.col("_p"))).select("point", "img", "parts", F.pmod(F.xxhash64("img"), F.col("parts")).alias("part"))
-    dealt = materialise(dealt, "dealt_points")
-    up, down = F.sequence(F.col("part"), F.col("parts") - 1), F.sequence(F.lit(0).cast("long"), F.col("part"))
-    left = dealt.select("point", "img", F.col("part").alias("i"), F.explode(up).alias("j"))
-    right = dealt.select(F.col("point").alias("_p"), F.col("img").alias("other"), F.explode(down).alias("_i"), F.col("part").alias("_j"))
-    cell = F.col("point").eqNullSafe(F.col("_p")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j"))
-    pairs = left.join(right, cell & (F.col("img") != F.col("other")) & ((F.col("i") != F.col("j")) | (F.col("img") < F.col("other"))))
-    return pairs.groupBy(F.least("img", "other").alias("img"), F.greatest("img", "other").alias("other")).agg(F.count("*").alias("n"))
+def _lists(counts: pa.Table) -> pa.RecordBatch:
+    """A row for each image, with its others and their counts."""
+    counts = counts.sort_by("img")  # groups come in no order
+    runs = pc.run_end_encode(counts.column("img").combine_chunks())
+    ends = pa.concat_arrays([pa.array([0], pa.int32()), runs.run_ends])
+    each = [pa.ListArray.from_arrays(ends, counts.column(c).combine_chunks()) for c in ("other", "shared_sum")]
+    return pa.RecordBatch.from_arrays([runs.values, *each], ["img", "other", "shared"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``(img, others)`` in the order of ``img``: how often each other stands in an image's lists."""
+    held = None  # the image that the last batch ended with
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists, img = batch.column("others"), batch.column("img")
+        other = lists.flatten()
+        now = pa.table({"img": img.take(pc.list_parent_indices(lists)), "other": other, "shared": pa.repeat(pa.scalar(1, pa.int64()), len(other))})
+        if held is not None:
+            now = pa.concat_tables([held.rename_columns(["img", "other", "shared"]), now])
+        now = now.group_by(["img", "other"], use_threads=False).aggregate([("shared", "sum")]).select(["img", "other", "shared_sum"])
+        last = pc.equal(now.column("img"), img[-1])
+        held, done = now.filter(last), now.filter(pc.invert(last))
+        if done.num_rows:
+            yield _lists(done)
+    if held is not None:
+        yield _lists(held)
+
+
+def _counted(seen: DataFrame, block: int) -> DataFrame:
+    """``(img, other, shared)``, the last two lists, with each image beside itself too; a point that is null is a point like any other."""
+    # a row here for each ``block`` rows of the input at most
+    large = seen.groupBy("point").count().where(F.col("count") > block).select(F.col("point").alias("_p"), F.ceil(F.col("count") / block).alias("parts"))
+    large = materialise(large, "large_points")
+    dealt, keys = seen, ["point"]
+    some = not large.isEmpty()
+    if some:
+        parts = F.coalesce("parts", F.lit(1).cast("long"))
+        dealt = seen.join(large, F.col("point").eqNullSafe(F.col("_p")), "left").select("point", "img", F.col("parts").isNotNull().alias("cut"), F.pmod(F.xxhash64("img"), parts).alias("part"))
+        keys = ["point", "cut", "part"]
+    lists = dealt.groupBy(*keys).agg(F.collect_set("img").alias("others"))
+    met = (lists.where("NOT cut") if some else lists).select(F.explode("others").alias("img"), "others")
+    if some:
+        cut = materialise(lists.where("cut"), "cut_points")
+        theirs = cut.select(F.col("point").alias("_p"), F.explode("others").alias("img"))
+        met = met.unionByName(theirs.join(cut, F.col("_p").eqNullSafe(F.col("point"))).select("img", "others"))
+    kind = dict(met.dtypes)["img"]
+    return met.repartition("img").sortWithinPartitions("img").mapInArrow(_counts, f"img {kind}, other array<{kind}>, shared array<long>")
 
 
 def shared_points(seen: DataFrame, with_none: bool = False, block: int = BLOCK) -> DataFrame:
     """``(img, other, shared)`` of every ordered pair of images, from rows ``(point, img)``; repeated rows count once.
 
-    Pairs without a shared point come with 0 if ``with_none``: one more point, which every
-    image sees, brings them together and is not counted. Null images are left out.
+    Pairs without a shared point come with 0 if ``with_none``: the result is then as large as
+    the number of images squared, and a row in between holds an image's list of all images.
+    Null images are left out.
     """
-    seen = seen.where("img IS NOT NULL").select(F.struct("point", F.lit(False).alias("every")).alias("point"), "img").distinct()
+    seen = seen.where("img IS NOT NULL").select("point", "img")
+    counts = _counted(seen, block)
     if with_none:
-        nobody = F.lit(None).cast(dict(seen.select("point.point").dtypes)["point"])
-        every = seen.select("img").distinct().select(F.struct(nobody.alias("point"), F.lit(True).alias("every")).alias("point"), "img")
-        seen = seen.unionByName(every)
-    counts = _met(seen, block).select("img", "other", (F.col("n") - int(with_none)).alias("shared"))
-    ways = F.array(F.struct("img", "other"), F.struct(F.col("other").alias("img"), F.col("img").alias("other")))
-    return counts.select(F.explode(ways).alias("w"), "shared").select("w.img", "w.other", "shared")
+        images = seen.agg(F.collect_set("img").alias("images"))
+        counts = counts.crossJoin(F.broadcast(images)).select("img", F.concat("other", F.array_except("images", "other")).alias("other"), "shared")
+    pairs = counts.select("img", F.inline(F.arrays_zip("other", "shared"))).where("img <> other")
+    return pairs.withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
