@@ -26,3 +26,12 @@ def test_hot_point_and_zero_overlaps(spark, block):
 
 def test_no_images(spark):
     assert shared_points(spark.createDataFrame([], "point long, img long"), with_none=True).count() == 0
+
+
+def test_pairs_are_counted_where_an_images_lists_meet(spark):
+    """No row of a shuffle is a pair: lists of a point's images are sent, one for each row of the input."""
+    df = spark.createDataFrame([(p, (p * 7 + k * k) % 50) for p in range(60) for k in range(12)], "point long, img long")
+    got = shared_points(df)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate(keys=[img" not in plan
