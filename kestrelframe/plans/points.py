@@ -402,7 +402,7 @@ r(node, root) AS (SELECT u, u FROM s UNION SELECT s.v, r.root FROM r JOIN s ON s
 def g1(spark, d):
     """Orders that have a part in one quantity on one line number, over all line items."""
     item = (F.col("l_partkey") * 1000 + F.col("l_quantity") * 10 + F.col("l_linenumber")).cast("long")
-    return components.components(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (-item).alias("b")), "g1")
+    return components.components(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (-item).alias("b")), "g1", peel=True)
 
 
 @query("w16_nearest_frames", """, k AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.id - b.id), b.id) AS k FROM emb_ a JOIN emb_ b ON a.label = b.label AND a.id <> b.id) SELECT id, other FROM k WHERE k <= 4""")

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kestrelframe.operators import asof
+from kestrelframe.operators import asof, components
 
 
 def events(spark, path, rows):
@@ -43,3 +43,19 @@ def test_first_within_crowded_times_makes_no_pairs(spark):
     want = [(k, t, min(near)[1], min(near)[0]) for k, t in left if (near := [(o, s) for j, s, o in right if j == k and abs(t - s) < 0.5])]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and 0 < len(want) < 300
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leaves_stay_out_of_the_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = [(k, 1000 + rng.randint(0, 60)) for k in range(40) for _ in range(2)] + [(100 + k % 9, -k) for k in range(1, 200)] + [(5, 5), (700, 700), (801, 800), (900, None), (5, 1000), (5, 1000)]
+    root = {n: n for e in edges if None not in e for n in e}
+    while any(root[a] != root[b] for a, b in edges if b is not None):
+        for a, b in edges:
+            if b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    met = []
+    rounds = components._rounds
+    monkeypatch.setattr(components, "_rounds", lambda e, label: (met.append(e.count()), rounds(e, label))[1])
+    got = components.components(spark.createDataFrame(edges, "a long, b long"), peel=True).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted(root.items())
+    assert 0 < met[0] < 100  # of 285 edges
