@@ -39,8 +39,11 @@ def previous(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns:
 
 
 def statistics(samples: DataFrame, by: Sequence[str], time: str, seq: str, time_width: float | None = None, seq_width: float | None = None) -> DataFrame:
-    """Per stream: kept samples, ends, duration, duplicates, backward steps in source order, largest gap, order flags."""
-    near = previous(samples, by, [seq], [time], "_source", seq_width)
+    """Per stream: kept samples, ends, duration, duplicates, backward steps in source order, largest gap, order flags.
+
+    Rows of one ``seq`` stand in the order of time: equal rows then give equal results on any partitioning.
+    """
+    near = previous(samples, by, [seq, time], [time], "_source", seq_width)
     near = previous(near, by, [time, seq], [time], "_line", time_width)
     before, earlier = F.col("_source")[time], F.col("_line")[time]
     flagged = near.withColumns({"_back": (F.col(time) < before).cast("long"), "_same": (F.col(time) == earlier).cast("long"), "_gap": F.col(time) - earlier})
