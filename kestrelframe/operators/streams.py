@@ -88,9 +88,9 @@ def audit(track: DataFrame, by: Sequence[str], time: str, lat: str, lon: str, ma
 
 
 def order_faults(rows: DataFrame, by: Sequence[str], seq: str, time: str, width: float | None = None) -> DataFrame:
-    """Steps back and repeats in source order, and the largest step back."""
+    """Steps back and repeats in source order, and the largest step back; rows of one ``seq`` stand in the order of time."""
     d = F.col(time) - F.col("_prev")[time]
-    near = previous(rows, by, [seq], [time], "_prev", width).withColumn("_d", d)
+    near = previous(rows, by, [seq, time], [time], "_prev", width).withColumn("_d", d)
     return near.groupBy(*by).agg(F.count_if(F.col("_d") < 0).alias("backward"), F.count_if(F.col("_d") == 0).alias("duplicates"), F.coalesce(F.min(F.when(F.col("_d") < 0, F.col("_d"))), F.lit(0.0)).alias("largest_jump_back"))
 
 

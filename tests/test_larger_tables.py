@@ -77,3 +77,9 @@ def test_statistics_with_repeated_places(spark, tmp_path, ascending):
     """The SQL leaves the order of one place open; here it is that of time, whatever the file's."""
     got = entry.queries()["a1_stream_statistics"](spark, repeated_places(spark, tmp_path, ascending)).collect()
     assert [(r.sample_count, r.duplicate_count, r.backward_count, r.largest_gap_s, r.rows_reordered) for r in got] == [(7, 0, 1, 14400.0, True)]
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_order_faults_with_repeated_places(spark, tmp_path, ascending):
+    got = entry.queries()["w7_order_faults"](spark, repeated_places(spark, tmp_path, ascending)).collect()
+    assert [tuple(r) for r in got] == [("click", 1, 0, -3600.0)]
