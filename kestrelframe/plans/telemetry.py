@@ -117,7 +117,7 @@ def w7(spark, d):
 
 @query("w6_non_decreasing_rows", f"""{_COARSE}, w AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY seq) + 1 AS line, t < lag(t) OVER (PARTITION BY stream ORDER BY seq) AS bad FROM c) SELECT stream, line FROM w WHERE bad""")
 def w6(spark, d):
-    w = Window.partitionBy("stream").orderBy("seq")
+    w = Window.partitionBy("stream").orderBy("seq", "t")  # a place that repeats: by time
     return _coarse(spark, d).select("stream", (F.row_number().over(w) + 1).alias("line"), (F.col("t") < F.lag("t").over(w)).alias("bad")).where("bad").drop("bad")
 
 

@@ -83,3 +83,9 @@ def test_statistics_with_repeated_places(spark, tmp_path, ascending):
 def test_order_faults_with_repeated_places(spark, tmp_path, ascending):
     got = entry.queries()["w7_order_faults"](spark, repeated_places(spark, tmp_path, ascending)).collect()
     assert [tuple(r) for r in got] == [("click", 1, 0, -3600.0)]
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_non_decreasing_rows_with_repeated_places(spark, tmp_path, ascending):
+    got = entry.queries()["w6_non_decreasing_rows"](spark, repeated_places(spark, tmp_path, ascending)).collect()
+    assert [tuple(r) for r in got] == [("click", 8)]
