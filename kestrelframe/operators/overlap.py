@@ -4,12 +4,16 @@ Each image is sent the lists of the images that its points are seen by: a row an
 list for each point of the image, not a row for each pair. They come in the order of
 images, so a task counts batch by batch and holds the counts of one image besides. A point that more than ``BLOCK`` images see is
 dealt into parts of about that many, and each part's images are sent each part's list.
+
+``top_shared`` ranks where it counts, so a pair that is not among an image's first never
+leaves the batch that counted it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from ..storage import materialise
 
 BLOCK = 512
+VALUES = 1 << 20  # of lists that are counted at a time
 
 
 def _lists(counts: pa.Table) -> pa.RecordBatch:
@@ -49,8 +54,73 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _lists(held)
 
 
-def _counted(seen: DataFrame, block: int) -> DataFrame:
-    """``(img, other, shared)``, the last two lists, with each image beside itself too; a point that is null is a point like any other."""
+def _tally(run: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of ``(run, other)`` in order, each once, and how often each stands there."""
+    wide = other.dtype.itemsize > 4
+    if wide:
+        known, other = np.unique(other, return_inverse=True)
+    key = np.sort((run.astype(np.int64) << 32) + (other.astype(np.int64) + (1 << 31)))
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(at, append=len(key))
+    run, other = key[at] >> 32, (key[at] & 0xFFFFFFFF) - (1 << 31)
+    return run, known[other] if wide else other, count
+
+
+def _first(img: np.ndarray, run: np.ndarray, other: np.ndarray, count: np.ndarray, k: int) -> pa.RecordBatch:
+    """The first ``k`` others of each run, whose image is ``img[run]``; rows come by run."""
+    us = img[run]
+    apart = other != us
+    run, other, count, us = run[apart], other[apart], count[apart], us[apart]
+    most = np.int64(1 << 31)  # an image has fewer points
+    place = (run << 32) + (most - count)
+    ends = np.searchsorted(run, np.arange(len(img)), side="right")
+    starts = np.concatenate([[0], ends[:-1]])
+    full = ends > starts
+    bound = np.zeros(len(img), np.int64)
+    bound[full] = np.sort(place)[np.minimum(starts + k, ends)[full] - 1]
+    near = place <= bound[run]  # all that have as many as the k-th
+    run, other, count, us, place = run[near], other[near], count[near], us[near], place[near]
+    order = np.lexsort((other, np.abs(us - other), place))
+    run = run[order]
+    kept = order[np.arange(len(run)) - np.searchsorted(run, run) < k]
+    return pa.RecordBatch.from_arrays([pa.array(c[kept].astype(np.int64)) for c in (us, other, count)], ["img", "other", "shared"])
+
+
+def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """As ``_counts``, of whole numbers, and only the first ``k`` others of each image."""
+    held = None  # the image that the last rows ended with, its others and their counts
+    one = lambda h: _first(np.array([h[0]]), np.zeros(len(h[1]), np.int64), *h[1:], k)
+    for batch in batches:
+        lists = batch.column("others")
+        images, values = batch.column("img").to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        ends = np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            begin = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, begin + VALUES, side="right")))
+            rows = images[at:to]
+            fresh = np.concatenate([[True], rows[1:] != rows[:-1]])
+            img = rows[fresh]
+            run, other, count = _tally(np.repeat(np.cumsum(fresh) - 1, np.diff(ends[at:to], prepend=begin)), values[begin : ends[to - 1]])
+            if held is not None and held[0] == img[0]:
+                n = np.searchsorted(run, 1)
+                both, where = np.unique(np.concatenate([held[1], other[:n]]), return_inverse=True)
+                sums = np.zeros(len(both), np.int64)
+                np.add.at(sums, where, np.concatenate([held[2], count[:n]]))
+                run, other, count = np.concatenate([np.zeros(len(both), np.int64), run[n:]]), np.concatenate([both, other[n:]]), np.concatenate([sums, count[n:]])
+            elif held is not None:
+                yield one(held)
+            last = np.searchsorted(run, len(img) - 1)
+            held = (img[-1], other[last:], count[last:])
+            if last:
+                yield _first(img[:-1], run[:last], other[:last], count[:last], k)
+            at = to
+    if held is not None:
+        yield one(held)
+
+
+def _met(seen: DataFrame, block: int) -> DataFrame:
+    """``(img, others)``: for each point of an image, or part of one, a list of those that see it, itself too; a point that is null is a point like any other."""
     # a row here for each ``block`` rows of the input at most
     large = seen.groupBy("point").count().where(F.col("count") > block).select(F.col("point").alias("_p"), F.ceil(F.col("count") / block).alias("parts"))
     large = materialise(large, "large_points")
@@ -66,8 +136,27 @@ def _counted(seen: DataFrame, block: int) -> DataFrame:
         cut = materialise(lists.where("cut"), "cut_points")
         theirs = cut.select(F.col("point").alias("_p"), F.explode("others").alias("img"))
         met = met.unionByName(theirs.join(cut, F.col("_p").eqNullSafe(F.col("point"))).select("img", "others"))
+    return met.repartition("img").sortWithinPartitions("img")
+
+
+def _counted(seen: DataFrame, block: int) -> DataFrame:
+    """``(img, other, shared)``, the last two lists, with each image beside itself too."""
+    met = _met(seen, block)
     kind = dict(met.dtypes)["img"]
-    return met.repartition("img").sortWithinPartitions("img").mapInArrow(_counts, f"img {kind}, other array<{kind}>, shared array<long>")
+    return met.mapInArrow(_counts, f"img {kind}, other array<{kind}>, shared array<long>")
+
+
+def top_shared(seen: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """``(img, other, shared)``: the ``k`` images that share most points with each image, from rows ``(point, img)``.
+
+    Images are whole numbers; of equal counts the nearest number comes first, then the lower.
+    Images that share no point with any other, and null ones, are left out.
+    """
+    seen = seen.where("img IS NOT NULL").select("point", F.col("img").cast("long").alias("img"))
+    low, high = seen.agg(F.min("img"), F.max("img")).first()
+    if low is not None and low >= -(2**31) and high < 2**31:
+        seen = seen.withColumn("img", F.col("img").cast("int"))  # lists of half the size
+    return _met(seen, block).mapInArrow(lambda batches: _best(batches, k), "img long, other long, shared long")
 
 
 def shared_points(seen: DataFrame, with_none: bool = False, block: int = BLOCK) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as Q
 from ..functions import labels as L
 from ..operators import clouds, missions, rules, streams
-from ..operators.overlap import shared_points
+from ..operators.overlap import shared_points, top_shared
 from ..storage import table
 from .binding import epoch, frames, jobs, projects, query, rounded
 
@@ -36,19 +36,17 @@ def o2(spark, d):
 @query("o3_top_source_views", """, s AS (SELECT a.l_suppkey AS img, b.l_suppkey AS other, count(DISTINCT a.l_partkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL)
 SELECT img, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY shared DESC, abs(img - other), other) AS k FROM s) WHERE k <= 5""")
 def o3(spark, d):
-    s = _shared(spark, d)
-    w = Window.partitionBy("img").orderBy(F.col("shared").desc(), F.abs(F.col("img") - F.col("other")), "other")
-    return s.withColumn("k", F.row_number().over(w)).where("k <= 5").drop("k")
+    return top_shared(_seen(spark, d), 5)
 
 
-def _shared(spark, d, with_none=False):
-    return shared_points(table(spark, d, "lineitem").select(F.col("l_partkey").alias("point"), F.col("l_suppkey").alias("img")), with_none)
+def _seen(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("point"), F.col("l_suppkey").alias("img"))
 
 
 @query("j13_shared_points", """, i AS (SELECT DISTINCT l_suppkey AS img FROM lineitem), p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), s AS (SELECT a.l_suppkey AS img, b.l_suppkey AS other, count(*) AS shared FROM p a JOIN p b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL)
 SELECT a.img, b.img AS other, coalesce(shared, 0) AS shared FROM i a JOIN i b ON a.img <> b.img LEFT JOIN s ON s.img = a.img AND s.other = b.img""")
 def j13(spark, d):
-    return _shared(spark, d, with_none=True)
+    return shared_points(_seen(spark, d), with_none=True)
 
 
 @query("j10_band_pairs", """ SELECT a.idx AS a, b.idx AS b FROM frames_ a JOIN frames_ b ON a.idx < b.idx AND b.idx <= a.idx + 3""")
