@@ -75,10 +75,20 @@ def voxel_sample(points: DataFrame, size: float, seed: int = 42) -> DataFrame:
     return points.groupBy(*voxel(size)).agg(F.min(row).alias("_r")).select("_r.*").select(*points.columns)
 
 
-def voxel_first(points: DataFrame, size: float) -> DataFrame:
-    """The member of least id of each voxel."""
-    row = F.struct("id", *(c for c in points.columns if c != "id"))
-    return points.groupBy(*voxel(size)).agg(F.min(row).alias("_r")).select("_r.*").select(*points.columns)
+def whole(c: Column) -> Column:
+    """Floor as a double: NaN, infinities and values beyond a long stay apart, which Spark's floor sends to 0 or the ends of a long."""
+    return F.when(F.abs(c) < 2.0**53, F.floor(c).cast("double")).otherwise(c)
+
+
+def voxel_apart(size: float, axes: Sequence[str] = ("x", "y", "z")) -> list[Column]:
+    """Voxels by double numbers, so that coordinates that are no place have voxels of their own."""
+    return [whole(F.col(c) / size).alias(f"v{c}") for c in axes]
+
+
+def voxel_first(points: DataFrame, cells: Sequence[Column]) -> DataFrame:
+    """The member of least id of each voxel, null ids last; of members of one id the least row, whatever the partitioning."""
+    row = F.struct(F.col("id").isNull().alias("_last"), "id", *(c for c in points.columns if c != "id"))
+    return points.groupBy(*cells).agg(F.min(row).alias("_r")).select("_r.*").select(*points.columns)
 
 
 def voxel_centroids(points: DataFrame, size: float) -> DataFrame:

@@ -77,7 +77,7 @@ def r3(spark, d):
 
 @query("r5_voxel_first", """ SELECT id, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY floor(x / 5), floor(y / 5), floor(z / 5) ORDER BY id) AS k FROM pts_) WHERE k = 1""")
 def r5(spark, d):
-    return clouds.voxel_first(pts(spark, d), 5.0).select("id", "x", "y", "z")
+    return clouds.voxel_first(pts(spark, d), clouds.voxel_apart(5.0)).select("id", "x", "y", "z")
 
 
 @query("r4_voxel_sample", None)

@@ -97,7 +97,7 @@ def thinned(points: DataFrame, size: float, max_points: int) -> DataFrame:
     while cells.count() > max_points:
         size *= 2
         cells = materialise(cells.select(*(F.floor(F.col(f"v{c}") / 2).alias(f"v{c}") for c in "xyz")).distinct(), "voxels")
-    return clouds.voxel_first(points, size)
+    return clouds.voxel_first(points, clouds.voxel(size))
 
 
 def viewer_artifacts(sparse: DataFrame, cameras: DataFrame, dense: DataFrame, faces: DataFrame, path: str, size: float, max_points: int = 2_000_000) -> DataFrame:
